@@ -119,13 +119,17 @@ class Hasher:
         self.undo = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse)]))
         self.size = n
 
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of values[start:end] for each span."""
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        """Prefix sums over ``values``, for any number of calls of ``of``."""
         if len(values) > self.size:
             self._grow(len(values))
-        prefix = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.power[: len(values)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * self.undo[starts] + (ends - starts).astype(np.uint64))
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.power[: len(values)], out=sums[1:])
+        return sums
+
+    def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the spans [start, end)."""
+        return mix((sums[ends] - sums[starts]) * self.undo[starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -191,3 +195,32 @@ def combine(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
         out = (out ^ hashes[starts + k]) * np.uint64(0xD6E8FEB86659FD93 + 2 * k) + np.uint64(k + 1)
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over the index ranges [first[i], first[i + 1])."""
+    sums = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=sums[1:])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+def owners(first: np.ndarray) -> np.ndarray:
+    """The text number of every element."""
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def within(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hashes made distinct for each text, so that one sort serves a whole piece."""
+    return mix(hashes + owners(first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags: the key stands elsewhere too; the key stands earlier."""
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    same = np.zeros(n + 1, bool)
+    same[1:n] = keys[order[1:]] == keys[order[:-1]]
+    shared, again = np.zeros(n, bool), np.zeros(n, bool)
+    shared[order] = same[:-1] | same[1:]
+    again[order] = same[:-1]
+    return shared, again

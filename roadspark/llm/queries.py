@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspark.llm import mixing
+from roadspark.llm import mixing, near_dedup, ngram_ratio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_ratio": ngram_ratio.op3_ngram_ratio,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing.OP4_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
 }
