@@ -10,13 +10,14 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Executors need no copy of this package: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -224,3 +225,31 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shared[order] = same[:-1] | same[1:]
     again[order] = same[:-1]
     return shared, again
+
+
+Kernel = Callable[[np.ndarray, np.ndarray], Sequence]
+
+
+def map_texts(docs: DataFrame, keep: Sequence[str], added: str, make: Callable[[], Kernel], text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the columns ``added`` (a DDL list) made from its texts.
+
+    ``make()`` runs once a task and returns a kernel; the kernel gets the bytes and offsets
+    of some whole texts and returns one array for each added column. Null texts are empty.
+    A kept column that has the name of an added one gives way to it.
+    """
+    new = T.StructType.fromDDL(added)
+    keep = [c for c in keep if c not in new.names]
+    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + new.fields)
+    names, n = schema.names, len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = make()
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(n))
+            for i, j in pieces(offsets):
+                out = kernel(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                arrays = [batch.column(k).slice(i, j - i) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(x if isinstance(x, pa.Array) else pa.array(x) for x in out)], names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("_text_")).mapInArrow(run, schema)

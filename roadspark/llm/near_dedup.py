@@ -43,7 +43,7 @@ SURE_BELOW = 0.5
 #: The similarity limit as a ratio of integers.
 LIMIT = (75, 100)
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
+SIGNED = "n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
 class Shingler:
@@ -100,27 +100,28 @@ def estimates(differing: np.ndarray, samples: int = BANDS * ROWS, bits: int = SK
 def sign(docs: DataFrame) -> DataFrame:
     """Set size, set key, band hashes and sketch of each document; texts without words have size 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> C.Kernel:
         shingler, (a, b) = Shingler(), sample_tables()
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            data, offsets = C.text_bytes(batch.column("text"))
-            for i, j in C.pieces(offsets):
-                sizes, keys, bands, sketches = [], [], [], []
-                for s in shingler.sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    samples = minhashes(s, a, b)
-                    sizes.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    rows = samples.reshape(BANDS, ROWS)
-                    h = salt.copy()
-                    for r in range(ROWS):
-                        h = C.mix(h ^ rows[:, r])
-                    bands.append(h.view(np.int64))
-                    sketches.append(odd_sketch(samples))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(sketches, pa.binary())], [f.split()[0] for f in SIGNED.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+
+        def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+            sizes, keys, bands, sketches = [], [], [], []
+            for s in shingler.sets(data, offsets):
+                samples = minhashes(s, a, b)
+                sizes.append(len(s))
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                rows = samples.reshape(BANDS, ROWS)
+                h = salt.copy()
+                for r in range(ROWS):
+                    h = C.mix(h ^ rows[:, r])
+                bands.append(h.view(np.int64))
+                sketches.append(odd_sketch(samples))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
+            return [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(sketches, pa.binary())]
+
+        return kernel
+
+    return C.map_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], SIGNED, make)
 
 
 def forest(similar: np.ndarray, cut: float) -> list[tuple[int, int]]:
@@ -244,16 +245,12 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, shingles) of the wanted representatives only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> C.Kernel:
         shingler = Shingler()
-        for batch in batches:
-            data, offsets = C.text_bytes(batch.column("text"))
-            for i, j in C.pieces(offsets):
-                sets = [s.tobytes() for s in shingler.sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "shingles"])
+        return lambda data, offsets: [pa.array([x.tobytes() for x in shingler.sets(data, offsets)], pa.binary())]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep", "left_semi")
-    return texts.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    return C.map_texts(texts, ["rep"], "shingles binary", make).dropDuplicates(["rep"])
 
 
 def blocks_for(members: DataFrame, round_: int) -> DataFrame:
@@ -334,7 +331,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if sets is None:
             wanted = new.select(F.col("a").alias("rep")).union(new.select("b")).distinct()
             sets = C.materialize(full_sets(docs, wanted), "sets")
-            have = wanted
         else:
             wanted = new.select(F.col("a").alias("rep")).union(new.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")
             if not wanted.isEmpty():

@@ -33,7 +33,7 @@ THRESHOLD = -0.25
 #: Least words, and the largest share of repeat words in percent.
 LEAST_WORDS, MOST_REPEAT = 50, 50
 
-SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, log_ratio double"
+SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, log_ratio double"
 
 
 def gram_buckets(words: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +72,28 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.log((trusted + buckets * corpus) / ((trusted.sum() + buckets) * corpus))
 
 
-def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """Base counts, log ratio and verdict for every row of ``docs`` (doc_id, text).
+def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """Base counts, log ratio and verdict for every row of ``docs`` (doc_id, text), beside the columns ``keep``.
 
     A null text counts as empty; a text without words fails the base limits and has
     log ratio 0. A ratio equal to the threshold is kept. Equal texts get equal results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> C.Kernel:
         stats, weights = WordStats(), shared.value
-        for batch in batches:
-            data, offsets = C.text_bytes(batch.column("text"))
-            for i, j in C.pieces(offsets):
-                words, n = stats.counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at, row = gram_buckets(words, len(weights))
-                grams = np.bincount(row, minlength=j - i)
-                ratio = np.bincount(row, weights[at], minlength=j - i) / np.maximum(grams, 1)
-                failed = (n["n_words"] < LEAST_WORDS) | (100 * n["n_repeat_words"] > MOST_REPEAT * n["n_words"])
-                columns = [batch.column("doc_id").slice(i, j - i), *(pa.array(x) for x in n.values()), pa.array(failed), pa.array(~failed & (ratio >= threshold)), pa.array(ratio)]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORED.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, SCORED)
+
+        def kernel(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+            words, n = stats.counts(data, offsets)
+            at, row = gram_buckets(words, len(weights))
+            rows = len(offsets) - 1
+            ratio = np.bincount(row, weights[at], minlength=rows) / np.maximum(np.bincount(row, minlength=rows), 1)
+            failed = (n["n_words"] < LEAST_WORDS) | (100 * n["n_repeat_words"] > MOST_REPEAT * n["n_words"])
+            return [*n.values(), failed, ~failed & (ratio >= threshold), ratio]
+
+        return kernel
+
+    return C.map_texts(docs, ["doc_id"] if keep is None else keep, SCORED, make)
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
