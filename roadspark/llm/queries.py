@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspark.llm import mixing, near_dedup, ngram_ratio
+from roadspark.llm import mixing, near_dedup, ngram_ratio, pairwise_quality, pu_toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": winnowing.op1_winnowing,
     "op3_ngram_ratio": ngram_ratio.op3_ngram_ratio,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_pu_toxicity": pu_toxicity.op5_pu_toxicity,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_pairwise_quality": pairwise_quality.op7_pairwise_quality,
 }
 
 ORACLES: dict[str, str] = {
