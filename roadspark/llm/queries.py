@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspark.llm import mixing, near_dedup, ngram_ratio, pairwise_quality, pu_toxicity, winnowing
+from roadspark.llm import line_blocks, mixing, near_dedup, ngram_ratio, packing, pairwise_quality, pu_toxicity, toolcalls, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": winnowing.op1_winnowing,
+    "op2_tool_calls": toolcalls.op2_tool_calls,
     "op3_ngram_ratio": ngram_ratio.op3_ngram_ratio,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_pu_toxicity": pu_toxicity.op5_pu_toxicity,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_pairwise_quality": pairwise_quality.op7_pairwise_quality,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_line_blocks": line_blocks.op10_line_blocks,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_tool_calls": toolcalls.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
 }
