@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -227,6 +228,31 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared, again
 
 
+#: Stands for a null id: such rows come last in id order.
+LAST_ID = (1 << 63) - 1
+
+
+def id_ranges(ids: DataFrame, column: str, ranges: int) -> np.ndarray:
+    """First ids of about ``ranges`` ranges of like size; each is an id of the table.
+
+    One aggregate over the id column; its result has ``ranges`` numbers. [0] for an empty table.
+    """
+    shares = [k / ranges for k in range(ranges)]
+    cuts = ids.agg(F.percentile_approx(column, shares, 100_000).alias("q"), F.min(column).alias("least")).first()
+    return np.unique(np.array([0] if cuts.least is None else [cuts.least, *cuts.q], np.int64))
+
+
+def place_in(begins: np.ndarray):
+    """A column function: twice the range number of an id, plus one if the id begins its range."""
+
+    @F.pandas_udf("long")
+    def place(sid: pd.Series) -> pd.Series:
+        at = np.searchsorted(begins, sid.to_numpy(), "right") - 1
+        return pd.Series(2 * at + (begins[at] == sid.to_numpy()))
+
+    return place
+
+
 Kernel = Callable[[np.ndarray, np.ndarray], Sequence]
 
 

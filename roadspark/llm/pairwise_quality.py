@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     return w, cut, float(scale)
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray, cut: float, scale: float, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default doc_id) and a score in 0..1 for every row of ``docs``.
+def score_texts(docs: DataFrame, weights: np.ndarray, cut: float, scale: float, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Columns ``keep`` (default doc_id) and a score ``out`` in 0..1 for every row of ``docs``.
 
     Null and empty texts share one feature vector and so one score; equal texts score equally.
     """
@@ -162,7 +162,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, cut: float, scale: float,
 
         return kernel
 
-    return C.map_texts(docs, ["doc_id"] if keep is None else keep, "score double", make)
+    return C.map_texts(docs, ["doc_id"] if keep is None else keep, f"{out} double", make)
 
 
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return fit_pu(at.astype(np.int64), first, np.asarray(table.column("y")) == 1, (counts.k or 0) / max(counts.n, 1))
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default doc_id) and a score in 0..1 for every row of ``docs``.
+def score_texts(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Columns ``keep`` (default doc_id) and a score ``out`` in 0..1 for every row of ``docs``.
 
     Null and empty texts have no words and score as the bias alone; equal texts score equally.
     """
@@ -166,7 +166,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[st
 
         return kernel
 
-    return C.map_texts(docs, ["doc_id"] if keep is None else keep, "score double", make)
+    return C.map_texts(docs, ["doc_id"] if keep is None else keep, f"{out} double", make)
 
 
 def op5_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

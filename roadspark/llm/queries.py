@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspark.llm import line_blocks, mixing, near_dedup, ngram_ratio, packing, pairwise_quality, pu_toxicity, toolcalls, winnowing
+from roadspark.llm import line_blocks, mixing, near_dedup, ngram_ratio, packing, pairwise_quality, pu_toxicity, token_blocks, toolcalls, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pu_toxicity": pu_toxicity.op5_pu_toxicity,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_pairwise_quality": pairwise_quality.op7_pairwise_quality,
+    "op8_token_blocks": token_blocks.op8_token_blocks,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_blocks": line_blocks.op10_line_blocks,
 }

@@ -17,20 +17,24 @@ from roadspark.llm.common import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: The score beside the columns of the documents, whatever those are called.
+SCORE = "_stage_score_"
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is under the quantile threshold."""
-    scored = pairwise_quality.score_texts(docs, *pairwise_quality.train(docs, _labels(spark, sf_dir)), keep=docs.columns)
-    return scored.filter(F.col("score") >= pairwise_quality.CUT).select(*docs.columns)
+    scored = pairwise_quality.score_texts(docs, *pairwise_quality.train(docs, _labels(spark, sf_dir)), keep=docs.columns, out=SCORE)
+    return scored.filter(F.col(SCORE) >= pairwise_quality.CUT).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic."""
-    scored = pu_toxicity.score_texts(docs, *pu_toxicity.train(docs, _labels(spark, sf_dir)), keep=docs.columns)
-    return scored.filter(F.col("score") < 0.5).select(*docs.columns)
+    scored = pu_toxicity.score_texts(docs, *pu_toxicity.train(docs, _labels(spark, sf_dir)), keep=docs.columns, out=SCORE)
+    return scored.filter(F.col(SCORE) < 0.5).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -100,18 +99,10 @@ def with_successors(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("sid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shares = [k / (4 * partitions) for k in range(4 * partitions)]
-    cuts = ids.agg(F.percentile_approx("sid", shares, 100_000).alias("q"), F.min("sid").alias("least")).first()
-    begins = np.unique(np.array([cuts.least, *(cuts.q or [])] if cuts.least is not None else [0], np.int64))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.LAST_ID)).alias("sid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    begins = C.id_ranges(ids, "sid", 4 * partitions)
     ranges = len(begins)
-
-    @F.pandas_udf("long")
-    def place(sid: pd.Series) -> pd.Series:
-        """Twice the range number, plus one for an id that begins its range."""
-        at = np.searchsorted(begins, sid.to_numpy(), "right") - 1
-        return pd.Series(2 * at + (begins[at] == sid.to_numpy()))
-
+    place = C.place_in(begins)
     at = F.shiftright("place", 1)
     own = F.struct(at.alias("range"), F.lit(0).alias("role"))
     before = F.struct(F.pmod(at - 1, F.lit(ranges)).alias("range"), F.lit(1).alias("role"))
