@@ -253,6 +253,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return C.map_texts(texts, ["rep"], "shingles binary", make).dropDuplicates(["rep"])
 
 
+def refuted_rows(refuted: DataFrame, members: DataFrame, round_: int) -> DataFrame:
+    """Refuted pairs as rows of the blocks where both of their documents are."""
+    sized = refuted.join(members.select("key", "members").distinct(), "key")
+    first = blocks_for(sized.select("key", F.col("a").alias("rep"), "b", "members"), round_).select("key", "block", F.col("rep").alias("a"), "b")
+    second = blocks_for(sized.select("key", F.col("b").alias("rep"), "a", "members"), round_).select("key", "block", "a", F.col("rep").alias("b"))
+    zero = F.lit(0).cast("long")
+    same = first.join(second, ["key", "block", "a", "b"])
+    return same.select("key", "block", F.lit(1).alias("kind"), F.col("a").alias("rep"), F.col("b").alias("other"), zero.alias("n_shingles"), F.lit(None).cast("binary").alias("sketch"), zero.alias("comp"))
+
+
 def blocks_for(members: DataFrame, round_: int) -> DataFrame:
     """Deals the members of a key to blocks.
 
@@ -273,30 +283,37 @@ def blocks_for(members: DataFrame, round_: int) -> DataFrame:
     return members.withColumn("own", own).withColumn("block", F.explode(choice)).drop("own")
 
 
+def one_text_an_id(signed: DataFrame) -> DataFrame:
+    """Gives all rows of an id the set key of one of them (the least), if any id has several."""
+    usable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("k2")).filter("k <> k2").select("doc_id", "k")
+    if several.isEmpty():
+        return signed
+    chosen = usable.join(several, "doc_id").filter("set_key = k").groupBy("doc_id").agg(F.first("k").alias("k"), F.first("bands").alias("b"), F.first("sketch").alias("s"), F.first("n_shingles").alias("n"))
+    both = signed.join(chosen, "doc_id", "left")
+    return C.materialize(both.select("doc_id", "n_shingles", F.coalesce("k", "set_key").alias("set_key"), F.coalesce("b", "bands").alias("bands"), F.coalesce("s", "sketch").alias("sketch"), F.coalesce("n", "n_shingles").alias("linked_size")), "signatures")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Null, empty and wordless texts have no shingles and are linked with nothing. Rows
-    with equal doc_id share a component, whatever their texts. A null doc_id cannot be
-    linked: its row has a null component and is kept. An empty table gives an empty result.
+    Null, empty and wordless texts have no shingles and are linked with nothing. Of several
+    texts under one doc_id, one (of the least set key) is linked, and all rows of the id
+    get its component. A null doc_id cannot be linked: its row has a null component and is
+    kept. An empty table gives an empty result.
     """
-    signed = C.materialize(sign(docs), "signatures")
-    usable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = C.materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = usable.join(classes, (usable.set_key == classes.set_key) & (usable.doc_id == classes.rep)).select("rep", "n_shingles", "bands", "sketch")
-    reps = C.materialize(reps.dropDuplicates(["rep"]), "reps")
-
+    signed = one_text_an_id(C.materialize(sign(docs), "signatures"))
+    size = "linked_size" if "linked_size" in signed.columns else "n_shingles"
+    usable = signed.filter((F.col(size) > 0) & F.col("doc_id").isNotNull())
+    # equal sets have equal bands and sketches
+    reps = C.materialize(
+        usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first(size).alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
+    )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     members = C.materialize(keyed.join(shared, "key"), "members")
 
-    # one document may have several texts: its classes are linked through it
-    links = usable.join(classes, "set_key").filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    twice = usable.groupBy("doc_id").agg(F.countDistinct("set_key").alias("n")).filter("n > 1").select(F.col("doc_id").alias("u"))
-    links = links.join(twice, "u", "left_semi")
-
-    labels = refuted = sets = None
-    tested: list[DataFrame] = []
+    labels = refuted = sets = tested = None
     round_ = 0
     while True:
         now = members
@@ -305,54 +322,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             label = labels.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
             now = now.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("members").alias("n"))
-            open_keys = mixed.filter("low < high").select("key", "n").join(refuted.select("key").distinct().withColumn("again", F.lit(1)), "key", "left")
-            now = now.join(open_keys.filter((F.col("again") == 1) | (F.col("n") > BLOCK)).select("key"), "key", "left_semi")
+            mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("members").alias("n")).filter("low < high")
+            again = mixed.join(refuted.select("key").distinct().withColumn("again", F.lit(1)), "key", "left")
+            # a key of one block without refuted pairs has no pair left to try; nor has a refuted pair alone
+            again = again.filter((F.col("n") > BLOCK) | ((F.col("again") == 1) & (F.col("n") > 2))).select("key")
+            now = now.join(C.materialize(again, "open-keys"), "key", "left_semi")
         now = blocks_for(now, round_).join(reps.select("rep", "n_shingles", "sketch"), "rep")
         rows = now.select("key", "block", F.lit(0).alias("kind"), "rep", F.lit(0).cast("long").alias("other"), "n_shingles", "sketch", "comp")
-        if refuted is not None:
-            size = members.select("key", "members").distinct()
-            first = blocks_for(refuted.join(size, "key").select("key", F.col("a").alias("rep"), "b", "members"), round_)
-            other = blocks_for(refuted.join(size, "key").select("key", F.col("b").alias("rep"), "a", "members"), round_)
-            same = first.select("key", "block", F.col("rep").alias("a"), "b").join(other.select("key", "block", "a", F.col("rep").alias("b")), ["key", "block", "a", "b"])
-            zero = F.lit(0).cast("long")
-            rows = rows.union(same.select("key", "block", F.lit(1), "a", "b", zero, F.lit(None).cast("binary"), zero))
+        if round_:
+            rows = rows.union(refuted_rows(refuted, members, round_))
         dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "kind", "rep")
         emitted = C.materialize(candidate_pairs(dealt, 1 << round_), "emitted")
         new = emitted.select("a", "b").distinct()
-        known = None
-        for t in tested:
-            known = t if known is None else known.union(t)
-        if known is not None:
-            new = new.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = C.materialize(new, "pairs")
+        if tested is not None:
+            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if emitted.isEmpty():
             break
+        new = C.materialize(new, "pairs")
+        wanted = new.select(F.col("a").alias("rep")).union(new.select("b")).distinct()
         if sets is None:
-            wanted = new.select(F.col("a").alias("rep")).union(new.select("b")).distinct()
             sets = C.materialize(full_sets(docs, wanted), "sets")
         else:
-            wanted = new.select(F.col("a").alias("rep")).union(new.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")
+            wanted = C.materialize(wanted.join(sets.select("rep"), "rep", "left_anti"), "wanted")
             if not wanted.isEmpty():
                 sets = sets.union(C.materialize(full_sets(docs, wanted), "sets"))
-        tested.append(C.materialize(confirm(new, sets), "tested"))
-        known = tested[0]
-        for t in tested[1:]:
-            known = known.union(t)
-        good = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = C.materialize(components(good), "labels")
-        bad = emitted.join(known.filter(~F.col("linked")).select("a", "b"), ["a", "b"], "left_semi").select("key", "a", "b")
-        refuted = C.materialize(bad if refuted is None else refuted.union(bad).distinct(), "refuted")
+        just = C.materialize(confirm(new, sets), "tested")
+        tested = just if tested is None else tested.union(just)
+        if labels is None or not just.filter("linked").isEmpty():
+            labels = C.materialize(components(tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+        refuted = emitted.join(tested.filter(~F.col("linked")).select("a", "b"), ["a", "b"], "left_semi").select("key", "a", "b") if refuted is None else refuted.union(
+            emitted.join(tested.filter(~F.col("linked")).select("a", "b"), ["a", "b"], "left_semi").select("key", "a", "b")
+        ).distinct()
+        refuted = C.materialize(refuted, "refuted")
         round_ += 1
 
-    edges = links
-    for t in tested:
-        edges = edges.union(t.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    label = components(edges).withColumnRenamed("node", "rep")
-    grouped = classes.join(label, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    # a document whose set is empty keeps a null key here and stands for itself
-    out = signed.withColumn("_key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
-    out = out.join(grouped.withColumnRenamed("set_key", "_key"), "_key", "left")
+    grouped = reps.select("set_key", "rep")
+    if labels is not None:
+        grouped = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("rep"))
+    # a row without a set keeps a null key here and stands for itself
+    out = signed.withColumn("_key", F.when((F.col(size) > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
+    out = out.join(grouped.select(F.col("set_key").alias("_key"), F.col("rep").alias("component_id")), "_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
