@@ -1,6 +1,6 @@
 """All registered queries of the road-network engine."""
 
-from roadspark.plans import roads  # noqa: F401
+from roadspark.plans import analytics, network, roads  # noqa: F401
 from roadspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
