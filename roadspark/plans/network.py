@@ -181,7 +181,7 @@ def adjacency_sink(t: Tables) -> DataFrame:
 
 
 REQUESTS = [10, 30, 55]
-_REQ = f"""q AS (SELECT k AS request_id, ({_ROOT}) AS src, ({_ROOT}) + k * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dst FROM part, (VALUES (0), (10), (30), (55), (1000000)) v(k) GROUP BY k)"""
+_REQ = f"""q AS (SELECT CAST(k AS BIGINT) AS request_id, CAST({_ROOT} AS BIGINT) AS src, CAST({_ROOT} AS BIGINT) + k * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dst FROM part, (VALUES (0), (10), (30), (55), (1000000)) v(k) GROUP BY k)"""
 
 
 def requests(t: Tables) -> DataFrame:
@@ -252,7 +252,9 @@ def nearest_edge(t: Tables) -> DataFrame:
     e = e.withColumn("cx", span(F.least("ax", "bx"), F.greatest("ax", "bx"))).withColumn("cy", span(F.least("ay", "b_y"), F.greatest("ay", "b_y")))
     near = F.sequence(F.lit(-1), F.lit(1))
     f = f.withColumn("cx", F.explode(F.transform(near, lambda d: geo.cell(c("px"), size) + d))).withColumn("cy", F.explode(F.transform(near, lambda d: geo.cell(c("py"), size) + d)))
-    j = f.join(e, ["cx", "cy"])
+    pad = 3e-3
+    near_box = geo.boxes_meet((F.least("ax", "bx"), F.least("ay", "b_y"), F.greatest("ax", "bx"), F.greatest("ay", "b_y")), (c("px") - pad, c("py") - pad, c("px") + pad, c("py") + pad))
+    j = f.join(e, ["cx", "cy"]).filter(near_box)
     p = [c(k) for k in ("px", "py", "ax", "ay", "bx", "b_y")]
     key = F.round(F.pow(geo.segment_distance_deg(*p), 2.0), 14)
     best = j.groupBy("event_id").agg(F.min(F.struct(key.alias("k"), c("edge_id"), geo.project_share(*p).alias("t"), c("source_id"), c("target_id"))).alias("b"))
