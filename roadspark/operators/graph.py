@@ -36,7 +36,9 @@ def weak_components(edges: DataFrame) -> DataFrame:
         mark = state
 
 
-def distances(arcs: DataFrame, sources: DataFrame, limit: int | None = None, keep: Column | None = None, extra: list[str] | None = None) -> DataFrame:
+def distances(
+    arcs: DataFrame, sources: DataFrame, limit: int | None = None, keep: Column | None = None, extra: list[str] | None = None, penalised: DataFrame | None = None, factor: int = 1
+) -> DataFrame:
     """Least whole-number distances (src, node, g, parent) from each source over arcs (s, t, w).
 
     ``sources`` has src and, if ``extra`` names columns for ``keep``, those. Distances beyond
@@ -46,13 +48,18 @@ def distances(arcs: DataFrame, sources: DataFrame, limit: int | None = None, kee
     """
     extra = extra or []
     arcs = arcs.groupBy("s", "t").agg(F.min("w").alias("w"))
-    zero = sources.select("src", F.col("src").alias("node"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh"), *extra).dropDuplicates(["src"])
+    start = F.col("node" if "node" in sources.columns else "src")
+    zero = sources.select("src", start.alias("node"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh"), *extra).dropDuplicates(["src"])
     state, arcs = settle(zero, "distances"), settle(arcs, "arcs")
     by = ["src", "node", *extra]
     while True:
         found, front = None, state.filter("fresh").select("src", "node", "g", *extra)
         for _ in range(HOPS):
-            step = front.join(arcs, front.node == arcs.s).select("src", F.col("t").alias("node"), (F.col("g") + F.col("w")).alias("g"), F.col("s").alias("parent"), *extra)
+            step, weight = front.join(arcs, front.node == arcs.s), F.col("w")
+            if penalised is not None:
+                step = step.join(penalised.select("src", "s", "t", F.lit(True).alias("hit")), ["src", "s", "t"], "left")
+                weight = F.when(F.col("hit"), F.col("w") * factor).otherwise(F.col("w"))
+            step = step.select("src", F.col("t").alias("node"), (F.col("g") + weight).alias("g"), F.col("s").alias("parent"), *extra)
             if limit is not None:
                 step = step.filter(F.col("g") <= limit)
             if keep is not None:
