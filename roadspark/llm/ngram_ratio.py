@@ -43,33 +43,29 @@ def gram_buckets(words: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return (grams % np.uint64(buckets)).astype(np.int64), np.concatenate([C.owners(words.first), C.owners(at)])
 
 
-def count_grams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, corpus, trusted) counts over all of ``docs`` (text, trusted boolean)."""
+def count_grams(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n) over all of ``texts`` (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, corpus, trusted = WordStats(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        stats, n = WordStats(), np.zeros(buckets, np.int64)
         for batch in batches:
             data, offsets = C.text_bytes(batch.column("text"))
-            sure = batch.column("trusted").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in C.pieces(offsets):
-                at, row = gram_buckets(stats.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), buckets)
-                corpus += np.bincount(at, minlength=buckets)
-                trusted += np.bincount(at[sure[i:j][row]], minlength=buckets)
-        some = np.flatnonzero(corpus)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(corpus[some]), pa.array(trusted[some])], ["bucket", "corpus", "trusted"])
+                n += np.bincount(gram_buckets(stats.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), buckets)[0], minlength=buckets)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
 
-    parts = docs.select("text", "trusted").mapInArrow(count, "bucket long, corpus long, trusted long")
-    return parts.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
+    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def log_ratios(corpus: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The table of log ratios; its size is fixed by ``buckets``."""
-    corpus, trusted = np.ones(buckets), np.zeros(buckets)
-    for row in counts.toLocalIterator():
-        corpus[row.bucket] += row.corpus
-        trusted[row.bucket] += row.trusted
-    corpus /= corpus.sum()
-    return np.log((trusted + buckets * corpus) / ((trusted.sum() + buckets) * corpus))
+    p, t = np.ones(buckets), np.zeros(buckets)
+    for table, counts in ((p, corpus), (t, trusted)):
+        for row in counts.toLocalIterator():
+            table[row.bucket] += row.n
+    p /= p.sum()
+    return np.log((t + buckets * p) / ((t.sum() + buckets) * p))
 
 
 def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -96,13 +92,17 @@ def score_documents(docs: DataFrame, table: np.ndarray, threshold: float = THRES
     return C.map_texts(docs, ["doc_id"] if keep is None else keep, SCORED, make)
 
 
-def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, trusted): trusted are all labelled good documents outside the held-out fifth."""
-    good = labels.filter((F.col("quality") == 1) & ~C.is_held_out()).select("doc_id", F.lit(True).alias("trusted")).distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text) of all labelled good documents outside the held-out fifth.
+
+    The ids are too many to broadcast, so this is a merge join at every size; on large
+    inputs Spark filters the documents by the ids' Bloom filter before it shuffles them.
+    """
+    good = labels.filter((F.col("quality") == 1) & ~C.is_held_out()).select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id").select("text")
 
 
 def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_documents(docs, log_ratios(count_grams(with_trust(docs, labels))))
+    return score_documents(docs, log_ratios(count_grams(docs), count_grams(trusted_texts(docs, labels))))
