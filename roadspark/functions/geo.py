@@ -163,11 +163,16 @@ def line_length_m(points: Column) -> Column:
 def segmentize(points: Column, longest_m: float = 50.0) -> Column:
     """The line with points added so that no step is longer than ``longest_m``."""
 
-    def cut(p: Column) -> Column:
+    def counted(p: Column) -> Column:
         n = F.greatest(F.ceil(haversine_m(p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"]) / longest_m), F.lit(1)).cast("int")
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), n.alias("n"))
+
+    def cut(p: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda k: F.struct(interpolate(p["a"]["lon"], p["b"]["lon"], k / n).alias("lon"), interpolate(p["a"]["lat"], p["b"]["lat"], k / n).alias("lat")),
+            F.sequence(F.lit(0), p["n"] - 1),
+            lambda k: F.struct(interpolate(p["a"]["lon"], p["b"]["lon"], k / p["n"]).alias("lon"), interpolate(p["a"]["lat"], p["b"]["lat"], k / p["n"]).alias("lat")),
         )
 
-    return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(pairs(points), cut)), F.slice(points, F.size(points), F.lit(1))))
+    # the number of parts is computed once a step, not once a part
+    steps = F.transform(pairs(points), counted)
+    return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(steps, cut)), F.slice(points, F.size(points), F.lit(1))))

@@ -60,7 +60,10 @@ def trip_stream(fixes: DataFrame, gap: str = "10 hours", late: str = "1 hour") -
 
 
 class TeleportDetector(StatefulProcessor):
-    """Keeps each agent's last fix; reports steps that are too long for the time between them."""
+    """Keeps each agent's last fix; reports steps that are too long for the time between them.
+
+    Fixes older than the last one are left out.
+    """
 
     def __init__(self, most_kmh: float = 150.0, slack: float = 1.5) -> None:
         self.most_mps, self.slack = most_kmh / 3.6, slack
@@ -77,6 +80,8 @@ class TeleportDetector(StatefulProcessor):
         for f in fixes.itertuples():
             if before is not None:
                 sec, lon, lat, running = before
+                if f.sec < sec:  # later than a fix that was handled already
+                    continue
                 a = math.sin(math.radians(f.lat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(f.lat)) * math.sin(math.radians(f.lon - lon) / 2) ** 2
                 metres = 2 * 6371000.0 * math.asin(math.sqrt(a))
                 if running and f.is_running and metres > self.most_mps * (f.sec - sec) * self.slack:
