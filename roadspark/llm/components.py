@@ -29,7 +29,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = both.join(least, "u")
     if larger:
-        return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.union(least.filter(F.col("u") != F.col("m")).select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,13 +40,14 @@ def components(edges: DataFrame) -> DataFrame:
     Self links and repeated links change nothing; nodes without links do not appear.
     """
     ordered = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, mark = materialize(ordered, "links"), None
-    while True:
-        after = materialize(_star(_star(now, True), False), "links")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(now)
+    now, settled = ordered, False
+    while not settled:
+        after = materialize(_star(_star(now, True), False), "stars")
+        # done when every node hangs on one centre, and no centre hangs on another node
+        ends = after.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(after.select("v", F.lit(0), F.lit(1)))
+        roles = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        settled = roles.filter((F.col("hangs") > 1) | (F.col("hangs") + F.col("holds") > 1)).isEmpty()
+        if now is not ordered:
+            discard(now)
         now = after
-        if state == mark:
-            break
-        mark = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

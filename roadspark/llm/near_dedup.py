@@ -5,17 +5,18 @@
    and an odd sketch (the samples folded into a parity bitmap).
 2. Documents with equal sets are one class; only class representatives go on.
 3. Representatives that share a band key are candidates. The members of a key are dealt
-   out in blocks of at most ``BLOCK``; inside a block, XOR population counts of the odd
+   out in blocks of about ``BLOCK``; inside a block, XOR population counts of the odd
    sketches give all similarities at once, and only a maximum spanning forest over the
    pairs that can still be links is emitted: fewer rows than members, never all pairs.
-4. Each emitted pair is confirmed on the full shingle sets; confirmed pairs are links.
-5. A key whose members lie in more than one component after that is looked at again: its
-   refuted pairs are left out, twice as many forests are emitted each round, and keys
-   with several blocks meet block against block. This ends when no pair that could
-   join two components is left unconfirmed, so no link is lost behind a forest.
+4. Each pair of a forest is confirmed on the full shingle sets; confirmed pairs are links.
+5. A refuted pair leaves a family (documents tied by forest pairs) in several parts, and
+   links between them may hide behind the forest. There, every document outside the
+   family's largest part is compared, on full sets, with all documents of the other
+   parts, in blocks of bounded size; each comparison task emits one link a part at most.
+   So no link is lost, and what is shipped grows with the family times its strays.
 
 With 32 bands of 4 samples a pair at similarity 0.75 misses all bands with probability
-5e-6; a sketch estimate under ``SURE_BELOW`` is six standard errors under 0.75.
+5e-6; a sketch estimate under ``SURE_BELOW`` is five standard errors under 0.75.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ WIDTH = 5
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 BLOCK = 512
-SURE_BELOW = 0.5
+#: Documents and shingles of one side in an exact comparison task.
+SIDE_DOCS, SIDE_SHINGLES = 1024, 1 << 20
+SURE_BELOW = 0.55
 #: The similarity limit as a ratio of integers.
 LIMIT = (75, 100)
 
@@ -125,98 +128,83 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def forest(similar: np.ndarray, cut: float) -> list[tuple[int, int]]:
-    """A maximum spanning forest over pairs at ``cut`` or above; pairs above 1 are joined already and not returned."""
+    """A maximum spanning forest over the pairs at ``cut`` or above."""
     n, out = len(similar), []
     best, parent, open_ = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool)
     for _ in range(n):
         k = int(np.argmax(np.where(open_, best, -2.0)))
         open_[k] = False
-        if cut <= best[k] <= 1:
+        if best[k] >= cut:
             out.append((int(parent[k]), k))
         nearer = open_ & (similar[k] > best)
         best[nearer], parent[nearer] = similar[k][nearer], k
     return out
 
 
-def block_pairs(sketch: np.ndarray, size: np.ndarray, group: np.ndarray, refuted: list[tuple[int, int]], forests: int) -> list[tuple[int, int]]:
-    """Pairs of a block to confirm now."""
-    n = len(size)
-    differ = np.zeros((n, n), np.int64)
+def similarities(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Estimates for all pairs of a block; -1 where the set sizes alone rule a link out."""
+    differ = np.zeros((len(size), len(size)), np.int64)
     for w in range(sketch.shape[1]):
         differ += np.bitwise_count(sketch[:, w, None] ^ sketch[None, :, w])
-    similar = np.minimum(estimates(differ), 1.0)
+    similar = estimates(differ)
     low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    similar[LIMIT[1] * low < LIMIT[0] * high] = -1  # sizes alone rule the link out
-    for i, j in refuted:
-        similar[i, j] = similar[j, i] = -1
-    similar[group[:, None] == group[None, :]] = 2
-    out: list[tuple[int, int]] = []
-    for _ in range(forests):
-        new = forest(similar, SURE_BELOW)
-        if not new:
-            break
-        out += new
-        for i, j in new:
-            similar[i, j] = similar[j, i] = -1
-    return out
-
-
-PAIRED = "key long, a long, b long"
-
-
-def candidate_pairs(rows: DataFrame, forests: int) -> DataFrame:
-    """Pairs to confirm, from rows (key, block, kind, rep, other, n_shingles, sketch, comp).
-
-    kind 0 is a member of the block, kind 1 a pair (rep, other) that was refuted.
+    similar[LIMIT[1] * low < LIMIT[0] * high] = -1
+    return similar
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of complete groups, from batches sorted by the integer columns ``by``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in by])
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in by):
+            yield pa.Table.from_batches(held)
+            held = []
+        other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+        tail = int(other[-1]) + 1 if len(other) else 0  # rows of the last group begin here
+        if tail:
+            yield pa.Table.from_batches([*held, batch.slice(0, tail)])
+            held = []
+        held.append(batch.slice(tail))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_edges(table: pa.Table, by: list[str]) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy() for c in by])
+    return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [keys.shape[1]]])
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, weak) from rows (key, block, rep, head, n_shingles, sketch): the forests of all blocks.
+
+    A weak pair only ties a block of a large key to the key's head: it makes them one
+    family, whose links are then looked for exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole() -> Iterator[pa.Table]:
-            """Tables of complete blocks."""
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
-                same = (key == key[-1]) & (block == block[-1])
-                tail = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
-                if tail:
-                    yield pa.Table.from_batches([*held, batch.slice(0, tail)])
-                    held = []
-                elif held and (held[-1].column("key")[-1] != batch.column("key")[0] or held[-1].column("block")[-1] != batch.column("block")[0]):
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(tail))
-            if held:
-                yield pa.Table.from_batches(held)
-
-        for table in whole():
-            key, block, kind = (table.column(c).to_numpy() for c in ("key", "block", "kind"))
-            rep, other, size, comp = (table.column(c).to_numpy() for c in ("rep", "other", "n_shingles", "comp"))
-            raw = table.column("sketch").combine_chunks()
-            sketch = np.frombuffer(b"".join(x.as_py() or bytes(SKETCH_BITS // 8) for x in raw), np.uint64).reshape(-1, SKETCH_BITS // 64)
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-            edge = np.append(edge, len(key))
-            out: list[tuple[int, int, int]] = []
-            two = np.flatnonzero(np.diff(edge) == 2)  # most blocks: one pair
-            i = edge[two]
-            i = i[(kind[i] == 0) & (kind[i + 1] == 0) & (comp[i] != comp[i + 1])]
+        for table in whole_groups(batches, ["key", "block"]):
+            rep, head, size = (table.column(c).to_numpy() for c in ("rep", "head", "n_shingles"))
+            sketch = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch").combine_chunks()), np.uint64).reshape(len(rep), -1)
+            edge = group_edges(table, ["key", "block"])
+            i = edge[:-1][np.diff(edge) == 2]  # most blocks: one pair
             near = estimates(np.bitwise_count(sketch[i] ^ sketch[i + 1]).sum(axis=1)) >= SURE_BELOW
             low, high = np.minimum(size[i], size[i + 1]), np.maximum(size[i], size[i + 1])
             i = i[near & (LIMIT[1] * low >= LIMIT[0] * high)]
-            out += zip(key[i].tolist(), rep[i].tolist(), rep[i + 1].tolist())
+            out = [(int(x), int(y), False) for x, y in zip(rep[i], rep[i + 1])]
             for s, e in zip(edge[:-1], edge[1:]):
-                m = int(s + (kind[s:e] == 0).sum())
-                if e - s <= 2 or m - s < 2 or (comp[s:m] == comp[s]).all():
-                    continue
-                at = {int(r): k for k, r in enumerate(rep[s:m])}
-                refuted = [(at[int(x)], at[int(y)]) for x, y in zip(rep[m:e], other[m:e]) if int(x) in at and int(y) in at]
-                out += [(int(key[s]), int(rep[s + x]), int(rep[s + y])) for x, y in block_pairs(sketch[s:m], size[s:m], comp[s:m], refuted, forests)]
+                if e - s > 2:
+                    out += [(int(rep[s + x]), int(rep[s + y]), False) for x, y in forest(similarities(sketch[s:e], size[s:e]), SURE_BELOW)]
+                if head[s] >= 0:
+                    out += [(int(rep[s]), int(head[s]), True)] if rep[s] != head[s] else []
+                    out += [(int(r), int(rep[s]), True) for r in rep[s + 1 : e]]
             if out:
-                k, a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
+                a, b, weak = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(weak)], ["a", "b", "weak"])
 
-    return rows.mapInArrow(run, PAIRED)
+    return members.mapInArrow(run, "a long, b long, weak boolean")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,44 +231,79 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the wanted representatives only."""
+    """(rep, shingles) of the wanted representatives only.
+
+    A merge join at every size: the wanted ids grow with the corpus. On large inputs Spark
+    filters the documents by the ids' Bloom filter before it shuffles them.
+    """
 
     def make() -> C.Kernel:
         shingler = Shingler()
         return lambda data, offsets: [pa.array([x.tobytes() for x in shingler.sets(data, offsets)], pa.binary())]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep", "left_semi")
     return C.map_texts(texts, ["rep"], "shingles binary", make).dropDuplicates(["rep"])
 
 
-def refuted_rows(refuted: DataFrame, members: DataFrame, round_: int) -> DataFrame:
-    """Refuted pairs as rows of the blocks where both of their documents are."""
-    sized = refuted.join(members.select("key", "members").distinct(), "key")
-    first = blocks_for(sized.select("key", F.col("a").alias("rep"), "b", "members"), round_).select("key", "block", F.col("rep").alias("a"), "b")
-    second = blocks_for(sized.select("key", F.col("b").alias("rep"), "a", "members"), round_).select("key", "block", "a", F.col("rep").alias("b"))
-    zero = F.lit(0).cast("long")
-    same = first.join(second, ["key", "block", "a", "b"])
-    return same.select("key", "block", F.lit(1).alias("kind"), F.col("a").alias("rep"), F.col("b").alias("other"), zero.alias("n_shingles"), F.lit(None).cast("binary").alias("sketch"), zero.alias("comp"))
+def hidden_links(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links across the parts of families, from rows (family, part, rep, n_shingles).
 
+    Strays are the documents outside the largest part (the least of equal ones). Strays and
+    members are both cut into sides of bounded size, and every side of strays meets
+    every side of members.
+    """
+    parts = families.groupBy("family", "part").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("mass"))
+    whole = parts.groupBy("family").agg(F.sum("docs").alias("docs"), F.sum("mass").alias("mass"), F.max(F.struct("docs", -F.col("part"), "mass")).alias("most"))
 
-def blocks_for(members: DataFrame, round_: int) -> DataFrame:
-    """Deals the members of a key to blocks.
+    def sides(docs, mass):
+        return F.greatest(F.ceil(docs / SIDE_DOCS), F.ceil(mass / SIDE_SHINGLES)).cast("long")
 
-    Keys of at most BLOCK members are one block. Larger ones are dealt at random in the
-    first round; after it every two sub-blocks of BLOCK / 2 meet, so each pair meets somewhere.
-    """
-    if round_ == 0:
-        parts = F.ceil(F.col("members") / BLOCK)
-        dealt = F.pmod(F.xxhash64("rep", "key"), parts)
-        return members.withColumn("block", F.when(F.col("members") > BLOCK, dealt).otherwise(0).cast("long"))
-    parts = F.ceil(F.col("members") / (BLOCK // 2)).cast("long")
-    own = F.pmod(F.xxhash64("rep", "key"), parts)
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("long"), parts - 1),
-        lambda x: F.least(x, F.col("own")) * parts + F.greatest(x, F.col("own")),
+    sized = whole.select(
+        "family", (-F.col("most.col2")).alias("main"), sides(F.col("docs"), F.col("mass")).alias("sides"),
+        sides(F.col("docs") - F.col("most.docs"), F.col("mass") - F.col("most.mass")).alias("stray_sides"),
+    )
+    docs = families.join(sized, "family").join(sets, "rep")
+    zero = F.lit(0).cast("long")
+    member = docs.select(
+        "family", F.explode(F.sequence(zero, F.col("stray_sides") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), F.col("sides")).alias("y"), F.lit(0).alias("stray"), "part", "rep", "shingles"
+    )
+    stray = docs.filter(F.col("part") != F.col("main")).select(
+        "family", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("stray_sides")).alias("x"), F.explode(F.sequence(zero, F.col("sides") - 1)).alias("y"), F.lit(1).alias("stray"), "part", "rep", "shingles"
     )
-    choice = F.when(F.col("members") > BLOCK, meets).otherwise(F.array(F.lit(0).cast("long")))
-    return members.withColumn("own", own).withColumn("block", F.explode(choice)).drop("own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = ["family", "x", "y"]
+        for table in whole_groups(batches, by):
+            edge = group_edges(table, by)
+            stray, part, rep = (table.column(c).to_numpy() for c in ("stray", "part", "rep"))
+            raw = table.column("shingles").combine_chunks()
+            out: list[tuple[int, int]] = []
+            for s, e in zip(edge[:-1], edge[1:]):
+                m = s + int((stray[s:e] == 0).sum())
+                if m == s or m == e:
+                    continue
+                held = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in range(s, m)]
+                size = np.array([len(h) for h in held])
+                begins = np.concatenate([[0], np.cumsum(size)[:-1]])
+                words, place = np.unique(np.concatenate(held), return_inverse=True)
+                marked = np.zeros(len(words), np.int32)
+                for k in range(m, e):
+                    own = np.frombuffer(raw[int(k)].as_buffer(), np.uint64)
+                    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                    at = at[words[at] == own]
+                    marked[at] = 1
+                    shared = np.add.reduceat(marked[place], begins)
+                    marked[at] = 0
+                    linked = (LIMIT[1] * shared >= LIMIT[0] * (len(own) + size - shared)) & (part[s:m] != part[k])
+                    if linked.any():
+                        hit = np.flatnonzero(linked)
+                        out += [(int(rep[k]), int(rep[s + h])) for h in hit[np.unique(part[s:m][hit], return_index=True)[1]]]
+            if out:
+                u, v = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    dealt = member.union(stray).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "stray", "rep")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def one_text_an_id(signed: DataFrame) -> DataFrame:
@@ -310,51 +333,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first(size).alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
     )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    members = C.materialize(keyed.join(shared, "key"), "members")
-
-    labels = refuted = sets = tested = None
-    round_ = 0
-    while True:
-        now = members
-        if labels is None:
-            now = now.withColumn("comp", F.col("rep"))
-        else:
-            label = labels.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-            now = now.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("members").alias("n")).filter("low < high")
-            again = mixed.join(refuted.select("key").distinct().withColumn("again", F.lit(1)), "key", "left")
-            # a key of one block without refuted pairs has no pair left to try; nor has a refuted pair alone
-            again = again.filter((F.col("n") > BLOCK) | ((F.col("again") == 1) & (F.col("n") > 2))).select("key")
-            now = now.join(C.materialize(again, "open-keys"), "key", "left_semi")
-        now = blocks_for(now, round_).join(reps.select("rep", "n_shingles", "sketch"), "rep")
-        rows = now.select("key", "block", F.lit(0).alias("kind"), "rep", F.lit(0).cast("long").alias("other"), "n_shingles", "sketch", "comp")
-        if round_:
-            rows = rows.union(refuted_rows(refuted, members, round_))
-        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "kind", "rep")
-        emitted = C.materialize(candidate_pairs(dealt, 1 << round_), "emitted")
-        new = emitted.select("a", "b").distinct()
-        if tested is not None:
-            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if emitted.isEmpty():
-            break
-        new = C.materialize(new, "pairs")
-        wanted = new.select(F.col("a").alias("rep")).union(new.select("b")).distinct()
-        if sets is None:
-            sets = C.materialize(full_sets(docs, wanted), "sets")
-        else:
-            wanted = C.materialize(wanted.join(sets.select("rep"), "rep", "left_anti"), "wanted")
-            if not wanted.isEmpty():
-                sets = sets.union(C.materialize(full_sets(docs, wanted), "sets"))
-        just = C.materialize(confirm(new, sets), "tested")
-        tested = just if tested is None else tested.union(just)
-        if labels is None or not just.filter("linked").isEmpty():
-            labels = C.materialize(components(tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-        refuted = emitted.join(tested.filter(~F.col("linked")).select("a", "b"), ["a", "b"], "left_semi").select("key", "a", "b") if refuted is None else refuted.union(
-            emitted.join(tested.filter(~F.col("linked")).select("a", "b"), ["a", "b"], "left_semi").select("key", "a", "b")
-        ).distinct()
-        refuted = C.materialize(refuted, "refuted")
-        round_ += 1
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("head")).filter("members > 1")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    members = keyed.join(shared, "key").select(
+        "key", "rep", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), F.when(blocks > 1, F.col("head")).otherwise(-1).alias("head")
+    )
+    members = members.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "block", "rep", "head", "n_shingles", "sketch")
+    found = C.materialize(candidate_pairs(members.repartition("key", "block").sortWithinPartitions("key", "block", "rep")).groupBy("a", "b").agg(F.min("weak").alias("weak")), "pairs")
+    labels = None
+    if not found.isEmpty():
+        sets = C.materialize(full_sets(docs, found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()), "sets")
+        links = confirm(found.filter(~F.col("weak")).select("a", "b"), sets).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = C.materialize(links, "links")
+        labels = C.materialize(components(links), "labels")
+        part = labels.select(F.col("node").alias("n"), "component")
+        ties = found.join(part.withColumnRenamed("component", "pa"), F.col("a") == F.col("n"), "left").drop("n")
+        ties = ties.join(part.withColumnRenamed("component", "pb"), F.col("b") == F.col("n"), "left").drop("n")
+        ties = ties.select(F.coalesce("pa", "a").alias("u"), F.coalesce("pb", "b").alias("v")).filter("u <> v").distinct()
+        families = components(C.materialize(ties, "ties")).select(F.col("node").alias("part"), F.col("component").alias("family"))
+        named = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(labels, "node", "left")
+        named = named.select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("part"))
+        families = named.join(families, "part").join(reps.select("rep", "n_shingles"), "rep")
+        # two documents alone: their one pair is refuted already
+        more = families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 2").select("family")
+        families = C.materialize(families.join(more, "family", "left_semi"), "families")
+        hidden = C.materialize(hidden_links(families, sets), "hidden")
+        if not hidden.isEmpty():
+            labels = C.materialize(components(links.union(hidden)), "labels")
 
     grouped = reps.select("set_key", "rep")
     if labels is not None:
