@@ -44,7 +44,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keep = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     known = docs.filter(F.col("doc_id").isNotNull())
-    stay = known.join(keep, known.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    stay = known.join(keep.hint("merge"), known.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
