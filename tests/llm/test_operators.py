@@ -108,7 +108,8 @@ def test_ratio_keeps_and_drops(spark):
     bad = [" ".join(rng.choice(["buy", "win", "free"]) + str(rng.randrange(40)) for _ in range(80)) for _ in range(40)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + ["", "short"])] + [(None, None)], "doc_id long, text string")
     trusted = df.filter("doc_id < 30")
-    got = {r.doc_id: r for r in ngram_ratio.score_documents(df, ngram_ratio.log_ratios(ngram_ratio.count_grams(df), ngram_ratio.count_grams(trusted))).collect()}
+    table = ngram_ratio.log_ratios(ngram_ratio.count_grams(df, 512), ngram_ratio.count_grams(trusted, 512), 512)
+    got = {r.doc_id: r for r in ngram_ratio.score_documents(df, table).collect()}
     assert all(got[i].kept for i in range(60) if not got[i].base_failed) and not any(got[i].kept for i in range(60, 103 - 1))
     assert got[None].base_failed and got[None].log_ratio == 0
 
@@ -168,7 +169,7 @@ def test_pu_risk_finds_the_word():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.append(rng.integers(10, 500, 20), [3] if k < 50 or k % 10 == 0 else [])) for k in range(600)]
     first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    w, bias = pu_toxicity.fit_pu(np.concatenate(rows), first, np.arange(600) < 50, 0.1)
+    w, bias = pu_toxicity.fit_pu(np.concatenate(rows).astype(np.int64), first, np.arange(600) < 50, 0.1)
     assert w[3] > 1 and w[3] + bias > 0 > bias
 
 
