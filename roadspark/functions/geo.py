@@ -176,3 +176,31 @@ def segmentize(points: Column, longest_m: float = 50.0) -> Column:
     # the number of parts is computed once a step, not once a part
     steps = F.transform(pairs(points), counted)
     return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(steps, cut)), F.slice(points, F.size(points), F.lit(1))))
+
+
+def clip_from(points: Column, lon: Column, lat: Column) -> Column:
+    """The part of a line that lies ahead of a position: (at, line).
+
+    ``at`` is the number of the nearest segment (the first one on ties, from 0); ``line`` begins
+    at the position's projection on it and goes on with the vertices after it. Null for lines
+    with fewer than two points.
+    """
+    measured = F.transform(
+        pairs(points),
+        lambda p, i: F.struct(
+            F.round(segment_distance_deg(lon, lat, p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"]), 12).alias("d"), i.alias("i"),
+            project_share(lon, lat, p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"]).alias("t"), p["a"].alias("a"), p["b"].alias("b"),
+        ),
+    )
+    # bound once through a one-element array, so that the minimum is not searched for again in every use
+    cut = F.transform(
+        F.array(F.array_min(measured)),
+        lambda m: F.struct(
+            m["i"].alias("at"),
+            F.concat(
+                F.array(F.struct(interpolate(m["a"]["lon"], m["b"]["lon"], m["t"]).alias("lon"), interpolate(m["a"]["lat"], m["b"]["lat"], m["t"]).alias("lat"))),
+                F.slice(points, m["i"] + 2, F.size(points)),
+            ).alias("line"),
+        ),
+    )
+    return F.when(F.size(points) >= 2, F.get(cut, F.lit(0)))
