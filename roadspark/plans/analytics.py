@@ -69,7 +69,7 @@ def graph_stats(t: Tables) -> DataFrame:
     by = e.groupBy("highway").agg(F.count("*").alias("n"), F.sum("length_m").alias("m"), F.sum("n_lanes").alias("l"), F.sum(road.capacity(c("length_m"), c("n_lanes"))).alias("cap"))
     one = by.agg(
         F.sum("n").alias("edges"), F.round(F.sum("m") / 1e3, 4).alias("total_km"), F.round(F.sum("m") / F.sum("n"), 4).alias("avg_m"), F.round(F.sum("l") / F.sum("n"), 4).alias("avg_lanes"),
-        F.sum("cap").alias("capacity"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("highway", "n"))))).alias("per_class"),
+        F.sum("cap").alias("capacity"), F.to_json(F.struct(*[F.sum(F.when(c("highway") == k, c("n")).otherwise(0)).alias(k) for k in ("motorway", "primary", "residential", "tertiary")])).alias("per_class"),
     )
     return one.crossJoin(t.g_node.agg(F.count("*").alias("nodes")))  # one row each
 
