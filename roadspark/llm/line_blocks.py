@@ -1,13 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element becomes one line. A line's measure is the
-number of its characters outside links; lines in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, and lines outside the page's article (where
-it marks one), measure 0. The measures are summed over sliding windows of ``WINDOW``
+number of its characters outside links; lines outside the page's article (where it marks
+one) measure 0, and menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments give no lines, so that they do not part the text around them. The measures are summed over sliding windows of ``WINDOW``
 lines: a surge point is where the sum leaves 0, a dive point is where it falls back to 0,
 and the text between a surge and its dive is kept whole. A page that marks no article
-keeps the stretch with the most text, and those beside it that hold at least
-``SIDE_SHARE`` of that.
+keeps every stretch, whatever its length.
 
 A null or empty page gives an empty text; broken and unclosed markup is read as far as it goes.
 """
@@ -29,7 +28,6 @@ from roadspark.llm import common as C
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 3
-SIDE_SHARE = 0.5
 
 # Kinds of elements.
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"])
@@ -80,7 +78,7 @@ def is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, measure, article): a line for each block; article numbers the enclosing article, 0 for none.
 
-    Lines of parts that are left out have empty text and measure 0.
+    Parts that are left out give no lines.
     """
     out: list[tuple[str, int, int]] = []
     stack: list[str] = []
@@ -93,8 +91,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         nonlocal linked
         line = SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
-        if line or skip_from:
-            out.append(("" if skip_from else line, 0 if skip_from else max(0, len(line) - linked), inside[-1][1] if inside else 0))
+        if line:  # never of a part that is left out: its text is not gathered
+            out.append((line, max(0, len(line) - linked), inside[-1][1] if inside else 0))
         linked = 0
 
     while at < end:
@@ -167,10 +165,7 @@ def main_text(page: str) -> str:
     marked = any(a and m for _, m, a in lines)
     measures = np.array([m if a or not marked else 0 for _, m, a in lines], np.int64)
     found = stretches(measures)
-    if not marked and found:
-        sums = [measures[a:b].sum() for a, b in found]
-        found = [f for f, s in zip(found, sums) if s >= SIDE_SHARE * max(sums)]
-    elif marked:
+    if marked:
         # an article's own lines of links alone stand beside its stretches, and belong to it
         grown = []
         for a, b in found:
@@ -182,7 +177,7 @@ def main_text(page: str) -> str:
             grown.append((a, b))
         found = grown
     keep = sorted({k for a, b in found for k in range(a, b)})
-    return "\n".join(lines[k][0] for k in keep if lines[k][0] and (lines[k][2] or not marked))
+    return "\n".join(lines[k][0] for k in keep if lines[k][2] or not marked)
 
 
 def extract(pages: DataFrame, keep: list[str], html_column: str = "html") -> DataFrame:
