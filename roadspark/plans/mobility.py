@@ -274,12 +274,23 @@ def k_routes(t: Tables) -> DataFrame:
 SELECT w.way_id, count(*) FILTER (seq > 1 AND seq < n AND uses > 1) + 1 AS pieces FROM w_node w JOIN (SELECT node_id, count(DISTINCT way_id) AS uses FROM w_node WHERE way_id % 50 = 0 GROUP BY 1) u ON u.node_id = w.node_id
 JOIN (SELECT way_id, count(*) AS n FROM w_node GROUP BY 1) k ON k.way_id = w.way_id WHERE w.way_id % 50 = 0 GROUP BY w.way_id""")
 def shared_vertices(t: Tables) -> DataFrame:
-    """Noding (a): ways are cut at inner vertices that other ways use too."""
-    w = t.w_node.filter("way_id % 50 = 0")
-    uses = w.select("node_id", "way_id").distinct().groupBy("node_id").agg(F.count("*").alias("uses"))
+    """Noding (a) within the SQL twin's sample of ways; the whole table is ``i01_all_shared_vertices``."""
+    return noded(t.w_node.filter("way_id % 50 = 0"))
+
+
+@query("i01_all_shared_vertices")
+def all_shared_vertices(t: Tables) -> DataFrame:
+    """Noding (a) of every way, against every other way."""
+    return noded(t.w_node)
+
+
+def noded(w: DataFrame) -> DataFrame:
+    """Ways are cut at inner vertices that other ways use too."""
+    # two distinct ways at a node show in the least and the greatest; both are reduced before the shuffle
+    uses = w.groupBy("node_id").agg((F.min("way_id") < F.max("way_id")).alias("shared"))
     n = w.groupBy("way_id").agg(F.count("*").alias("n"))
     j = w.join(uses, "node_id").join(n, "way_id")
-    return j.groupBy("way_id").agg((F.count_if((c("seq") > 1) & (c("seq") < c("n")) & (c("uses") > 1)) + 1).alias("pieces"))
+    return j.groupBy("way_id").agg((F.count_if((c("seq") > 1) & (c("seq") < c("n")) & c("shared")) + 1).alias("pieces"))
 
 
 _DIAG = "(SELECT edge_id, z_layer AS z, ax, ay, bx + (edge_id % 3) * 1e-3 AS bx, b_y + (edge_id % 5) * 1e-3 AS b_y FROM g_cost WHERE kind IN (1, 2))"
