@@ -9,8 +9,9 @@ shares of repeated words, lines and windows: what a text looks like, not what it
 Documents are then cut at a quantile of the scores: the share of bad documents among the
 labelled ones. The result is put on a 0..1 scale with that quantile at ``CUT``.
 
-The fit runs in numpy on at most ``MOST_ROWS`` labelled documents; every document is
-scored in one pass with the small weight vector broadcast.
+The fit runs in numpy on at most ``MOST_ROWS`` labelled documents. The bad share, the
+quantile and the scale come from the scores of all labelled documents outside the
+held-out fifth. Every document is scored with the small weight vector broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.llm import common as C
-from roadspark.llm.sampling import adam, ragged, training_ids
+from roadspark.llm.sampling import adam, known_labels, ragged, training_ids
 from roadspark.llm.wordstats import WordStats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,6 +37,8 @@ WIDTH = SHAPES + EXTRA
 MOST_ROWS, PAIRS = 8000, 60000
 #: The score at the quantile threshold.
 CUT = 0.3
+#: Quantiles are right to one rank in so many; exact up to as many rows.
+ACCURACY = 100_000
 
 
 def shape_classes() -> np.ndarray:
@@ -88,6 +91,14 @@ class Looks:
         )
         return x
 
+    def scores(self, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """w . x of each text."""
+        out = []
+        for i in range(0, len(offsets) - 1, 256):
+            o = offsets[i : i + 257]
+            out.append(self.rows(data[o[0] : o[-1]], o - o[0]) @ weights)
+        return np.concatenate(out).astype(np.float64)
+
 
 def features(docs: DataFrame) -> DataFrame:
     """(y, x) of the sampled documents; x as float32 bytes."""
@@ -125,7 +136,7 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, steps: int = 250, rate: float = 0
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
-    """(weights, threshold, scale); the threshold is the quantile of the bad share."""
+    """(weights, threshold, scale); the fit is on a sample, the threshold is the quantile of the bad share of all labelled rows."""
     chosen = F.broadcast(training_ids(labels, "quality", MOST_ROWS))  # bounded by MOST_ROWS
     table = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")).sort("doc_id", "x").toArrow()
     if not table.num_rows:
@@ -134,12 +145,33 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     x = np.frombuffer(b"".join(v.as_py() for v in raw), np.float32).reshape(-1, WIDTH)
     good = np.asarray(table.column("y")) == 1
     w = fit_pairs(x, good)
-    s = x @ w
     if good.all() or not good.any():
-        return w, float(s.min()) - 1, 1.0
-    cut = float(np.quantile(s, 1 - good.mean(), method="midpoint"))
-    scale = 4 / max(np.median(s[good]) - np.median(s[~good]), 1e-6)
-    return w, cut, float(scale)
+        return w, -1.0, 1.0  # all weights are 0
+    return w, *threshold(docs, labels, w)
+
+
+def threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) -> tuple[float, float]:
+    """(threshold, scale) over every labelled row outside the held-out fifth, with both kinds among them."""
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & ~C.is_held_out())
+    scored = C.materialize(raw_scores(mine, weights).join(known_labels(labels, "quality"), "doc_id").select("y", "s"), "labelled-scores")
+    good = F.col("y") == 1
+    middle = lambda kind: F.percentile_approx(F.when(kind, F.col("s")), 0.5, ACCURACY)
+    got = scored.agg(F.count("*").alias("n"), F.count_if(~good).alias("bad"), middle(good).alias("good_s"), middle(~good).alias("bad_s")).first()
+    # the middle between the last score of the bad share and the next one
+    ends = scored.agg(F.percentile_approx("s", [(got.bad - 0.5) / got.n, (got.bad + 0.5) / got.n], ACCURACY).alias("q")).first().q
+    C.discard(scored)
+    return sum(ends) / 2, 4 / max(got.good_s - got.bad_s, 1e-6)
+
+
+def raw_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, s): w . x of every row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def make() -> C.Kernel:
+        looks, w = Looks(), shared.value
+        return lambda data, offsets: [looks.scores(data, offsets, w)]
+
+    return C.map_texts(docs, ["doc_id"], "s double", make)
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, cut: float, scale: float, keep: list[str] | None = None, out: str = "score") -> DataFrame:
@@ -153,11 +185,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, cut: float, scale: float,
         looks, (w, at, k, shift) = Looks(), shared.value
 
         def kernel(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-            out = []
-            for i in range(0, len(offsets) - 1, 256):
-                o = offsets[i : i + 257]
-                out.append(looks.rows(data[o[0] : o[-1]], o - o[0]) @ w)
-            z = (np.concatenate(out).astype(np.float64) - at) * k + shift
+            z = (looks.scores(data, offsets, w) - at) * k + shift
             return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
         return kernel

@@ -11,8 +11,10 @@ Where the second term turns negative, its gradient is reversed, which keeps the
 from explaining the unlabelled toxic texts away. Labels of clean documents are used for
 the class prior alone.
 
-The fit runs in numpy on a bounded sample (``MOST_POSITIVE``, ``MOST_UNLABELLED`` rows);
-every document is then scored in one pass, with the fixed-size weight table broadcast.
+The fit runs in numpy on a bounded sample (``MOST_POSITIVE``, ``MOST_UNLABELLED`` rows).
+The bias then comes from histograms of the scores of all confirmed and all unlabelled
+texts outside the held-out fifth. Every document is scored with the fixed-size weight
+table broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.llm import common as C
-from roadspark.llm.sampling import adam, ragged, training_ids
+from roadspark.llm.sampling import adam, known_labels, ragged, training_ids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,6 +40,8 @@ MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Words kept for the model: those whose rates in the two samples differ most, by at least
 #: LEAST_STRENGTH standard errors, seen in so many positives.
 FEATURES, LEAST_SEEN, LEAST_STRENGTH = 1000, 3, 4.0
+#: Scores are grouped in steps of 1 / BINS, from -MOST_BINS / BINS to MOST_BINS / BINS; what lies beyond is in the outer groups.
+BINS, MOST_BINS = 1024, 1024 * 50
 
 _LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or b == 39)
 
@@ -57,6 +61,13 @@ class Letters:
         hashes = np.stack([whole, stem], axis=1).ravel()  # word, stem, word, stem, ...
         return (hashes % np.uint64(BUCKETS)).astype(np.int64), 2 * first
 
+    def scores(self, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Summed weights of what is present in each text."""
+        at, first = self.buckets(data, offsets)
+        some = weights[at] != 0
+        at, row = present(at[some], C.owners(first)[some])
+        return np.bincount(row, weights[at], minlength=len(offsets) - 1).astype(np.float64)  # of nothing it makes integers
+
 
 def present(at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each bucket once for each text."""
@@ -123,11 +134,17 @@ def fit_pu(at: np.ndarray, first: np.ndarray, positive: np.ndarray, prior: float
 
 def least_risk(pos: np.ndarray, other: np.ndarray, prior: float) -> float:
     """The threshold with the least non-negative estimate of the 0/1 risk; of equal ones the widest gap's middle."""
-    values = np.unique(np.concatenate([pos, other]))
-    at = np.append((values[1:] + values[:-1]) / 2, values[-1] + 1)
-    gap = np.append(np.diff(values), 0)
-    missed = np.searchsorted(np.sort(pos), at) / len(pos)
-    flagged = 1 - np.searchsorted(np.sort(other), at) / len(other)
+    values, place = np.unique(np.concatenate([pos, other]), return_inverse=True)
+    counts = [np.bincount(part, minlength=len(values)) for part in (place[: len(pos)], place[len(pos) :])]
+    return least_risk_of_counts(values, values, *counts, prior)
+
+
+def least_risk_of_counts(low: np.ndarray, high: np.ndarray, pos: np.ndarray, other: np.ndarray, prior: float) -> float:
+    """The same for rising groups of scores, each from ``low`` to ``high`` with so many rows of both kinds."""
+    at = np.append((low[1:] + high[:-1]) / 2, high[-1] + 1)
+    gap = np.append(low[1:] - high[:-1], 0)
+    missed = np.cumsum(pos) / pos.sum()
+    flagged = 1 - np.cumsum(other) / other.sum()
     risk = prior * missed + np.maximum(0, flagged - prior * (1 - missed))
     best = np.flatnonzero(risk <= risk.min() + 1e-12)
     return float(at[best[np.argmax(gap[best])]])
@@ -144,7 +161,33 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     chosen = F.broadcast(toxic.select("doc_id", "y").union(other))
     table = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")).toArrow()
     at, first = ragged(table.column("buckets"))
-    return fit_pu(at.astype(np.int64), first, np.asarray(table.column("y")) == 1, (counts.k or 0) / max(counts.n, 1))
+    prior, positive = (counts.k or 0) / max(counts.n, 1), np.asarray(table.column("y")) == 1
+    weights, bias = fit_pu(at.astype(np.int64), first, positive, prior)
+    if positive.all() or not positive.any():
+        return weights, bias
+    return weights, whole_bias(docs, labels, weights, min(max(prior, 1e-3), 0.5))
+
+
+def whole_bias(docs: DataFrame, labels: DataFrame, weights: np.ndarray, prior: float) -> float:
+    """The bias of least risk over every text outside the held-out fifth, with confirmed ones among them."""
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & ~C.is_held_out())
+    toxic = known_labels(labels, "toxic").filter("y = 1")
+    # at most 2 * MOST_BINS + 1 groups, whatever the number of rows; the ends of each are exact
+    group = F.greatest(F.lit(-MOST_BINS), F.least(F.lit(MOST_BINS), F.floor(F.col("z") * BINS))).alias("group")
+    scores = raw_scores(mine, weights).join(toxic, "doc_id", "left").groupBy(group)
+    table = scores.agg(F.min("z").alias("low"), F.max("z").alias("high"), F.count("y").alias("pos"), F.count("*").alias("other")).sort("group").toArrow()
+    return -least_risk_of_counts(*(np.asarray(table.column(k)) for k in ("low", "high", "pos", "other")), prior)
+
+
+def raw_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, z): the score of every row of ``docs`` without a bias."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def make() -> C.Kernel:
+        letters, w = Letters(), shared.value
+        return lambda data, offsets: [letters.scores(data, offsets, w)]
+
+    return C.map_texts(docs, ["doc_id"], "z double", make)
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None, out: str = "score") -> DataFrame:
@@ -158,10 +201,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[st
         letters, (w, b) = Letters(), shared.value
 
         def kernel(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-            at, first = letters.buckets(data, offsets)
-            some = w[at] != 0
-            at, row = present(at[some], C.owners(first)[some])
-            z = np.bincount(row, w[at], minlength=len(offsets) - 1) + b
+            z = letters.scores(data, offsets, w) + b
             return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
         return kernel

@@ -15,13 +15,18 @@ from roadspark.llm.common import is_held_out
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of all labelled rows outside the held-out fifth; of several labels for one id the larger counts."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~is_held_out())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def training_ids(labels: DataFrame, label: str, most: int, value: int | None = None) -> DataFrame:
     """At most ``most`` rows (doc_id, y) outside the held-out fifth, those of smallest hash.
 
     Rows without an id or a label are not used; of several labels for one id the larger counts.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~is_held_out())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    known = known_labels(labels, label)
     if value is not None:
         known = known.filter(F.col("y") == value)
     return known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
