@@ -100,6 +100,10 @@ def estimates(differing: np.ndarray, samples: int = BANDS * ROWS, bits: int = SK
     return 1 + bits / (4 * samples) * np.log(left)
 
 
+def key_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """Set size, set key, band hashes and sketch of each document; texts without words have size 0."""
 
@@ -112,7 +116,7 @@ def sign(docs: DataFrame) -> DataFrame:
             for s in shingler.sets(data, offsets):
                 samples = minhashes(s, a, b)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(key_of(s))
                 rows = samples.reshape(BANDS, ROWS)
                 h = salt.copy()
                 for r in range(ROWS):
@@ -178,7 +182,7 @@ def group_edges(table: pa.Table, by: list[str]) -> np.ndarray:
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, weak) from rows (key, block, rep, head, n_shingles, sketch): the forests of all blocks.
+    """(a, b, weak) from rows (key, block, rep, head, split, n_shingles, sketch): the forests of all blocks.
 
     A weak pair only ties a block of a large key to the key's head: it makes them one
     family, whose links are then looked for exactly.
@@ -186,7 +190,7 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "block"]):
-            rep, head, size = (table.column(c).to_numpy() for c in ("rep", "head", "n_shingles"))
+            rep, head, split, size = (table.column(c).to_numpy() for c in ("rep", "head", "split", "n_shingles"))
             sketch = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch").combine_chunks()), np.uint64).reshape(len(rep), -1)
             edge = group_edges(table, ["key", "block"])
             i = edge[:-1][np.diff(edge) == 2]  # most blocks: one pair
@@ -197,7 +201,7 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
             for s, e in zip(edge[:-1], edge[1:]):
                 if e - s > 2:
                     out += [(int(rep[s + x]), int(rep[s + y]), False) for x, y in forest(similarities(sketch[s:e], size[s:e]), SURE_BELOW)]
-                if head[s] >= 0:
+                if split[s]:
                     out += [(int(rep[s]), int(head[s]), True)] if rep[s] != head[s] else []
                     out += [(int(r), int(rep[s]), True) for r in rep[s + 1 : e]]
             if out:
@@ -231,7 +235,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the wanted representatives only.
+    """(rep, shingles) of the wanted representatives (rep, set_key) only, from a text with that set.
 
     A merge join at every size: the wanted ids grow with the corpus. On large inputs Spark
     filters the documents by the ids' Bloom filter before it shuffles them.
@@ -239,10 +243,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def make() -> C.Kernel:
         shingler = Shingler()
-        return lambda data, offsets: [pa.array([x.tobytes() for x in shingler.sets(data, offsets)], pa.binary())]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep", "left_semi")
-    return C.map_texts(texts, ["rep"], "shingles binary", make).dropDuplicates(["rep"])
+        def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+            sets = list(shingler.sets(data, offsets))
+            return [pa.array([key_of(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+
+        return kernel
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep")
+    sets = C.map_texts(texts, ["rep", "set_key"], "text_key binary, shingles binary", make).filter("text_key = set_key")
+    return sets.select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def hidden_links(families: DataFrame, sets: DataFrame) -> DataFrame:
@@ -336,13 +346,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("head")).filter("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK)
     members = keyed.join(shared, "key").select(
-        "key", "rep", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), F.when(blocks > 1, F.col("head")).otherwise(-1).alias("head")
+        "key", "rep", F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), "head", (blocks > 1).alias("split")
     )
-    members = members.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "block", "rep", "head", "n_shingles", "sketch")
+    members = members.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "block", "rep", "head", "split", "n_shingles", "sketch")
     found = C.materialize(candidate_pairs(members.repartition("key", "block").sortWithinPartitions("key", "block", "rep")).groupBy("a", "b").agg(F.min("weak").alias("weak")), "pairs")
     labels = None
     if not found.isEmpty():
-        sets = C.materialize(full_sets(docs, found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()), "sets")
+        wanted = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct().join(reps.select("rep", "set_key"), "rep")
+        sets = C.materialize(full_sets(docs, wanted), "sets")
         links = confirm(found.filter(~F.col("weak")).select("a", "b"), sets).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = C.materialize(links, "links")
         labels = C.materialize(components(links), "labels")
