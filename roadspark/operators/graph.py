@@ -16,24 +16,39 @@ from roadspark.operators.scratch import forget, settle
 HOPS = 4
 
 
+def _contract(edges: DataFrame, larger: bool) -> DataFrame:
+    """Points neighbours at the least node around each centre u.
+
+    larger: every neighbour above u moves to the minimum; else u itself and every
+    neighbour below u do. Edges are dealt by centre once, for the minimum and for the join.
+    """
+    both = (edges if not larger else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))).repartition("u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    joined = both.join(least.hint("merge"), "u")
+    if larger:
+        return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return down.union(least.filter(F.col("u") != F.col("m")).select("u", F.col("m").alias("v"))).distinct()
+
+
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an edge table (s, t); component is its least node. Star contraction."""
+    """(node, component) of an edge table (s, t); component is its least node.
+
+    Alternating star contraction: a logarithmic number of rounds, each settled. Self links
+    and repeated links change nothing; nodes without other links do not appear.
+    """
     now = edges.filter("s <> t").select(F.greatest("s", "t").alias("u"), F.least("s", "t").alias("v")).distinct()
-    mark = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
-        after = settle(small, "stars")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark is not None:
+    first, settled = True, False
+    while not settled:
+        after = settle(_contract(_contract(now, True), False), "stars")
+        # done when every node hangs on one centre, and no centre hangs on another node
+        ends = after.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(after.select("v", F.lit(0), F.lit(1)))
+        roles = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        settled = roles.filter((F.col("hangs") > 1) | (F.col("hangs") + F.col("holds") > 1)).isEmpty()
+        if not first:
             forget(now)
-        now = after
-        if state == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        mark = state
+        now, first = after, False
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
 def distances(
