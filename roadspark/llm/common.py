@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: scratch tables and word kernels.
+"""Helpers shared by the training-data operators: word kernels, id ranges.
 
 The word kernels work on a whole Arrow batch at once: a batch's texts are one
 UTF-8 byte buffer, so word borders and 64-bit word hashes come from a few NumPy
@@ -8,8 +8,6 @@ passes over it, with no Python object per word.
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,8 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadspark.operators import scratch
+from roadspark.operators.scratch import forget as discard  # noqa: F401
+from roadspark.operators.scratch import scratch_dir  # noqa: F401
+from roadspark.operators.scratch import settle as materialize  # noqa: F401
+
 # Executors need no copy of this package: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(scratch)
 
 #: Bytes of text that a kernel handles at once (a single longer text is still one piece).
 PIECE_BYTES = 1 << 20
@@ -35,40 +39,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-# --------------------------------------------------------------------- scratch
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        root = known or tempfile.mkdtemp(prefix="roadspark-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back.
-
-    The result depends on files only, so lost executors cost a re-read and no
-    recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the scratch files behind a ``materialize`` result that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,37 +1,11 @@
-"""Connected components of an edge table by alternating star contraction.
-
-Each round points every node's neighbours at the smallest neighbour (first for larger
-neighbours, then for smaller ones), which needs a logarithmic number of rounds. Every
-round is two grouped minima and two joins on the node; it is written to the scratch
-folder, so lineage stays short and lost executors cost one round at most.
-"""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadspark.llm.common import discard, materialize
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Points neighbours at the least node around each centre u.
-
-    larger: every neighbour above u moves to the minimum; else u itself and every
-    neighbour below u do.
-    """
-    both = edges if not larger else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
-    if larger:
-        return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    down = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.union(least.filter(F.col("u") != F.col("m")).select("u", F.col("m").alias("v"))).distinct()
+from roadspark.operators.graph import weak_components
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,15 +13,4 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self links and repeated links change nothing; nodes without links do not appear.
     """
-    ordered = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, settled = ordered, False
-    while not settled:
-        after = materialize(_star(_star(now, True), False), "stars")
-        # done when every node hangs on one centre, and no centre hangs on another node
-        ends = after.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(after.select("v", F.lit(0), F.lit(1)))
-        roles = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-        settled = roles.filter((F.col("hangs") > 1) | (F.col("hangs") + F.col("holds") > 1)).isEmpty()
-        if now is not ordered:
-            discard(now)
-        now = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    return weak_components(edges.select(F.col("u").alias("s"), F.col("v").alias("t")))

@@ -3,17 +3,21 @@
 1. One pass turns every text into the set of hashes of its five-word shingles, and keeps
    of it: the set size, a 128-bit key of the set, ``BANDS`` band hashes of MinHash samples,
    and an odd sketch (the samples folded into a parity bitmap).
-2. Documents with equal sets are one class; only class representatives go on.
-3. Representatives that share a band key are candidates. The members of a key are dealt
+2. Documents with equal sets are one class; only classes go on. The texts of one doc_id
+   are linked with each other through their id.
+3. Classes that share a band key are candidates. The members of a key are dealt
    out in blocks of about ``BLOCK``; inside a block, XOR population counts of the odd
    sketches give all similarities at once, and only a maximum spanning forest over the
    pairs that can still be links is emitted: fewer rows than members, never all pairs.
-4. Each pair of a forest is confirmed on the full shingle sets; confirmed pairs are links.
-5. A refuted pair leaves a family (documents tied by forest pairs) in several parts, and
-   links between them may hide behind the forest. There, every document outside the
-   family's largest part is compared, on full sets, with all documents of the other
-   parts, in blocks of bounded size; each comparison task emits one link a part at most.
-   So no link is lost, and what is shipped grows with the family times its strays.
+4. Each pair of a forest is confirmed on the full shingle sets; confirmed pairs are links,
+   and linked classes are a part.
+5. Where a pair is refuted, or a key had several blocks, links between the parts at its
+   ends may hide behind the forest. Classes of those parts are joined on their rarest
+   shingles: two sets at similarity 0.75 share one that is among the first
+   n - ceil(0.75 n) + 1 of the larger set and the first n - ceil(6/7 n) + 1 of the smaller,
+   in any fixed order, and rare ones first makes few meet. Pairs of different parts that pass
+   set sizes, places of the shared shingle and odd sketches are confirmed on full sets.
+   Texts that only share a common template meet on none of their rare shingles.
 
 With 32 bands of 4 samples a pair at similarity 0.75 misses all bands with probability
 5e-6; a sketch estimate under ``SURE_BELOW`` is five standard errors under 0.75.
@@ -40,8 +44,8 @@ WIDTH = 5
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 BLOCK = 512
-#: Documents and shingles of one side in an exact comparison task.
-SIDE_DOCS, SIDE_SHINGLES = 1024, 1 << 20
+#: Shingles are ranked by how often their hash bucket occurs; pairs that a task looks at together.
+RARITY_BUCKETS, PAIRS_AT_ONCE = 1 << 16, 1 << 18
 SURE_BELOW = 0.55
 #: The similarity limit as a ratio of integers.
 LIMIT = (75, 100)
@@ -235,7 +239,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the wanted representatives (rep, set_key) only, from a text with that set.
+    """(rep, shingles) of the wanted classes (rep, doc_id, set_key) only, from a text with that set.
 
     A merge join at every size: the wanted ids grow with the corpus. On large inputs Spark
     filters the documents by the ids' Bloom filter before it shuffles them.
@@ -250,98 +254,170 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return kernel
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
     sets = C.map_texts(texts, ["rep", "set_key"], "text_key binary, shingles binary", make).filter("text_key = set_key")
     return sets.select("rep", "shingles").dropDuplicates(["rep"])
 
 
-def hidden_links(families: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): links across the parts of families, from rows (family, part, rep, n_shingles).
+def bucket_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - RARITY_BUCKETS.bit_length() + 1)).astype(np.int64)
 
-    Strays are the documents outside the largest part (the least of equal ones). Strays and
-    members are both cut into sides of bounded size, and every side of strays meets
-    every side of members.
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` (shingles) fall in each hash bucket; a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(RARITY_BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                n += np.bincount(bucket_of(np.frombuffer(x.as_buffer(), np.uint64)), minlength=RARITY_BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(RARITY_BUCKETS, np.int64)
+    table[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
+    return table
+
+
+def prefix_length(n):
+    """Shingles of a set of n among which it shares one with any set at the limit, in any fixed order."""
+    return n - -(-LIMIT[0] * n // LIMIT[1]) + 1
+
+
+def index_length(n):
+    """The same where the other set is at least as large and is looked through to its prefix_length."""
+    return n - -(-2 * LIMIT[0] * n // (LIMIT[0] + LIMIT[1])) + 1
+
+
+PREFIX = "shingle long, place long, indexed boolean, rep long, part long, n_shingles long, sketch binary"
+
+
+def rare_prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``PREFIX`` rows: the rarest shingles of each row of ``docs`` (rep, part, n_shingles, sketch, shingles)."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                first = []
+                for x in part.column("shingles"):
+                    h = np.frombuffer(x.as_buffer(), np.uint64)
+                    first.append(h[np.lexsort((h, table[bucket_of(h)]))[: prefix_length(len(h))]])
+                n = np.array([len(f) for f in first])
+                take = np.repeat(np.arange(len(first)), n)
+                place = np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
+                indexed = place < index_length(part.column("n_shingles").to_numpy())[take]
+                rest = [part.column(c).take(pa.array(take)) for c in ("rep", "part", "n_shingles", "sketch")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(place), pa.array(indexed), *rest], [f.split()[0] for f in PREFIX.split(", ")])
+
+    return docs.select("rep", "part", "n_shingles", "sketch", "shingles").mapInArrow(run, PREFIX)
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of different parts that share a shingle of ``rows`` and pass sizes, places and sketches.
+
+    At a shingle, indexed rows outside its largest part meet all rows, and those of its
+    largest part meet the rows outside it. Both sides are cut into pieces of about
+    ``BLOCK`` rows, and every piece of one side meets every piece of the other.
     """
-    parts = families.groupBy("family", "part").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("mass"))
-    whole = parts.groupBy("family").agg(F.sum("docs").alias("docs"), F.sum("mass").alias("mass"), F.max(F.struct("docs", -F.col("part"), "mass")).alias("most"))
+    parts = rows.groupBy("shingle", "part").agg(F.count("*").alias("n"), F.count_if("indexed").alias("i"))
+    whole = parts.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("i").alias("i"), F.max(F.struct("n", "part", "i")).alias("most"), F.count("*").alias("parts")).filter("parts > 1 AND i > 0")
 
-    def sides(docs, mass):
-        return F.greatest(F.ceil(docs / SIDE_DOCS), F.ceil(mass / SIDE_SHINGLES)).cast("long")
+    def pieces(n):
+        return F.ceil(n / BLOCK).cast("long")
 
     sized = whole.select(
-        "family", (-F.col("most.col2")).alias("main"), sides(F.col("docs"), F.col("mass")).alias("sides"),
-        sides(F.col("docs") - F.col("most.docs"), F.col("mass") - F.col("most.mass")).alias("stray_sides"),
-    )
-    docs = families.join(sized, "family").join(sets, "rep")
-    zero = F.lit(0).cast("long")
-    member = docs.select(
-        "family", F.explode(F.sequence(zero, F.col("stray_sides") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), F.col("sides")).alias("y"), F.lit(0).alias("stray"), "part", "rep", "shingles"
-    )
-    stray = docs.filter(F.col("part") != F.col("main")).select(
-        "family", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("stray_sides")).alias("x"), F.explode(F.sequence(zero, F.col("sides") - 1)).alias("y"), F.lit(1).alias("stray"), "part", "rep", "shingles"
+        "shingle", F.col("most.part").alias("main"), pieces(F.col("i") - F.col("most.i")).alias("l0"), pieces(F.col("n")).alias("r0"), pieces(F.col("most.i")).alias("l1"), pieces(F.col("n") - F.col("most.n")).alias("r1")
     )
+    docs, zero = rows.join(sized.hint("merge"), "shingle"), F.lit(0).cast("long")
+    kept = ["left", "place", "rep", "part", "n_shingles", "sketch"]
+    inside = F.col("part") == F.col("main")
+    every = lambda n: F.explode(F.sequence(zero, n - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n)
+    left = docs.filter("indexed").withColumns({"left": F.lit(1), "kind": inside.cast("int")})
+    left = left.select("shingle", "kind", own(F.when(inside, F.col("l1")).otherwise(F.col("l0"))).alias("x"), every(F.when(inside, F.col("r1")).otherwise(F.col("r0"))).alias("y"), *kept)
+    right = docs.withColumn("left", F.lit(0))
+    to_all = right.filter("l0 > 0").select("shingle", F.lit(0).alias("kind"), every(F.col("l0")).alias("x"), own(F.col("r0")).alias("y"), *kept)
+    to_main = right.filter(~inside & (F.col("l1") > 0)).select("shingle", F.lit(1).alias("kind"), every(F.col("l1")).alias("x"), own(F.col("r1")).alias("y"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = ["family", "x", "y"]
+        by = ["shingle", "kind", "x", "y"]
         for table in whole_groups(batches, by):
             edge = group_edges(table, by)
-            stray, part, rep = (table.column(c).to_numpy() for c in ("stray", "part", "rep"))
-            raw = table.column("shingles").combine_chunks()
-            out: list[tuple[int, int]] = []
-            for s, e in zip(edge[:-1], edge[1:]):
-                m = s + int((stray[s:e] == 0).sum())
-                if m == s or m == e:
-                    continue
-                held = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in range(s, m)]
-                size = np.array([len(h) for h in held])
-                begins = np.concatenate([[0], np.cumsum(size)[:-1]])
-                words, place = np.unique(np.concatenate(held), return_inverse=True)
-                marked = np.zeros(len(words), np.int32)
-                for k in range(m, e):
-                    own = np.frombuffer(raw[int(k)].as_buffer(), np.uint64)
-                    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                    at = at[words[at] == own]
-                    marked[at] = 1
-                    shared = np.add.reduceat(marked[place], begins)
-                    marked[at] = 0
-                    linked = (LIMIT[1] * shared >= LIMIT[0] * (len(own) + size - shared)) & (part[s:m] != part[k])
-                    if linked.any():
-                        hit = np.flatnonzero(linked)
-                        out += [(int(rep[k]), int(rep[s + h])) for h in hit[np.unique(part[s:m][hit], return_index=True)[1]]]
+            is_left, place, part, rep, size = (table.column(c).to_numpy() for c in ("left", "place", "part", "rep", "n_shingles"))
+            sketch = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch").combine_chunks()), np.uint64).reshape(len(rep), -1)
+            n_left = np.add.reduceat(is_left, edge[:-1])
+            # each left row meets the right rows, which stand before the left ones of its group
+            left = np.flatnonzero(is_left)
+            begin, count = np.repeat(edge[:-1], n_left), np.repeat(np.diff(edge) - n_left, n_left)
+            upto, out = np.cumsum(count), []
+            i = 0
+            while i < len(left):
+                done = upto[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(upto, done + PAIRS_AT_ONCE, "right")))
+                a = np.repeat(left[i:j], count[i:j])
+                b = np.repeat(begin[i:j] - (upto[i:j] - count[i:j] - done), count[i:j]) + np.arange(len(a))
+                i = j
+                most = np.minimum(size[a] - place[a], size[b] - place[b])  # shared ones, if this is their first
+                ok = (part[a] != part[b]) & (size[a] <= size[b]) & (LIMIT[1] * size[a] >= LIMIT[0] * size[b]) & (sum(LIMIT) * most >= LIMIT[0] * (size[a] + size[b]))
+                a, b = a[ok], b[ok]
+                ok = estimates(np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1)) >= SURE_BELOW
+                u, v = rep[a[ok]], rep[b[ok]]
+                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
             if out:
-                u, v = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    dealt = member.union(stray).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "stray", "rep")
-    return dealt.mapInArrow(run, "u long, v long")
+                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = left.union(to_all).union(to_main).repartition("shingle", "kind", "x", "y").sortWithinPartitions("shingle", "kind", "x", "y", "left", "rep")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked_parts(found: DataFrame, links: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, component) of the classes in pairs ``found`` (a, b, weak), from confirmed links and from those that hide behind the pairs."""
+    parts = C.materialize(components(links), "parts")
+    ends = found.select(F.col("a").alias("rep")).union(found.select("b")).union(links.select("u")).union(links.select("v")).distinct()
+    named = C.materialize(ends.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part")), "named")
+    part_of = lambda end: named.select(F.col("rep").alias(end), F.col("part").alias(f"part_{end}"))
+    torn = found.join(part_of("a"), "a").join(part_of("b"), "b").filter("part_a <> part_b")
+    open_ = torn.select(F.col("part_a").alias("part")).union(torn.select("part_b")).distinct()
+    docs = named.join(open_, "part", "left_semi").join(reps.select("rep", "n_shingles", "sketch"), "rep").join(sets, "rep")
+    docs = C.materialize(docs.select("rep", "part", "n_shingles", "sketch", "shingles"), "torn")
+    if docs.isEmpty():
+        return named.select("rep", F.col("part").alias("component"))
+    pairs = cross_pairs(rare_prefixes(docs, rarity(docs)))
+    fresh = pairs.join(found.filter(~F.col("weak")).select("a", "b"), ["a", "b"], "left_anti")
+    hidden = confirm(fresh, docs.select("rep", "shingles")).filter("linked").join(part_of("a"), "a").join(part_of("b"), "b")
+    hidden = C.materialize(hidden.select(F.col("part_a").alias("u"), F.col("part_b").alias("v")).distinct(), "hidden")
+    joined = components(hidden) if not hidden.isEmpty() else hidden.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = C.materialize(named.join(joined.withColumnRenamed("node", "part"), "part", "left").select("rep", F.coalesce("component", "part").alias("component")), "labels")
+    C.discard(parts, named, docs, hidden)
+    return out
 
 
-def one_text_an_id(signed: DataFrame) -> DataFrame:
-    """Gives all rows of an id the set key of one of them (the least), if any id has several."""
-    usable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("k2")).filter("k <> k2").select("doc_id", "k")
-    if several.isEmpty():
-        return signed
-    chosen = usable.join(several, "doc_id").filter("set_key = k").groupBy("doc_id").agg(F.first("k").alias("k"), F.first("bands").alias("b"), F.first("sketch").alias("s"), F.first("n_shingles").alias("n"))
-    both = signed.join(chosen, "doc_id", "left")
-    return C.materialize(both.select("doc_id", "n_shingles", F.coalesce("k", "set_key").alias("set_key"), F.coalesce("b", "bands").alias("bands"), F.coalesce("s", "sketch").alias("sketch"), F.coalesce("n", "n_shingles").alias("linked_size")), "signatures")
+def links_of_ids(usable: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v): links between the classes of ids that have several texts."""
+    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("k2")).filter("k <> k2").select("doc_id")
+    own = usable.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    head = own.groupBy("doc_id").agg(F.min("rep").alias("v"))
+    return own.join(head, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Null, empty and wordless texts have no shingles and are linked with nothing. Of several
-    texts under one doc_id, one (of the least set key) is linked, and all rows of the id
-    get its component. A null doc_id cannot be linked: its row has a null component and is
+    Null, empty and wordless texts have no shingles and are linked with nothing. Several
+    texts under one doc_id are linked with each other, and all rows of the id get their
+    component. A null doc_id cannot be linked: its row has a null component and is
     kept. An empty table gives an empty result.
     """
-    signed = one_text_an_id(C.materialize(sign(docs), "signatures"))
-    size = "linked_size" if "linked_size" in signed.columns else "n_shingles"
-    usable = signed.filter((F.col(size) > 0) & F.col("doc_id").isNotNull())
-    # equal sets have equal bands and sketches
-    reps = C.materialize(
-        usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first(size).alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
-    )
+    signed = C.materialize(sign(docs), "signatures")
+    usable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # equal sets have equal bands and sketches; the number of a class holds from here on, as it is in a file
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = C.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("head")).filter("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK)
@@ -350,34 +426,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     members = members.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "block", "rep", "head", "split", "n_shingles", "sketch")
     found = C.materialize(candidate_pairs(members.repartition("key", "block").sortWithinPartitions("key", "block", "rep")).groupBy("a", "b").agg(F.min("weak").alias("weak")), "pairs")
-    labels = None
-    if not found.isEmpty():
-        wanted = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct().join(reps.select("rep", "set_key"), "rep")
+    same_id = C.materialize(links_of_ids(usable, reps), "id-links")
+    grouped = reps.select("set_key", F.col("doc_id").alias("component_id"))
+    if not found.isEmpty() or not same_id.isEmpty():
+        wanted = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct().join(reps.select("rep", "doc_id", "set_key"), "rep")
         sets = C.materialize(full_sets(docs, wanted), "sets")
         links = confirm(found.filter(~F.col("weak")).select("a", "b"), sets).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = C.materialize(links, "links")
-        labels = C.materialize(components(links), "labels")
-        part = labels.select(F.col("node").alias("n"), "component")
-        ties = found.join(part.withColumnRenamed("component", "pa"), F.col("a") == F.col("n"), "left").drop("n")
-        ties = ties.join(part.withColumnRenamed("component", "pb"), F.col("b") == F.col("n"), "left").drop("n")
-        ties = ties.select(F.coalesce("pa", "a").alias("u"), F.coalesce("pb", "b").alias("v")).filter("u <> v").distinct()
-        families = components(C.materialize(ties, "ties")).select(F.col("node").alias("part"), F.col("component").alias("family"))
-        named = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(labels, "node", "left")
-        named = named.select(F.col("node").alias("rep"), F.coalesce("component", "node").alias("part"))
-        families = named.join(families, "part").join(reps.select("rep", "n_shingles"), "rep")
-        # two documents alone: their one pair is refuted already
-        more = families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 2").select("family")
-        families = C.materialize(families.join(more, "family", "left_semi"), "families")
-        hidden = C.materialize(hidden_links(families, sets), "hidden")
-        if not hidden.isEmpty():
-            labels = C.materialize(components(links.union(hidden)), "labels")
-
-    grouped = reps.select("set_key", "rep")
-    if labels is not None:
-        grouped = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("rep"))
+        links = C.materialize(links.union(same_id), "links")
+        labels = linked_parts(found, links, sets, reps)
+        named = reps.select("set_key", "doc_id", "rep").join(labels, "rep", "left")
+        least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+        grouped = C.materialize(named.join(least, "component", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id")), "groups")
+        C.discard(sets, links)
+    C.discard(found, same_id)
     # a row without a set keeps a null key here and stands for itself
-    out = signed.withColumn("_key", F.when((F.col(size) > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
-    out = out.join(grouped.select(F.col("set_key").alias("_key"), F.col("rep").alias("component_id")), "_key", "left")
+    out = signed.withColumn("_key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))
+    out = out.select("doc_id", "n_shingles", "_key").join(grouped.withColumnRenamed("set_key", "_key"), "_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.llm import common as C
-from roadspark.llm.sampling import adam, known_labels, ragged, training_ids
+from roadspark.llm.sampling import adam, known_labels, one_text_each, training_ids
 from roadspark.llm.wordstats import WordStats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -101,21 +101,37 @@ class Looks:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(y, x) of the sampled documents; x as float32 bytes."""
+    """(doc_id, y, columns, x) of the sampled documents: the features that are not 0, and their values."""
 
     def make() -> C.Kernel:
         looks = Looks()
 
         def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-            out = []
+            ends, columns, values = [np.zeros(1, np.int64)], [], []
             for i in range(0, len(offsets) - 1, 256):
                 o = offsets[i : i + 257]
-                out += [r.tobytes() for r in looks.rows(data[o[0] : o[-1]], o - o[0])]
-            return [pa.array(out, pa.binary())]
+                x = looks.rows(data[o[0] : o[-1]], o - o[0])
+                row, column = np.nonzero(x)
+                ends.append(ends[-1][-1] + np.searchsorted(row, np.arange(1, len(x) + 1)))
+                columns.append(column.astype(np.int16))
+                values.append(x[row, column])
+            at = pa.array(np.concatenate(ends).astype(np.int32))
+            return [pa.ListArray.from_arrays(at, pa.array(np.concatenate(v))) for v in (columns, values)]
 
         return kernel
 
-    return C.map_texts(docs, ["doc_id", "y"], "x binary", make)
+    return C.map_texts(docs, ["doc_id", "y"], "columns array<short>, x array<float>", make)
+
+
+def matrix(table: pa.Table) -> np.ndarray:
+    """Feature rows of a collected ``features`` table, filled batch by batch."""
+    x, at = np.zeros((table.num_rows, WIDTH), np.float32), 0
+    for batch in table.to_batches():
+        columns, values = batch.column("columns"), batch.column("x")
+        row = np.repeat(np.arange(at, at + batch.num_rows), columns.value_lengths())
+        x[row, np.asarray(columns.flatten())] = np.asarray(values.flatten())
+        at += batch.num_rows
+    return x
 
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, steps: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 5) -> np.ndarray:
@@ -136,15 +152,20 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, steps: int = 250, rate: float = 0
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
-    """(weights, threshold, scale); the fit is on a sample, the threshold is the quantile of the bad share of all labelled rows."""
+    """(weights, threshold, scale); the fit is on a sample, the threshold is the quantile of the bad share of all labelled rows.
+
+    Rows without an id, or without a label, teach nothing. Of several labels for one id the
+    larger counts; of several texts under one id the least is learnt from, so the sample never
+    holds more than ``MOST_ROWS`` rows. Without both kinds of labels all weights are 0.
+    """
     chosen = F.broadcast(training_ids(labels, "quality", MOST_ROWS))  # bounded by MOST_ROWS
-    table = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")).sort("doc_id", "x").toArrow()
+    table = features(one_text_each(docs, chosen)).sort("doc_id").toArrow()
     if not table.num_rows:
         return np.zeros(WIDTH), 0.0, 1.0
-    raw = table.column("x").combine_chunks()
-    x = np.frombuffer(b"".join(v.as_py() for v in raw), np.float32).reshape(-1, WIDTH)
-    good = np.asarray(table.column("y")) == 1
+    x, good = matrix(table), np.asarray(table.column("y")) == 1
+    del table
     w = fit_pairs(x, good)
+    del x
     if good.all() or not good.any():
         return w, -1.0, 1.0  # all weights are 0
     return w, *threshold(docs, labels, w)

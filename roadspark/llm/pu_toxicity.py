@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.llm import common as C
-from roadspark.llm.sampling import adam, known_labels, ragged, training_ids
+from roadspark.llm.sampling import adam, known_labels, one_text_each, ragged, training_ids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -92,6 +92,14 @@ def features(docs: DataFrame) -> DataFrame:
     return C.map_texts(docs, ["doc_id", "y"], "buckets array<int>", make)
 
 
+def _count(at: np.ndarray, use: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Rows in each bucket, in slices, as counting makes a wide copy of what it counts."""
+    n = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(at), step):
+        n += np.bincount(at[i : i + step][use[i : i + step]], minlength=BUCKETS)
+    return n
+
+
 def fit_pu(at: np.ndarray, first: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights of all buckets and the bias, from rows given as bucket lists.
 
@@ -102,9 +110,10 @@ def fit_pu(at: np.ndarray, first: np.ndarray, positive: np.ndarray, prior: float
     n_pos, n_other = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_other:
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
-    row = C.owners(first)
-    in_pos = np.bincount(at[positive[row]], minlength=BUCKETS)
-    in_other = np.bincount(at[~positive[row]], minlength=BUCKETS)
+    sizes = np.diff(first)
+    of_pos = np.repeat(positive, sizes)
+    in_pos, in_other = _count(at, of_pos), _count(at, ~of_pos)
+    del of_pos
     p, u = in_pos / n_pos, in_other / n_other
     spread = np.sqrt((in_pos + in_other + 1.0) / (n_pos + n_other)) / np.sqrt(min(n_pos, n_other))
     strength = np.where(in_pos >= LEAST_SEEN, np.abs(p - u) / spread, 0)
@@ -112,6 +121,8 @@ def fit_pu(at: np.ndarray, first: np.ndarray, positive: np.ndarray, prior: float
     chosen = chosen[strength[chosen] >= LEAST_STRENGTH]
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
+    use = strength[at] >= LEAST_STRENGTH  # a superset; most words of the sample go here
+    at, row = at[use], np.repeat(np.arange(len(positive), dtype=np.int32), sizes)[use]
     use = place[at] >= 0
     col, row, n, k = place[at[use]], row[use], len(positive), len(chosen)
     weight_pos, weight_other = positive / n_pos, ~positive / n_other
@@ -151,7 +162,12 @@ def least_risk_of_counts(low: np.ndarray, high: np.ndarray, pos: np.ndarray, oth
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fits on confirmed toxic rows and on unlabelled texts outside the held-out fifth."""
+    """Fits on confirmed toxic rows and on unlabelled texts outside the held-out fifth.
+
+    Rows without an id are not used, nor are null labels. Of several labels for one id the larger
+    counts, and of several texts under one id the least is learnt from, so the sample keeps its
+    bounds. A document may be in both samples: unlabelled means any document.
+    """
     counts = labels.filter(F.col("toxic").isNotNull() & ~C.is_held_out()).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     toxic = training_ids(labels, "toxic", MOST_POSITIVE, 1)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~C.is_held_out()).distinct()
@@ -159,10 +175,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     other = ids.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(MOST_UNLABELLED).select("doc_id", F.lit(0).alias("y"))
     # both lists are bounded by the parameters above
     chosen = F.broadcast(toxic.select("doc_id", "y").union(other))
-    table = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")).toArrow()
+    table = features(one_text_each(docs, chosen)).toArrow()
     at, first = ragged(table.column("buckets"))
     prior, positive = (counts.k or 0) / max(counts.n, 1), np.asarray(table.column("y")) == 1
-    weights, bias = fit_pu(at.astype(np.int64), first, positive, prior)
+    del table
+    weights, bias = fit_pu(at, first, positive, prior)
+    del at
     if positive.all() or not positive.any():
         return weights, bias
     return weights, whole_bias(docs, labels, weights, min(max(prior, 1e-3), 0.5))

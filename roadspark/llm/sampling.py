@@ -32,13 +32,19 @@ def training_ids(labels: DataFrame, label: str, most: int, value: int | None = N
     return known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the documents in ``chosen`` (doc_id, y); of several texts under one id the least, nulls first."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.min(F.struct("text")).alias("t")).select("doc_id", "y", "t.text")
+
+
 def ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A list column as (values, first index of each row)."""
     rows = column.combine_chunks()
     if isinstance(rows, pa.ChunkedArray):
         rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
     sizes = np.asarray(rows.value_lengths().fill_null(0)) if len(rows) else np.zeros(0, np.int64)
-    return np.asarray(rows.flatten()), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return np.asarray(rows.flatten()), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 def adam(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:

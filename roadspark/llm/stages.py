@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roadspark.llm import mixing, near_dedup, packing, pairwise_quality, pu_toxicity
 from roadspark.llm.common import materialize
+from roadspark.operators.scratch import release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,23 +27,34 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is under the quantile threshold."""
+    """Drops documents whose quality score is under the quantile threshold.
+
+    Every row is judged by its text alone: null and empty texts share one score, repeated rows
+    go or stay together, null ids make no difference. An empty table stays empty.
+    """
     scored = pairwise_quality.score_texts(docs, *pairwise_quality.train(docs, _labels(spark, sf_dir)), keep=docs.columns, out=SCORE)
+    release(spark)
     return scored.filter(F.col(SCORE) >= pairwise_quality.CUT).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic."""
+    """Drops documents that score as toxic.
+
+    Every row is judged by its text alone, as in ``quality``; null and empty texts score as the bias.
+    """
     scored = pu_toxicity.score_texts(docs, *pu_toxicity.train(docs, _labels(spark, sf_dir)), keep=docs.columns, out=SCORE)
+    release(spark)
     return scored.filter(F.col(SCORE) < 0.5).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: that of the least doc_id, once.
 
-    Documents without an id cannot be linked and all stay.
+    Documents without an id cannot be linked and all stay; those without words are linked with
+    nothing. Of repeated rows with one id, one stays.
     """
     keep = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    release(spark)
     known = docs.filter(F.col("doc_id").isNotNull())
     stay = known.join(keep.hint("merge"), known.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
