@@ -202,14 +202,21 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LAST_ID = (1 << 63) - 1
 
 
-def id_ranges(ids: DataFrame, column: str, ranges: int) -> np.ndarray:
-    """First ids of about ``ranges`` ranges of like size; each is an id of the table.
+#: Documents in a task that works through ranges of ids, at most (but for repeated ids), and ranges a task.
+TASK_DOCS, TASK_RANGES = 10_000, 4
 
-    One aggregate over the id column; its result has ``ranges`` numbers. [0] for an empty table.
+
+def id_ranges(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """First ids of ranges of like size, each an id of the table, and the number of tasks for them.
+
+    The tasks are those of a shuffle, and more where a task would get over ``TASK_DOCS``
+    documents. Aggregates over the id column; ([0], ...) for an empty table.
     """
-    shares = [k / ranges for k in range(ranges)]
-    cuts = ids.agg(F.percentile_approx(column, shares, 100_000).alias("q"), F.min(column).alias("least")).first()
-    return np.unique(np.array([0] if cuts.least is None else [cuts.least, *cuts.q], np.int64))
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, -(-ids.count() // TASK_DOCS))
+    shares = [k / (tasks * TASK_RANGES) for k in range(tasks * TASK_RANGES)]
+    cuts = ids.agg(F.percentile_approx(column, shares, max(100_000, 20 * len(shares))).alias("q"), F.min(column).alias("least")).first()
+    return np.unique(np.array([0] if cuts.least is None else [cuts.least, *cuts.q], np.int64)), tasks
 
 
 def place_in(begins: np.ndarray):

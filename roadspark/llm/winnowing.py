@@ -97,10 +97,8 @@ def with_successors(docs: DataFrame) -> DataFrame:
     follows the very last. One shuffle of the texts, and no window over all rows. Null ids
     come last; rows with equal ids follow each other in text order.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.LAST_ID)).alias("sid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    begins = C.id_ranges(ids, "sid", 4 * partitions)
+    begins, tasks = C.id_ranges(ids, "sid")
     ranges = len(begins)
     place = C.place_in(begins)
     at = F.shiftright("place", 1)
@@ -108,7 +106,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     before = F.struct(F.pmod(at - 1, F.lit(ranges)).alias("range"), F.lit(1).alias("role"))
     to = F.explode(F.when(F.col("place") % 2 == 1, F.array(own, before)).otherwise(F.array(own)))
     rows = ids.withColumn("place", place("sid")).select(to.alias("to"), "sid", "doc_id", "text").select("to.*", "sid", "doc_id", "text")
-    return rows.repartition(partitions, "range").sortWithinPartitions("range", "role", "sid", "text")
+    return rows.repartition(tasks, "range").sortWithinPartitions("range", "role", "sid", "text")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long"
