@@ -1,12 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block element becomes one line. A line's measure is the
-number of its characters outside links; lines outside the page's article (where it marks
-one) measure 0, and menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments give no lines, so that they do not part the text around them. The measures are summed over sliding windows of ``WINDOW``
-lines: a surge point is where the sum leaves 0, a dive point is where it falls back to 0,
-and the text between a surge and its dive is kept whole. A page that marks no article
-keeps every stretch, whatever its length.
+Markup is stripped so that every block element becomes one line; menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments give no lines, so that they do not
+part the text around them. A line's measure is the number of its characters outside links;
+lines outside the page's article (where it marks one) measure 0. The measures are summed
+over sliding windows of ``WINDOW`` lines. A surge point is where the sum over a line and the
+ones after it leaves 0; a dive point is where the sum over a line and the ones before it falls
+back to 0; the lines from a surge to its dive are kept whole. So a link line near text
+stays, in an article too, and a longer run of links alone (a list of other pages) goes.
+A page that marks no article keeps every stretch, whatever its length, from its first line
+with text outside links to its last one.
 
 A null or empty page gives an empty text; broken and unclosed markup is read as far as it goes.
 """
@@ -145,38 +148,37 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def stretches(measures: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: where the sum over ``window`` lines leaves 0 and falls back to it."""
-    full = np.flatnonzero(measures > 0)
-    if not len(full):
+def window_sums(measures: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over each line and the ``window`` - 1 lines after it, and before it."""
+    sums = np.convolve(measures, np.ones(window, np.int64))
+    return sums[window - 1 :], sums[: len(measures)]
+
+
+def stretches(measures: np.ndarray, window: int = WINDOW, margin: bool = True) -> list[tuple[int, int]]:
+    """[surge, dive) line ranges, in order; they may touch and overlap.
+
+    Without ``margin`` a range begins at its first line that measures something, and ends after its last one.
+    """
+    if not measures.any():
         return []
-    sums = np.convolve(measures, np.ones(window, np.int64))  # sum over the lines up to each one
-    rises = np.flatnonzero((sums > 0) & (np.append(0, sums[:-1]) == 0))
-    falls = np.flatnonzero((sums == 0) & (np.append(0, sums[:-1]) > 0))
-    falls = np.append(falls, len(sums))[: len(rises)]
-    return [(int(a), int(min(b - window + 1, len(measures)))) for a, b in zip(rises, falls)]
+    after, before = window_sums(measures, window)
+    rise = after if margin else before
+    surges = np.flatnonzero((rise > 0) & (np.append(0, rise[:-1]) == 0))
+    dives = np.flatnonzero((np.append(before, 0) == 0) & (np.append(0, before) > 0))
+    if not margin:
+        last = np.flatnonzero(measures)
+        dives = last[np.searchsorted(last, dives) - 1] + 1
+    return list(zip(surges.tolist(), dives.tolist()))
 
 
 def main_text(page: str) -> str:
-    """The lines between surge and dive points, one a block, joined by newlines."""
+    """The lines between surge and dive points, one a block, joined by newlines; those of the article where one is marked."""
     lines = lines_of(page)
     if not lines:
         return ""
     marked = any(a and m for _, m, a in lines)
     measures = np.array([m if a or not marked else 0 for _, m, a in lines], np.int64)
-    found = stretches(measures)
-    if marked:
-        # an article's own lines of links alone stand beside its stretches, and belong to it
-        grown = []
-        for a, b in found:
-            article = {lines[k][2] for k in range(a, b) if measures[k]}
-            while a > 0 and lines[a - 1][2] in article:
-                a -= 1
-            while b < len(lines) and lines[b][2] in article:
-                b += 1
-            grown.append((a, b))
-        found = grown
-    keep = sorted({k for a, b in found for k in range(a, b)})
+    keep = sorted({k for a, b in stretches(measures, margin=marked) for k in range(a, b)})
     return "\n".join(lines[k][0] for k in keep if lines[k][2] or not marked)
 
 
