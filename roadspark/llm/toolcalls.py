@@ -1,8 +1,8 @@
 """Tool-call linking: calls and results by identifier, in topological order, as canonical JSON.
 
 * Calls and results are joined on the call id (a hash join that Spark may split).
-* A call waits for the calls it depends on. Layers are peeled off: calls without open
-  dependencies get the next depth, and their outgoing links go. What never becomes free
+* A call waits for the calls it depends on. Calls without open dependencies have depth 0,
+  others one more than the deepest call they wait for. What never becomes free
   lies on a cycle or behind one, and has a null depth. (depth, call_id) is a
   topological order.
 * Arguments are checked against the tool's schema: type, required, enum, minimum,
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from roadspark.llm.common import materialize
 from roadspark.llm.mixing import word_count
+from roadspark.operators.graph import weak_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,6 +38,9 @@ SCHEMAS = {
     "translate": {"type": "object", "required": ["query", "to"], "properties": {"query": _TEXT, "to": {"enum": ["de", "en", "fr"]}, "limit": {"type": "integer"}}},
 }
 
+#: Links of a group of calls that one task layers.
+MOST_LINKS = 100_000
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -47,6 +53,27 @@ def _plain(value):
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError("number out of range")
+    return value
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def read(text: str | None, empty) -> tuple[object, bool]:
+    """(value, broken): ``empty`` for null; text that is not JSON, holds numbers beyond doubles or nests too deep stays a string."""
+    if text is None:
+        return empty, False
+    try:
+        return _plain(json.loads(text, parse_float=_finite, parse_constant=_no_constant)), False
+    except (ValueError, RecursionError):
+        return text, True
+
+
 def canonical(value) -> str:
     return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -57,7 +84,7 @@ def violations(value, schema: dict | None, at: str = "$") -> list[str]:
         return [f"{at}: unknown tool"]
     out, kind = [], schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "integer" and not (number and float(value).is_integer()) or kind == "number" and not number or kind in _TYPES and not isinstance(value, _TYPES[kind]):
+    if kind == "integer" and not (number and (isinstance(value, int) or value.is_integer())) or kind == "number" and not number or kind in _TYPES and not isinstance(value, _TYPES[kind]):
         return [f"{at}: type"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: enum")
@@ -78,11 +105,9 @@ def violations(value, schema: dict | None, at: str = "$") -> list[str]:
     return out
 
 
-def topological_depth(calls: DataFrame, links: DataFrame) -> DataFrame:
-    """(call_id, depth) from calls (call_id) and links (parent, child) between them; null depth on cycles."""
-    left = materialize(calls.select("call_id").distinct(), "calls")
-    open_ = materialize(links.select("parent", "child").distinct(), "call-links")
-    done, depth = None, 0
+def _peel(calls: DataFrame, links: DataFrame) -> DataFrame:
+    """(call_id, depth) layer by layer: calls without open dependencies go, and their outgoing links with them."""
+    left, open_, done, depth = calls, links, None, 0
     while True:
         free = materialize(left.join(open_.select(F.col("child").alias("call_id")).distinct(), "call_id", "left_anti"), "free-calls")
         if free.isEmpty():
@@ -96,6 +121,50 @@ def topological_depth(calls: DataFrame, links: DataFrame) -> DataFrame:
     return rest if done is None else done.union(rest)
 
 
+def depths(parents: list[str], children: list[str]) -> dict[str, int]:
+    """Depth of every call that is not on a cycle or behind one."""
+    waits, after = Counter(children), {}
+    for p, k in zip(parents, children):
+        after.setdefault(p, []).append(k)
+    depth = dict.fromkeys((p for p in parents if p not in waits), 0)
+    ready = list(depth)
+    for p in ready:
+        for k in after.get(p, ()):
+            depth[k] = max(depth.get(k, 0), depth[p] + 1)
+            waits[k] -= 1
+            if not waits[k]:
+                ready.append(k)
+    return {k: depth[k] for k in ready}
+
+
+def topological_depth(calls: DataFrame, links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """(call_id, depth) from calls (call_id) and links (parent, child) between them; null depth on cycles.
+
+    Calls that hang together are a group. A group of up to ``most`` links is layered in one
+    task; larger ones are peeled layer by layer as tables.
+    """
+    links = materialize(links.select("parent", "child").distinct(), "call-links")
+    every = calls.select("call_id").distinct()
+    # a call that depends on itself alone has no other link, and waits for ever
+    group = weak_components(links.select(F.col("parent").alias("s"), F.col("child").alias("t"))).withColumnRenamed("node", "child")
+    named = links.join(group, "child", "left").select("parent", "child", F.coalesce("component", "child").alias("component"))
+    size = named.groupBy("component").agg((F.count("*") > most).alias("large"))
+    named = materialize(named.join(size, "component"), "call-groups")
+
+    def run(key, frame):
+        known = depths(frame["parent"].tolist(), frame["child"].tolist())
+        ids = pd.unique(pd.concat([frame["parent"], frame["child"]]))
+        return pd.DataFrame({"call_id": ids, "depth": pd.array([known.get(i) for i in ids], "Int64")})
+
+    small = named.filter("NOT large").groupBy("component").applyInPandas(run, "call_id string, depth long")
+    large = named.filter("large").select("parent", "child")
+    peeled = materialize(small, "call-depths")
+    if not large.isEmpty():
+        ends = large.select(F.col("parent").alias("call_id")).union(large.select("child")).distinct()
+        peeled = peeled.union(_peel(ends, large))
+    return every.join(peeled.withColumn("linked", F.lit(True)), "call_id", "left").select("call_id", F.when(F.col("linked"), F.col("depth")).otherwise(F.lit(0).cast("long")).alias("depth"))
+
+
 LINKED = "conv_id long, call_id string, name string, depth long, n_dangling long, has_result boolean, valid boolean, errors string, record string"
 
 
@@ -106,8 +175,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     ``results``: call_id, payload (JSON text). Calls without an id are left as they are: no
     result, depth 0. Of repeated calls with one id the least row counts, and of several
     results for a call the least payload. Dependencies on unknown ids are counted and
-    ignored. Arguments or payloads that are not JSON are kept as strings, and the former
-    are an error ('$: json'). Null arguments count as {}.
+    ignored. Arguments or payloads that are not JSON (or hold numbers beyond doubles, or nest
+    too deep to read) are kept as strings, and the former are an error ('$: json'). Null
+    arguments count as {}. Empty tables give an empty result.
     """
     known = calls.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("conv_id", "name", "arguments", "depends_on")).alias("c"))
     known = materialize(known.select("c.conv_id", "call_id", "c.name", "c.arguments", "c.depends_on"), "known-calls")
@@ -123,12 +193,6 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
     rows = joined.select("conv_id", "call_id", "name", "arguments", "depth", "parents", "n_dangling", "payload").unionByName(without, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(text: str | None, empty):
-            try:
-                return (empty if text is None else json.loads(text)), False
-            except ValueError:
-                return text, True
-
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -148,10 +212,11 @@ def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads plain conversations as tool use: a user turn calls, the assistant's next turn answers.
 
     The tool depends on the turn's number of words; turn t depends on turn t div 2, which
-    may or may not be a call; the arguments are loosely written JSON.
+    may or may not be a call; the arguments are loosely written JSON. Turns of a null
+    conversation, and null turns, have no id.
     """
     def named(turn):
-        return F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
 
     words = word_count(F.col("text"))
     tool = F.element_at(F.array(*[F.lit(k) for k in sorted(SCHEMAS)]), (words % 3 + 1).cast("int"))
