@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadspark.llm.common import documents, materialize
+from roadspark.llm.common import discard, documents, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,15 +34,23 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def word_count(text: Column) -> Column:
-    r"""Number of [^\x20\x09-\x0D]+ words; 0 for null. One split of the text, no regular-expression matches kept."""
-    spaced = F.trim(F.translate(text, "\t\n\x0b\f\r", "     "))
-    n = F.when(spaced == "", 0).otherwise(F.size(F.split(F.regexp_replace(spaced, " {2,}", " "), " ")))
-    return F.coalesce(n, F.lit(0)).cast("long")
+    r"""Number of [^\x20\x09-\x0D]+ words; 0 for null. Counts single spaces between words, so no word is copied out."""
+    spaced = text
+    for ch in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(ch), F.lit(" "))
 
+    def count(one: Column) -> Column:
+        single = F.when(F.contains(one, F.lit("  ")), F.regexp_replace(one, " {2,}", " ")).otherwise(one)
+        gaps = F.transform(F.array(single), lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))))[0]
+        return F.when(one == "", 0).otherwise(gaps + 1)
 
-def unit_hash(key: Column) -> Column:
-    """A 60-bit hash of the key's text; equal in every engine that has md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.coalesce(F.transform(F.array(F.trim(spaced)), count)[0], F.lit(0)).cast("long")
+
+
+def unit_hash(doc_id: Column, text: Column) -> Column:
+    """A 60-bit hash of the id and the text; equal in every engine that has md5."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -104,38 +112,48 @@ def thresholds(docs: DataFrame, targets: DataFrame, bits: int = BITS, levels: in
     return state.select("source", "whole", cut.alias("cut"))
 
 
+def source_cuts(small: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """(source, source_size, target, whole, cut) from (source, size, hash); one row a source."""
+    sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, weights, epochs), "mix-targets")
+    cuts = thresholds(small, targets).withColumnRenamed("source", "s").withColumnRenamed("whole", "w")
+    joined = targets.join(cuts, F.col("s").eqNullSafe(F.col("source")), "left")
+    # no boundary cell: the whole copies meet the target, and nothing is left to take
+    whole = F.coalesce("w", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("long")
+    return materialize(joined.select("source", "source_size", "target", whole.alias("whole"), F.coalesce("cut", F.lit(0)).cast("long").alias("cut")), "mix-cuts")
+
+
+def copies(epochs: int = MOST_EPOCHS) -> Column:
+    """How often a row is taken, from its hash and its source's whole and cut."""
+    return F.least(F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0), F.lit(epochs)).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Columns of ``docs`` (doc_id, text, source needed) plus _size, _source_size, _target, _copies.
+    """(doc, size, source_size, target, copies) for every row of ``docs`` (doc_id, text, source needed); doc holds the row.
 
     Null texts have size 0; null is a source of its own, last in order; documents of size 0
-    follow their hash like all others and change no sum. Rows with equal doc_id share a
-    hash, so they are taken or left together. A source without words has target 0 and
-    contributes no copies. An empty table gives an empty result. Other columns pass through.
+    follow their hash like all others and change no sum. The hash is of id and text: rows
+    with null or equal ids part by their texts, and rows that are equal in both are taken or left
+    together. A source without words has target 0 and contributes no copies. An empty
+    table gives an empty result. Columns of any name pass through inside doc.
     """
-    sized = docs.withColumns({"_size": word_count(F.col("text")), "_hash": unit_hash(F.col("doc_id"))})
-    small = materialize(sized.select(F.col("source").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), "mix-sizes")
-    sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, epochs), "mix-targets")
-    cuts = thresholds(small, targets)
-    per_source = materialize(
-        targets.join(cuts.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left").select(
-            F.col("source").alias("_mix_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-            # no boundary cell: the whole copies meet the target, and nothing is left to take
-            F.coalesce("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("long").alias("_whole"),
-            F.coalesce("cut", F.lit(0)).cast("long").alias("_cut"),
-        ),
-        "mix-cuts",
-    )
-    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("_mix_source")))
-    copies = F.col("_whole") + F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)
-    return joined.withColumn("_copies", F.least(copies, F.lit(epochs)).cast("long")).drop("_hash", "_mix_source", "_whole", "_cut")
+    rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("doc"))
+    doc = F.col("doc")
+    hashed = unit_hash(doc["doc_id"], doc["text"]).alias("hash")
+    small = materialize(rows.select(doc["source"].alias("source"), word_count(doc["text"]).alias("size"), hashed), "mix-sizes")
+    cuts = source_cuts(small, weights, epochs).withColumnRenamed("source", "s")
+    discard(small)
+    joined = rows.select("doc", word_count(doc["text"]).alias("size"), hashed).join(cuts, F.col("s").eqNullSafe(doc["source"]))
+    return joined.select("doc", "size", "source_size", "target", copies(epochs).alias("copies"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return mixed.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken")
-    )
+    docs = documents(spark, sf_dir)
+    small = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    small = materialize(small, "mix-sizes")
+    cuts = source_cuts(small).withColumnRenamed("source", "s")
+    joined = small.join(cuts, F.col("s").eqNullSafe(F.col("source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 #: The same in DuckDB: here the threshold comes from sorting the 36-bit cells of each source.
@@ -143,7 +161,7 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT) AS hash
+         (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT) AS hash
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5e0, 2e0, 1e0][CAST((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w,

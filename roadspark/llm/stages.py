@@ -61,11 +61,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target asks for."""
-    mixed = mixing.mix_sources(docs).filter(F.col("_copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Takes each document as often as its source's target asks for.
 
+    Null is a source of its own. Documents without words are taken or left by their hash like
+    all others; rows equal in id and text go together. Columns of any name pass through.
+    """
+    mixed = mixing.mix_sources(docs).filter("copies > 0")
+    return mixed.select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Packs the token ids of all documents, with their end ids, into sequences.
+
+    Every row is packed as often as it stands; a null or empty text is its end id alone, and null ids pass through.
+    """
+    if tokenizer_path is None:
+        import public_tokenizers
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all words of all documents into sequences."""
-    return packing.pack(materialize(docs.select("doc_id", mixing.word_count(F.col("text")).alias("size")), "sizes"))
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(materialize(packing.token_sizes(docs, tokenizer_path), "sizes"))
