@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(scratch)
 
 #: Bytes of text that a kernel handles at once (a single longer text is still one piece).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 #: Fixed value: the characters between words, as in [^\x20\x09-\x0D]+.
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -254,5 +254,6 @@ def map_texts(docs: DataFrame, keep: Sequence[str], added: str, make: Callable[[
                 out = kernel(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 arrays = [batch.column(k).slice(i, j - i) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([*arrays, *(x if isinstance(x, pa.Array) else pa.array(x) for x in out)], names)
+        pa.default_memory_pool().release_unused()  # workers live on and run other tasks
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("_text_")).mapInArrow(run, schema)
