@@ -11,14 +11,59 @@ from pyspark.sql import functions as F
 CANDIDATE_HIGHWAYS = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service"]
 CLOSED_ACCESS = ["private", "no", "customers", "delivery"]
 CLOSED_BARRIERS = ["gate", "fence", "wall", "bollard", "block"]
-SPEED_DEFAULTS = {"motorway": 110.0, "primary": 60.0, "secondary": 50.0, "residential": 20.0, "tertiary": 30.0}
-SPEED_DEFAULTS_LEGACY = {"motorway": 110.0, "primary": 60.0, "residential": 20.0}
+# speed limit by class, without a signed one; other classes have the last value
+SPEED_DEFAULTS = {
+    "motorway": 110.0, "motorway_link": 110.0, "trunk": 110.0, "trunk_link": 110.0, "primary": 60.0, "primary_link": 60.0, "secondary": 60.0, "secondary_link": 60.0,
+    "tertiary": 50.0, "tertiary_link": 50.0, "residential": 20.0, "living_street": 20.0, "service": 20.0, "unclassified": 20.0,
+}
+OTHER_SPEED = 30.0
+SPEED_DEFAULTS_LEGACY = {"motorway": 110.0, "motorway_link": 110.0, "trunk": 110.0, "trunk_link": 110.0, "residential": 20.0, "living_street": 20.0, "service": 20.0}
+OTHER_SPEED_LEGACY = 60.0
 TOLERANCE_KMH = 19.0
 SLOT_S, SLOTS = 300, 24
-IMPORTANCE = {"motorway": 10, "trunk": 9, "primary": 8, "secondary": 7, "tertiary": 6, "residential": 5, "service": 3, "footway": 1}
+IMPORTANCE = {"motorway": 10, "trunk": 9, "primary": 8, "secondary": 7, "tertiary": 6, "unclassified": 5, "residential": 4, "service": 3, "track": 2, "path": 1, "footway": 1}
 CLASS_CODES = {0: ["motorway", "trunk", "motorway_link"], 1: ["primary", "secondary", "primary_link"], 2: ["tertiary", "tertiary_link"]}
-# class: speed km/h, lanes
-ROAD_DEFAULTS = {"motorway": (110, 3), "trunk": (90, 2), "primary": (60, 2), "secondary": (60, 2), "tertiary": (40, 1), "residential": (20, 1), "service": (20, 1)}
+# class: speed km/h, lanes, seconds to turn right, go on, turn left, turn round
+ROAD_DEFAULTS = {
+    "motorway": (110, 2, 0, 0, 999, 999), "motorway_link": (80, 1, 0, 0, 5, 999), "trunk": (90, 2, 0, 0, 5, 999), "trunk_link": (70, 1, 0, 0, 5, 999),
+    "primary": (60, 2, 1, 0, 4, 30), "primary_link": (50, 1, 1, 0, 4, 30), "secondary": (60, 2, 1, 0, 4, 30), "secondary_link": (50, 1, 1, 0, 4, 30),
+    "tertiary": (50, 1, 1, 0, 3, 20), "tertiary_link": (40, 1, 1, 0, 3, 20), "residential": (20, 1, 0, 0, 2, 10), "living_street": (10, 1, 0, 0, 1, 5),
+    "service": (20, 1, 0, 0, 2, 10), "unclassified": (30, 1, 0, 0, 2, 15),
+}
+OTHER_ROAD = (30, 1, 1, 0, 3, 20)
+# zoom layers: first zoom, zoom behind the last, classes; the last one holds beyond its end too
+LOD = [
+    (0, 8, ["motorway", "motorway_link", "trunk", "trunk_link"]),
+    (8, 11, ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link"]),
+    (11, 14, ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link"]),
+    (14, 24, ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "living_street", "unclassified", "service"]),
+]
+# car profile: km/h by class, country signs (0: no limit), signs of any country, and caps by surface, track and smoothness
+PROFILE_KMH = {
+    "motorway": 90.0, "motorway_link": 45.0, "trunk": 85.0, "trunk_link": 40.0, "primary": 65.0, "primary_link": 30.0, "secondary": 55.0, "secondary_link": 25.0,
+    "tertiary": 40.0, "tertiary_link": 20.0, "unclassified": 25.0, "residential": 25.0, "living_street": 10.0, "service": 15.0,
+}
+SIGNS = {
+    "at:rural": 100.0, "at:trunk": 100.0, "be:motorway": 120.0, "be-bru:rural": 70.0, "be-bru:urban": 30.0, "be-vlg:rural": 70.0, "bg:motorway": 140.0, "by:urban": 60.0,
+    "by:motorway": 110.0, "ca-on:rural": 80.0, "ch:rural": 80.0, "ch:trunk": 100.0, "ch:motorway": 120.0, "cz:trunk": 0.0, "cz:motorway": 0.0, "de:living_street": 7.0,
+    "de:rural": 100.0, "de:motorway": 0.0, "dk:rural": 80.0, "es:trunk": 90.0, "fr:rural": 80.0, "gb:nsl_single": 96.56, "gb:nsl_dual": 112.65, "gb:motorway": 112.65,
+    "nl:rural": 80.0, "nl:trunk": 100.0, "no:rural": 80.0, "no:motorway": 110.0, "ph:urban": 40.0, "ph:rural": 80.0, "ph:motorway": 100.0, "pl:rural": 100.0,
+    "pl:expressway": 120.0, "pl:motorway": 140.0, "ro:trunk": 100.0, "ru:living_street": 20.0, "ru:urban": 60.0, "ru:motorway": 110.0, "uk:nsl_single": 96.56,
+    "uk:nsl_dual": 112.65, "uk:motorway": 112.65, "za:urban": 60.0, "za:rural": 100.0, "none": 140.0,
+}
+ANY_COUNTRY = {"urban": 50.0, "rural": 90.0, "trunk": 110.0, "motorway": 130.0}
+SURFACES = {
+    "cement": 80.0, "compacted": 80.0, "fine_gravel": 80.0, "paving_stones": 60.0, "metal": 60.0, "bricks": 60.0, "grass": 40.0, "wood": 40.0, "sett": 40.0, "grass_paver": 40.0,
+    "gravel": 40.0, "unpaved": 40.0, "ground": 40.0, "dirt": 40.0, "pebblestone": 40.0, "tartan": 40.0, "cobblestone": 30.0, "clay": 30.0, "earth": 20.0, "stone": 20.0,
+    "rocky": 20.0, "sand": 20.0, "mud": 10.0,
+}
+TRACKS = {"grade1": 60.0, "grade2": 40.0, "grade3": 30.0, "grade4": 25.0, "grade5": 20.0}
+SMOOTHNESS = {"intermediate": 80.0, "bad": 40.0, "very_bad": 20.0, "horrible": 10.0, "very_horrible": 5.0, "impassable": 0.0}
+SERVICE_SHARE = {"alley": 0.5, "parking": 0.5, "parking_aisle": 0.5, "driveway": 0.5, "drive-through": 0.5, "drive-thru": 0.5}
+AVOIDED = ["area", "reversible", "impassable", "hov_lanes", "steps", "construction", "proposed", "abandoned", "platform", "raceway", "razed"]
+PROFILE_CLOSED = ["no", "agricultural", "forestry", "emergency", "psv", "customers", "private", "delivery", "destination"]
+PROFILE_OPEN = ["yes", "motorcar", "motor_vehicle", "vehicle", "permissive", "designated", "hov"]
+PASSABLE_BARRIERS = ["cattle_grid", "border_control", "toll_booth", "sally_port", "gate", "lift_gate", "no", "entrance", "height_restrictor", "arch"]
 
 
 def pick(key: Column, table: dict, other) -> Column:
@@ -51,10 +96,31 @@ def is_ground(layer: Column, bridge: Column, tunnel: Column) -> Column:
 
 
 def speed_limit(maxspeed: Column, highway: Column, legacy: bool = False) -> Column:
-    default = pick(highway, SPEED_DEFAULTS_LEGACY if legacy else SPEED_DEFAULTS, 60.0 if legacy else 50.0)
+    default = pick(highway, SPEED_DEFAULTS_LEGACY, OTHER_SPEED_LEGACY) if legacy else pick(highway, SPEED_DEFAULTS, OTHER_SPEED)
     return F.when(maxspeed.rlike("^[0-9]+$"), maxspeed.cast("double")).otherwise(default)
 
 
+def signed_speed(maxspeed: Column) -> Column:
+    """Signed limit: a number, a country sign, or a sign of any country; null where none holds."""
+    sign = F.lower(maxspeed)
+    named = F.coalesce(pick(sign, SIGNS, None), pick(F.substring_index(sign, ":", -1), ANY_COUNTRY, None))
+    limit = F.when(maxspeed.rlike("^[0-9]+$"), maxspeed.cast("double")).otherwise(named)
+    return F.when(limit > 0, limit)
+
+
+def profile_speed(highway: Column, maxspeed: Column, surface: Column, tracktype: Column, smoothness: Column, service: Column) -> Column:
+    """Speed of the car profile: the signed limit or else the class speed, under the caps of the surroundings; null off the profile's classes."""
+    own = pick(highway, PROFILE_KMH, None)
+    capped = F.least(F.coalesce(signed_speed(maxspeed), own), pick(surface, SURFACES, None), pick(tracktype, TRACKS, None), pick(smoothness, SMOOTHNESS, None))  # least skips nulls
+    return F.when(own.isNotNull(), capped * pick(service, SERVICE_SHARE, 1.0))
+
+
+def profile_allows(highway: Column, access: Column, barrier: Column) -> Column:
+    """Class of the profile, not avoided; access open or not closed; barrier passable. Missing tags pass."""
+    entry = F.coalesce(access.isin(PROFILE_OPEN) | ~access.isin(PROFILE_CLOSED), F.lit(True))
+    return highway.isin(list(PROFILE_KMH)) & ~highway.isin(AVOIDED) & entry & F.coalesce(barrier.isin(PASSABLE_BARRIERS), F.lit(True))
+
+
 def travel_seconds(length_m: Column, speed_kmh: Column, tolerance: float = TOLERANCE_KMH) -> Column:
     """Seconds at the limit plus the tolerated excess."""
     return length_m / F.greatest((speed_kmh + tolerance) / 3.6, F.lit(0.1))
@@ -105,29 +171,35 @@ def turn_share(angle: Column) -> Column:
 
 
 def driver_speed(limit: Column, mode: Column, margin: Column, cap: Column) -> Column:
-    """Target speed of a driver: mode factor on the limit plus margin, at most the cap; emergencies ignore the mode."""
-    factor = F.when(mode == "cautious", 0.85).when(mode == "normal", 0.92).otherwise(1.0)
-    return F.least(F.when(mode == "emergency", limit + margin + 20.0).otherwise((limit + margin) * factor), cap)
+    """Target speed of a driver (hurry, patient, else normal): a share of limit and margin, at most the vehicle's cap, which patient drivers use to nine tenths."""
+    most = limit + margin
+    return F.when(mode == "hurry", F.least(most, cap)).when(mode == "patient", F.least(most * 0.85, cap * 0.9)).otherwise(F.least(most * 0.92, cap))
 
 
-def turn_penalty(angle: Column, speed_in: Column, speed_out: Column, same_edge: Column) -> Column:
-    """Seconds lost in a manoeuvre: slow down to the cornering speed, and speed up again.
+def turn_penalty(angle: Column, class_in: Column, speed_in: Column, speed_out: Column) -> Column:
+    """Seconds that a manoeuvre takes beyond its arc at the speed of arrival.
 
-    The corner's radius is 50 m up to 45 degrees and 15 m beyond; grip 0.6; 2 m/s2 down,
-    1.5 m/s2 up; a turn beyond 150 degrees costs 15 s more.
+    Brake to the cornering speed (2 m/s2), drive the arc, speed up (1.5 m/s2). The arc's radius
+    is 50 m from roads of class 0 and 15 m from others; grip 0.6; speeds from 1 m/s, in the
+    corner from 1.3 m/s. Over 150 degrees 15 s more.
     """
-    radius = F.when(F.abs(angle) <= 45, 50.0).otherwise(15.0)
-    corner = F.sqrt(radius * (0.6 * 9.81))
-    v_in, v_out = speed_in / 3.6, speed_out / 3.6
-    v = F.when(F.abs(angle) <= 20, F.least(v_in, v_out)).otherwise(F.least(corner, v_in, v_out))
-    lost = F.pow(v_in - v, 2.0) / (2.0 * 2.0 * F.greatest(v_in, F.lit(0.1))) + F.pow(v_out - v, 2.0) / (2.0 * 1.5 * F.greatest(v_out, F.lit(0.1)))
-    return lost + F.when(same_edge | (F.abs(angle) > 150), 15.0).otherwise(0.0)
+    v_in, v_out = F.greatest(speed_in / 3.6, F.lit(1.0)), F.greatest(speed_out / 3.6, F.lit(1.0))
+    radius = F.when(class_in == 0, 50.0).otherwise(15.0)
+    v = F.greatest(F.least(v_in, v_out, F.sqrt(radius * (0.6 * 9.81))), F.lit(1.3))
+    arc = radius * F.radians(F.abs(angle))
+    lost = (v_in - v) / 2.0 + arc / v + (v_out - v) / 1.5 - arc / v_in
+    return F.greatest(lost, F.lit(0.0)) + F.when(F.abs(angle) > 150, 15.0).otherwise(0.0)
+
+
+def k_magic(speed_kmh: Column, n_lanes: Column, seconds: Column) -> Column:
+    """Fixed-point congestion factor (20 bits) from the free speed, tolerance included, the class's lanes and the free time; 10 where that is not above 0."""
+    room = n_lanes * 150.0
+    k = F.greatest(seconds, F.lit(1.0)) * ((speed_kmh + TOLERANCE_KMH) / 5.0 - 1.0) / (room * room) * (1 << 20)
+    return F.when(k <= 0, F.lit(10).cast("long")).otherwise(F.floor(k).cast("long"))
 
 
-def k_magic(length_m: Column, n_lanes: Column, seconds: Column) -> Column:
-    """Fixed-point congestion factor (20 bits): seconds over squared capacity, at least 10."""
-    cap = F.greatest(F.floor(length_m / 7.0) * n_lanes, F.lit(1))
-    return F.greatest(F.floor(seconds * 0.15 * (1 << 20) / (cap * cap)).cast("long"), F.lit(10))
+def default_lanes(highway: Column) -> Column:
+    return pick(highway, {k: v[1] for k, v in ROAD_DEFAULTS.items()}, OTHER_ROAD[1])
 
 
 def volume_penalty(k: Column, volume: Column, base: Column) -> Column:
@@ -140,11 +212,13 @@ def slot_of(seconds: Column) -> Column:
     return F.floor(seconds / SLOT_S).cast("long")
 
 
-def interpolated_volume(now: Column, after: Column, into: Column) -> Column:
-    """Volume between two slots, ``into`` seconds into the first; signed, floored."""
-    return F.floor((now * (SLOT_S - into) + after * into) / SLOT_S).cast("long")
+def interpolated_penalty(k: Column, now: Column, after: Column, into: Column, base: Column) -> Column:
+    """Penalty between two slots, ``into`` seconds into the first: k * volume^2 of both, interpolated (signed, floored), >> 20; at most ten times the base."""
+    first, second = k * now * now, k * after * after
+    between = first + F.floor((second - first) * into / SLOT_S).cast("long")
+    return F.least(F.shiftright(between, 20), base * 10)
 
 
 def speed_profile(progress: Column, target: Column, turn: Column) -> Column:
-    """Speed on an edge: up over the first 5 %, down to the turn speed over the last 10 %."""
-    return F.when(progress < 0.05, target * (0.3 + 0.7 * progress / 0.05)).when(progress > 0.9, target * (1.0 - (1.0 - turn) * (progress - 0.9) / 0.1)).otherwise(target)
+    """Speed on an edge: up from 0 over the first 5 %, down to 0 over the last 10 %; before a turn (``turn`` below 1) its share in place of the latter."""
+    return F.when(progress < 0.05, target * progress / 0.05).when((progress > 0.9) & (turn < 1.0), target * turn).when(progress > 0.9, target * (1.0 - progress) / 0.1).otherwise(target)

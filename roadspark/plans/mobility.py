@@ -35,21 +35,16 @@ def advance(t: Tables) -> DataFrame:
 
 
 @query("k05_h26_penalties", f"""
-WITH v AS ({_VOL})
-SELECT x.event_id, least((k * vol * vol) >> 20, 1000) AS penalty FROM (
-  SELECT b.event_id, 100000 AS k, CAST(floor((coalesce(v0.volume, 0) * (300 - into_s) + coalesce(v1.volume, 0) * into_s) / 300e0) AS BIGINT) * 40 AS vol
+WITH v AS (SELECT node_id, slot, volume * 40 AS volume FROM ({_VOL}) z)
+SELECT event_id, least((p0 + CAST(floor((p1 - p0) * into_s / 300e0) AS BIGINT)) >> 20, 1000) AS penalty FROM (
+  SELECT b.event_id, into_s, 100000 * coalesce(v0.volume, 0) * coalesce(v0.volume, 0) AS p0, 100000 * coalesce(v1.volume, 0) * coalesce(v1.volume, 0) AS p1
   FROM (SELECT event_id, node_id, CAST(floor(epoch(ts)) AS BIGINT) // 300 AS slot, CAST(floor(epoch(ts)) AS BIGINT) % 300 AS into_s FROM e_booking) b
   LEFT JOIN v v0 ON v0.node_id = b.node_id AND v0.slot = b.slot LEFT JOIN v v1 ON v1.node_id = b.node_id AND v1.slot = b.slot + 1) x""")
 def penalties(t: Tables) -> DataFrame:
     """Penalty of each booking's node at its time, with 40 vehicles to a booking."""
-    v = volumes(t)
+    v = volumes(t).withColumn("volume", c("volume") * 40)
     visits = t.e_booking.select("event_id", "node_id", F.floor(sec("ts")).cast("long").alias("at"), F.lit(100000).cast("long").alias("k_magic"))
-    # the interpolated volume is a whole number before it is scaled
-    s = visits.withColumn("slot", road.slot_of(c("at")))
-    now, after = v.select("node_id", "slot", c("volume").alias("v0")), v.select("node_id", (c("slot") - 1).alias("slot"), c("volume").alias("v1"))
-    s = s.join(now, ["node_id", "slot"], "left").join(after, ["node_id", "slot"], "left")
-    vol = road.interpolated_volume(F.coalesce("v0", F.lit(0)), F.coalesce("v1", F.lit(0)), F.pmod("at", F.lit(300))) * 40
-    return s.select("event_id", road.volume_penalty(c("k_magic"), vol, F.lit(100)).alias("penalty"))
+    return traffic.with_penalty(visits, v, F.lit(100)).select("event_id", "penalty")
 
 
 @query("k08_reroute_candidates", """
@@ -107,9 +102,10 @@ def positions(t: Tables) -> DataFrame:
 
 
 @query("l05_expected_speed", """
-SELECT event_id, round(CASE WHEN p < 0.05e0 THEN 60e0 * (0.3e0 + 0.7e0 * p / 0.05e0) WHEN p > 0.9e0 THEN 60e0 * (1e0 - (1e0 - 0.6e0) * (p - 0.9e0) / 0.1e0) ELSE 60e0 END, 6) AS expected_kmh FROM (SELECT event_id, (event_id % 1000) / 1000e0 AS p FROM e_fix) q""")
+SELECT event_id, round(CASE WHEN p < 0.05e0 THEN 60e0 * p / 0.05e0 WHEN p > 0.9e0 AND turns THEN 60e0 * 0.6e0 WHEN p > 0.9e0 THEN 60e0 * (1e0 - p) / 0.1e0 ELSE 60e0 END, 6) AS expected_kmh
+FROM (SELECT event_id, (event_id % 1000) / 1000e0 AS p, event_id % 2 = 0 AS turns FROM e_fix) q""")
 def expected(t: Tables) -> DataFrame:
-    return t.e_fix.select("event_id", F.round(road.speed_profile((c("event_id") % 1000) / 1000.0, F.lit(60.0), F.lit(0.6)), 6).alias("expected_kmh"))
+    return t.e_fix.select("event_id", F.round(road.speed_profile((c("event_id") % 1000) / 1000.0, F.lit(60.0), F.when(c("event_id") % 2 == 0, 0.6).otherwise(1.0)), 6).alias("expected_kmh"))
 
 
 @query("l06_o08_agents_now", """
@@ -152,9 +148,10 @@ def stuck(t: Tables) -> DataFrame:
 
 
 @query("m06_m07_tile_features", """
-SELECT zoom, x, y, count(*) AS features, CAST(max(importance) AS INTEGER) AS top, CAST(min(qx) AS BIGINT) AS min_qx, CAST(max(qx) AS BIGINT) AS max_qx FROM (
- SELECT v.zoom, x, y, CASE highway WHEN 'motorway' THEN 10 WHEN 'primary' THEN 8 WHEN 'tertiary' THEN 6 ELSE 5 END AS importance,
-   greatest(-256, least(4352, floor(((ax + 180e0) / 360e0 * n - x) * 4096e0))) AS qx
+SELECT zoom, x, y, count(*) AS features, CAST(max(importance) AS INTEGER) AS top, CAST(min(qx) AS BIGINT) AS min_qx, CAST(max(qx) AS BIGINT) AS max_qx, CAST(min(qy) AS BIGINT) AS min_qy, CAST(max(qy) AS BIGINT) AS max_qy FROM (
+ SELECT v.zoom, x, y, CASE highway WHEN 'motorway' THEN 10 WHEN 'primary' THEN 8 WHEN 'tertiary' THEN 6 ELSE 4 END AS importance,
+   greatest(-256, least(4352, floor(((ax + 180e0) / 360e0 * n - x) * 4096e0))) AS qx,
+   greatest(-256, least(4352, floor(((1e0 - ln(tan(radians(ay)) + 1e0 / cos(radians(ay))) / pi()) / 2e0 * n - y) * 4096e0))) AS qy
  FROM (SELECT *, power(2e0, zoom) AS n FROM g_cost, (VALUES (12::BIGINT), (14::BIGINT)) z(zoom)) v, LATERAL (SELECT unnest(range(CAST(floor((least(ax, bx) + 180e0) / 360e0 * n - 0.0625e0) AS BIGINT), CAST(floor((greatest(ax, bx) + 180e0) / 360e0 * n + 0.0625e0) AS BIGINT) + 1)) AS x) a,
    LATERAL (SELECT unnest(range(CAST(floor((1e0 - ln(tan(radians(greatest(ay, b_y))) + 1e0 / cos(radians(greatest(ay, b_y)))) / pi()) / 2e0 * n - 0.0625e0) AS BIGINT), CAST(floor((1e0 - ln(tan(radians(least(ay, b_y))) + 1e0 / cos(radians(least(ay, b_y)))) / pi()) / 2e0 * n + 0.0625e0) AS BIGINT) + 1)) AS y) b) q GROUP BY zoom, x, y""")
 def tile_features(t: Tables) -> DataFrame:
@@ -167,9 +164,9 @@ def tile_features(t: Tables) -> DataFrame:
     cut = lambda v: F.floor(v).cast("long")
     e = e.withColumn("x", F.explode(F.sequence(cut(fx(F.least("ax", "bx")) - 0.0625), cut(fx(F.greatest("ax", "bx")) + 0.0625))))
     e = e.withColumn("y", F.explode(F.sequence(cut(fy(F.greatest("ay", "b_y")) - 0.0625), cut(fy(F.least("ay", "b_y")) + 0.0625))))
-    rank = road.pick(c("highway"), {"motorway": 10, "primary": 8, "tertiary": 6}, 5)
-    q = F.greatest(F.lit(-256), F.least(F.lit(4352), F.floor((fx(c("ax")) - c("x")) * 4096.0)))
-    return e.groupBy("zoom", "x", "y").agg(F.count("*").alias("features"), F.max(rank).alias("top"), F.min(q).cast("long").alias("min_qx"), F.max(q).cast("long").alias("max_qx"))
+    unit = lambda at, tile: F.greatest(F.lit(-256), F.least(F.lit(4352), F.floor((at - c(tile)) * 4096.0)))
+    qx, qy = unit(fx(c("ax")), "x"), unit(fy(c("ay")), "y")
+    return e.groupBy("zoom", "x", "y").agg(F.count("*").alias("features"), F.max(road.importance(c("highway"))).alias("top"), F.min(qx).cast("long").alias("min_qx"), F.max(qx).cast("long").alias("max_qx"), F.min(qy).cast("long").alias("min_qy"), F.max(qy).cast("long").alias("max_qy"))
 
 
 @query("m08_a12_a13_geojson", """

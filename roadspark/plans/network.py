@@ -93,18 +93,19 @@ def maneuvers(t: Tables) -> DataFrame:
     m = f.join(x, "junction")
     same = c("f_edge") == c("t_edge")
     m = m.filter(~(same & c("f_class").isin("motorway", "trunk", "motorway_link", "trunk_link"))).withColumn("angle", F.round(geo.turn_angle(c("f_az"), c("t_az")), 4))
-    penalty = road.turn_penalty(c("angle"), c("f_speed"), c("t_speed"), same)
+    penalty = road.turn_penalty(c("angle"), road.class_code(c("f_class")), c("f_speed"), c("t_speed"))
     return m.select("f_seg", "t_seg", "f_edge", "t_edge", "junction", "angle", geo.turn_type(c("angle"), same).alias("turn"), F.round(penalty, 4).alias("penalty"), F.round(c("t_secs") + penalty).cast("long").alias("weight"))
 
 
 _SEG = """seg AS (SELECT edge_id * 2 AS seg, edge_id, source_id AS entry, target_id AS ex, highway, speed, secs, (degrees(atan2(bx - ax, b_y - ay)) + 360e0) % 360e0 AS az FROM g_cost WHERE oneway <> -1
  UNION ALL SELECT edge_id * 2 + 1, edge_id, target_id, source_id, highway, speed, secs, (degrees(atan2(ax - bx, ay - b_y)) + 360e0) % 360e0 FROM g_cost WHERE oneway <> 1),
- man0 AS (SELECT f.seg AS f_seg, x.seg AS t_seg, f.edge_id AS f_edge, x.edge_id AS t_edge, f.ex AS junction, f.speed / 3.6e0 AS vi, x.speed / 3.6e0 AS vo, x.secs, f.edge_id = x.edge_id AS same,
+ man0 AS (SELECT f.seg AS f_seg, x.seg AS t_seg, f.edge_id AS f_edge, x.edge_id AS t_edge, f.ex AS junction, greatest(f.speed / 3.6e0, 1e0) AS vi, greatest(x.speed / 3.6e0, 1e0) AS vo, x.secs, f.edge_id = x.edge_id AS same,
+   CASE WHEN f.highway IN ('motorway', 'trunk', 'motorway_link') THEN 50e0 ELSE 15e0 END AS r,
    round(CASE WHEN x.az - f.az > 180 THEN x.az - f.az - 360e0 WHEN x.az - f.az <= -180 THEN x.az - f.az + 360e0 ELSE x.az - f.az END, 4) AS angle
    FROM seg f JOIN seg x ON f.ex = x.entry WHERE NOT (f.edge_id = x.edge_id AND f.highway IN ('motorway', 'trunk', 'motorway_link', 'trunk_link'))),
- man1 AS (SELECT *, CASE WHEN abs(angle) <= 20 THEN least(vi, vo) ELSE least(sqrt(CASE WHEN abs(angle) <= 45 THEN 50e0 ELSE 15e0 END * (0.6e0 * 9.81e0)), vi, vo) END AS v FROM man0),
+ man1 AS (SELECT *, greatest(least(vi, vo, sqrt(r * (0.6e0 * 9.81e0))), 1.3e0) AS v, r * radians(abs(angle)) AS arc FROM man0),
  man AS (SELECT *, CASE WHEN same AND abs(angle) > 150 THEN 3 WHEN abs(angle) <= 20 THEN 0 WHEN angle > 20 THEN 1 ELSE 2 END AS turn,
-   power(vi - v, 2e0) / (4e0 * greatest(vi, 0.1e0)) + power(vo - v, 2e0) / (3e0 * greatest(vo, 0.1e0)) + CASE WHEN same OR abs(angle) > 150 THEN 15e0 ELSE 0e0 END AS pen FROM man1)"""
+   greatest((vi - v) / 2e0 + arc / v + (vo - v) / 1.5e0 - arc / vi, 0e0) + CASE WHEN abs(angle) > 150 THEN 15e0 ELSE 0e0 END AS pen FROM man1)"""
 
 
 query("i07_c04_line_graph", f"WITH {_SEG} SELECT f_seg, t_seg, f_edge, t_edge, junction, angle, turn, round(pen, 4) AS penalty, CAST(round(secs + pen) AS BIGINT) AS weight FROM man")(maneuvers)

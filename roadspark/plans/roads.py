@@ -37,27 +37,47 @@ def tag_decode(t: Tables) -> DataFrame:
 
 
 @query("b07_speed_limit", """
-SELECT way_id, CASE WHEN regexp_matches(maxspeed, '^[0-9]+$') THEN CAST(maxspeed AS DOUBLE) ELSE CASE highway WHEN 'motorway' THEN 110e0 WHEN 'primary' THEN 60e0 WHEN 'secondary' THEN 50e0 WHEN 'residential' THEN 20e0 WHEN 'tertiary' THEN 30e0 ELSE 50e0 END END AS limit_kmh,
-       CASE WHEN regexp_matches(maxspeed, '^[0-9]+$') THEN CAST(maxspeed AS DOUBLE) ELSE CASE highway WHEN 'motorway' THEN 110e0 WHEN 'primary' THEN 60e0 WHEN 'residential' THEN 20e0 ELSE 60e0 END END AS limit_legacy FROM w_way""")
+SELECT way_id, CASE WHEN regexp_matches(maxspeed, '^[0-9]+$') THEN CAST(maxspeed AS DOUBLE)
+         WHEN highway IN ('motorway', 'motorway_link', 'trunk', 'trunk_link') THEN 110e0 WHEN highway IN ('primary', 'primary_link', 'secondary', 'secondary_link') THEN 60e0
+         WHEN highway IN ('tertiary', 'tertiary_link') THEN 50e0 WHEN highway IN ('residential', 'living_street', 'service', 'unclassified') THEN 20e0 ELSE 30e0 END AS limit_kmh,
+       CASE WHEN regexp_matches(maxspeed, '^[0-9]+$') THEN CAST(maxspeed AS DOUBLE) WHEN highway IN ('motorway', 'motorway_link', 'trunk', 'trunk_link') THEN 110e0
+         WHEN highway IN ('residential', 'living_street', 'service') THEN 20e0 ELSE 60e0 END AS limit_legacy FROM w_way""")
 def speed_limits(t: Tables) -> DataFrame:
     return t.w_way.select("way_id", road.speed_limit(c("maxspeed"), c("highway")).alias("limit_kmh"), road.speed_limit(c("maxspeed"), c("highway"), legacy=True).alias("limit_legacy"))
 
 
-@query("b08_car_profile_speed", """
-SELECT way_id, least(CASE highway WHEN 'motorway' THEN 110e0 WHEN 'trunk' THEN 90e0 WHEN 'primary' THEN 60e0 WHEN 'secondary' THEN 60e0 WHEN 'tertiary' THEN 40e0 WHEN 'residential' THEN 20e0 WHEN 'service' THEN 20e0 ELSE 30e0 END,
-       coalesce(CASE WHEN maxspeed = 'RU:urban' THEN 60e0 ELSE try_cast(maxspeed AS DOUBLE) END, 1e3),
-       CASE WHEN tunnel IS NOT NULL THEN 70e0 ELSE 1e3 END) * CASE WHEN highway = 'service' THEN 0.5e0 ELSE 1e0 END AS profile_kmh,
-       highway NOT IN ('footway') AND coalesce(access, 'yes') NOT IN ('private', 'no', 'delivery') AND coalesce(barrier, '') NOT IN ('gate') AS allowed FROM w_way""")
+def _values(table: dict) -> str:
+    return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in table.items())
+
+
+def _words(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_SIGN_CASES = ["DE:rural", "de:motorway", "RU:urban", "FR:urban", "none", "XX:trunk", "walk"]
+_SURFACE_CASES, _TRACK_CASES, _SMOOTH_CASES, _SERVICE_CASES = ["asphalt", "gravel", "mud", "cement"], ["grade1", "grade3"], ["good", "bad", "impassable"], ["alley", "crossover"]
+
+#: Surroundings that the ways do not carry are dealt out by id; other country signs too.
+_PROFILE_WAYS = f"""SELECT way_id, highway, access, barrier, CASE WHEN way_id % 3 = 0 THEN [{_words(_SIGN_CASES)}][way_id // 3 % {len(_SIGN_CASES)} + 1] ELSE maxspeed END AS sign,
+  CASE WHEN way_id % 4 < 2 THEN [{_words(_SURFACE_CASES)}][way_id // 4 % 4 + 1] END AS surface, CASE WHEN way_id % 13 = 0 THEN [{_words(_TRACK_CASES)}][way_id // 13 % 2 + 1] END AS tracktype,
+  CASE WHEN way_id % 11 = 0 THEN [{_words(_SMOOTH_CASES)}][way_id // 11 % 3 + 1] END AS smoothness, CASE WHEN highway = 'service' THEN [{_words(_SERVICE_CASES)}][way_id // 8 % 2 + 1] END AS service FROM w_way"""
+
+
+@query("b08_car_profile_speed", f"""
+WITH w AS ({_PROFILE_WAYS}), k(k, v) AS (VALUES {_values(road.PROFILE_KMH)}), g(k, v) AS (VALUES {_values(road.SIGNS)}), a(k, v) AS (VALUES {_values(road.ANY_COUNTRY)}),
+ u(k, v) AS (VALUES {_values(road.SURFACES)}), r(k, v) AS (VALUES {_values(road.TRACKS)}), m(k, v) AS (VALUES {_values(road.SMOOTHNESS)}), f(k, v) AS (VALUES {_values(road.SERVICE_SHARE)}),
+ s AS (SELECT w.*, k.v AS own, CASE WHEN regexp_matches(sign, '^[0-9]+$') THEN try_cast(sign AS DOUBLE) ELSE coalesce(g.v, a.v) END AS signed
+       FROM w LEFT JOIN k ON k.k = highway LEFT JOIN g ON g.k = lower(sign) LEFT JOIN a ON a.k = list_last(string_split(lower(sign), ':')))
+SELECT way_id, CASE WHEN own IS NOT NULL THEN least(CASE WHEN signed > 0 THEN signed ELSE own END, u.v, r.v, m.v) * coalesce(f.v, 1e0) END AS profile_kmh,
+       own IS NOT NULL AND highway NOT IN ({_words(road.AVOIDED)}) AND (access IS NULL OR access NOT IN ({_words(road.PROFILE_CLOSED)})) AND (barrier IS NULL OR barrier IN ({_words(road.PASSABLE_BARRIERS)})) AS allowed
+FROM s LEFT JOIN u ON u.k = surface LEFT JOIN r ON r.k = tracktype LEFT JOIN m ON m.k = smoothness LEFT JOIN f ON f.k = service""")
 def car_profile(t: Tables) -> DataFrame:
-    """Class speed, capped by the signed speed (country words decoded) and by the surroundings; allowed roads."""
-    spark = t.w_way.sparkSession
-    speeds = spark.createDataFrame([(k, float(v)) for k, (v, _) in road.ROAD_DEFAULTS.items()], "cls string, class_kmh double")
-    signed = F.coalesce(F.when(c("maxspeed") == "RU:urban", 60.0).when(c("maxspeed").rlike("^[0-9]+$"), c("maxspeed").cast("double")), F.lit(1000.0))
-    ways = t.w_way.join(F.broadcast(speeds), c("highway") == c("cls"), "left")  # a table of fixed size
-    return ways.select(
-        "way_id", (F.least(F.coalesce("class_kmh", F.lit(30.0)), signed, F.when(c("tunnel").isNotNull(), 70.0).otherwise(1000.0)) * F.when(c("highway") == "service", 0.5).otherwise(1.0)).alias("profile_kmh"),
-        (~c("highway").isin("footway") & ~F.coalesce("access", F.lit("yes")).isin("private", "no", "delivery") & ~F.coalesce("barrier", F.lit("")).isin("gate")).alias("allowed"),
-    )
+    """Class speed or signed speed (country signs decoded), capped by the surroundings; allowed roads."""
+    one = lambda words, of: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(c("way_id") / of) % len(words) + 1).cast("int"))
+    w, i = t.w_way, c("way_id")
+    sign = F.when(i % 3 == 0, one(_SIGN_CASES, 3)).otherwise(c("maxspeed"))
+    around = (F.when(i % 4 < 2, one(_SURFACE_CASES, 4)), F.when(i % 13 == 0, one(_TRACK_CASES, 13)), F.when(i % 11 == 0, one(_SMOOTH_CASES, 11)), F.when(c("highway") == "service", one(_SERVICE_CASES, 8)))
+    return w.select("way_id", road.profile_speed(c("highway"), sign, *around).alias("profile_kmh"), road.profile_allows(c("highway"), c("access"), c("barrier")).alias("allowed"))
 
 
 def costed(t: Tables) -> DataFrame:
@@ -130,19 +150,23 @@ def exact_box(t: Tables) -> DataFrame:
     return costed(t).filter(geo.segment_meets_box(c("ax"), c("ay"), c("bx"), c("b_y"), F.lit(37.351), F.lit(55.461), F.lit(37.4193), F.lit(55.4987))).select("edge_id")
 
 
-LOD = [(0, 8, ["motorway"]), (8, 11, ["motorway", "trunk", "primary"]), (11, 14, ["motorway", "trunk", "primary", "secondary", "tertiary_link"]), (14, 99, ["ALL"])]
+ZOOMS = [5, 10, 12, 16, 24, 30]
 
 
-@query("b18_f01_zoom_lod", """
-SELECT z.zoom::BIGINT AS zoom, w.way_id, CASE highway WHEN 'motorway' THEN 10 WHEN 'trunk' THEN 9 WHEN 'primary' THEN 8 WHEN 'secondary' THEN 7 WHEN 'tertiary' THEN 6 WHEN 'residential' THEN 5 WHEN 'service' THEN 3 WHEN 'footway' THEN 1 ELSE 0 END AS importance
-FROM w_way w, (VALUES (5), (10), (12), (16)) z(zoom)
-WHERE zoom >= 14 OR (zoom < 8 AND highway = 'motorway') OR (zoom >= 8 AND zoom < 11 AND highway IN ('motorway', 'trunk', 'primary'))
-   OR (zoom >= 11 AND zoom < 14 AND highway IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary_link'))""")
+@query("b18_f01_zoom_lod", f"""
+WITH z(zoom) AS (VALUES {", ".join(f"({z}::BIGINT)" for z in ZOOMS)}), l(low, high, classes) AS (VALUES {", ".join(f"({a}, {b}, [{_words(k)}])" for a, b, k in road.LOD)}),
+ s AS (SELECT zoom, classes FROM z JOIN l ON (zoom >= low AND zoom < high) OR (zoom >= high AND high = (SELECT max(high) FROM l)))
+SELECT zoom, way_id, CASE highway WHEN 'motorway' THEN 10 WHEN 'trunk' THEN 9 WHEN 'primary' THEN 8 WHEN 'secondary' THEN 7 WHEN 'tertiary' THEN 6 WHEN 'unclassified' THEN 5 WHEN 'residential' THEN 4
+         WHEN 'service' THEN 3 WHEN 'track' THEN 2 WHEN 'path' THEN 1 WHEN 'footway' THEN 1 ELSE 0 END AS importance
+FROM w_way JOIN s ON list_contains(classes, highway) OR list_contains(classes, 'ALL')""")
 def zoom_lod(t: Tables) -> DataFrame:
+    """Classes shown at a zoom, with the last layer beyond its end; rows rank by importance."""
     spark = t.w_way.sparkSession
-    lod = spark.createDataFrame(LOD, "minzoom int, maxzoom int, classes array<string>")
-    zooms = spark.createDataFrame([(5,), (10,), (12,), (16,)], "zoom long").join(F.broadcast(lod), (c("zoom") >= c("minzoom")) & (c("zoom") < c("maxzoom")))
-    ways = t.w_way.join(F.broadcast(zooms), F.array_contains("classes", c("highway")) | F.array_contains("classes", F.lit("ALL")))  # four rows
+    lod = spark.createDataFrame(road.LOD, "low int, high int, classes array<string>")
+    last = max(high for _, high, _ in road.LOD)
+    within = (c("zoom") >= c("low")) & ((c("zoom") < c("high")) | (c("high") == last))
+    zooms = spark.createDataFrame([(z,) for z in ZOOMS], "zoom long").join(F.broadcast(lod), within)
+    ways = t.w_way.join(F.broadcast(zooms), F.array_contains("classes", c("highway")) | F.array_contains("classes", F.lit("ALL")))  # one row a zoom
     return ways.select("zoom", "way_id", road.importance(c("highway")).alias("importance"))
 
 
@@ -171,30 +195,32 @@ def cached(t: Tables) -> DataFrame:
     return t.w_way.select("way_id").join(done, "way_id", "left_semi")
 
 
-@query("b22_b23_road_class", """
+@query("b22_b23_road_class", f"""
+WITH r(k, kmh, n, turn_right, straight_on, turn_left, turn_round) AS (VALUES {", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in road.ROAD_DEFAULTS.items())})
 SELECT way_id, CASE WHEN highway IN ('motorway', 'trunk', 'motorway_link') THEN 0 WHEN highway IN ('primary', 'secondary', 'primary_link') THEN 1 WHEN highway IN ('tertiary', 'tertiary_link') THEN 2 ELSE 3 END AS class_code,
-       CAST(CASE highway WHEN 'motorway' THEN 3 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 2 WHEN 'secondary' THEN 2 ELSE 1 END AS INTEGER) AS default_lanes,
-       CASE highway WHEN 'motorway' THEN 110 WHEN 'trunk' THEN 90 WHEN 'primary' THEN 60 WHEN 'secondary' THEN 60 WHEN 'residential' THEN 20 WHEN 'service' THEN 20 ELSE 30 END AS default_kmh FROM w_way""")
+       coalesce(kmh, 30) AS default_kmh, coalesce(n, 1) AS default_lanes, coalesce(turn_right, 1) AS turn_right, coalesce(straight_on, 0) AS straight_on, coalesce(turn_left, 3) AS turn_left, coalesce(turn_round, 20) AS turn_round
+FROM w_way LEFT JOIN r ON r.k = highway""")
 def road_class(t: Tables) -> DataFrame:
-    spark = t.w_way.sparkSession
-    table = spark.createDataFrame([(k, v, n) for k, (v, n) in road.ROAD_DEFAULTS.items()], "highway string, kmh int, n int")
-    return t.w_way.join(F.broadcast(table), "highway", "left").select("way_id", road.class_code(c("highway")).alias("class_code"), F.coalesce("n", F.lit(1)).alias("default_lanes"), F.coalesce("kmh", F.lit(30)).alias("default_kmh"))
+    names = ["default_kmh", "default_lanes", "turn_right", "straight_on", "turn_left", "turn_round"]
+    table = t.w_way.sparkSession.createDataFrame([(k, *v) for k, v in road.ROAD_DEFAULTS.items()], "highway string, " + ", ".join(f"{n} int" for n in names))
+    ways = t.w_way.join(F.broadcast(table), "highway", "left")  # a table of fixed size
+    return ways.select("way_id", road.class_code(c("highway")).alias("class_code"), *[F.coalesce(n, F.lit(v)).alias(n) for n, v in zip(names, road.OTHER_ROAD)])
 
 
 @query("b24_b26_b28_driver_speed", """
 SELECT event_id, mode, CASE WHEN pr >= 20 THEN 'emergency' WHEN pr >= 10 THEN 'public' ELSE 'normal' END AS band, pr < 20 AS sees_congestion,
-       round(least(CASE WHEN mode = 'emergency' THEN 60e0 + margin + 20e0 ELSE (60e0 + margin) * CASE mode WHEN 'cautious' THEN 0.85e0 WHEN 'normal' THEN 0.92e0 ELSE 1e0 END END, 110e0), 6) AS target_kmh,
+       round(CASE mode WHEN 'hurry' THEN least(60e0 + margin, cap) WHEN 'patient' THEN least((60e0 + margin) * 0.85e0, cap * 0.9e0) ELSE least((60e0 + margin) * 0.92e0, cap) END, 6) AS target_kmh,
        CASE WHEN abs(angle) <= 30 THEN 1e0 WHEN abs(angle) <= 60 THEN 0.6e0 WHEN abs(angle) <= 120 THEN 0.4e0 WHEN abs(angle) <= 150 THEN 0.2e0 ELSE 0.1e0 END AS turn_share
-FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'cautious' WHEN 1 THEN 'normal' WHEN 2 THEN 'sport' ELSE 'emergency' END AS mode, event_id % 30 AS pr, event_id % 361 - 180 AS angle,
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'patient' WHEN 1 THEN 'normal' ELSE 'hurry' END AS mode, CASE event_id % 5 WHEN 0 THEN 70e0 WHEN 1 THEN 90e0 ELSE 110e0 END AS cap, event_id % 30 AS pr, event_id % 361 - 180 AS angle,
              CASE event_id % 3 WHEN 0 THEN 19e0 WHEN 1 THEN 9e0 ELSE 60e0 * 0.1e0 END AS margin FROM events) q""")
 def drivers(t: Tables) -> DataFrame:
     pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (c("event_id") % n + 1).cast("int"))
     margins = t.events.sparkSession.createDataFrame([(0, 19.0, 0.0), (1, 9.0, 0.0), (2, 0.0, 0.1)], "region int, absolute double, share double")
-    e = t.events.select("event_id", (c("event_id") % 3).cast("int").alias("region"), pick(4, "cautious", "normal", "sport", "emergency").alias("mode"), (c("event_id") % 30).alias("pr"), (c("event_id") % 361 - 180).alias("angle"))
+    e = t.events.select("event_id", (c("event_id") % 3).cast("int").alias("region"), pick(4, "patient", "normal", "hurry", "hurry").alias("mode"), pick(5, 70.0, 90.0, 110.0, 110.0, 110.0).alias("cap"), (c("event_id") % 30).alias("pr"), (c("event_id") % 361 - 180).alias("angle"))
     e = e.join(F.broadcast(margins), "region").withColumn("margin", c("absolute") + c("share") * 60.0)
     return e.select(
         "event_id", "mode", road.priority_band(c("pr")).alias("band"), (c("pr") < 20).alias("sees_congestion"),
-        F.round(road.driver_speed(F.lit(60.0), c("mode"), c("margin"), F.lit(110.0)), 6).alias("target_kmh"), road.turn_share(c("angle")).alias("turn_share"),
+        F.round(road.driver_speed(F.lit(60.0), c("mode"), c("margin"), c("cap")), 6).alias("target_kmh"), road.turn_share(c("angle")).alias("turn_share"),
     )
 
 
@@ -298,15 +324,20 @@ def wkt(t: Tables) -> DataFrame:
     return back.select("way_id", "n", F.size("read").cast("long").alias("n_read"), F.round(F.array_min(F.transform("read", lambda p: p["lon"])), 6).alias("min_lon"))
 
 
-@query("h22_h25_factors", """
-SELECT edge_id, k_magic, least((k_magic * v * v) >> 20, w * 10) AS penalty, CASE WHEN p < 0.05e0 THEN round(speed * (0.3e0 + 0.7e0 * p / 0.05e0), 6) WHEN p > 0.9e0 THEN round(speed * (1e0 - (1e0 - 0.4e0) * (p - 0.9e0) / 0.1e0), 6) ELSE round(speed, 6) END AS profile_kmh
-FROM (SELECT edge_id, w, speed, edge_id % 50 AS v, (edge_id % 100) / 100e0 AS p,
-      greatest(CAST(floor(secs * 0.15e0 * 1048576e0 / (greatest(floor(length_m / 7e0) * coalesce(lanes, 1), 1) * greatest(floor(length_m / 7e0) * coalesce(lanes, 1), 1))) AS BIGINT), 10) AS k_magic FROM g_cost) q""")
+_LANES = "CASE highway WHEN 'motorway' THEN 2 WHEN 'primary' THEN 2 ELSE 1 END * 150e0"
+K_MAGIC = f"CASE WHEN greatest(secs, 1e0) * ((speed + 19e0) / 5e0 - 1e0) <= 0 THEN 10 ELSE CAST(floor(greatest(secs, 1e0) * ((speed + 19e0) / 5e0 - 1e0) / ({_LANES} * {_LANES}) * 1048576e0) AS BIGINT) END"
+
+
+@query("h22_h25_factors", f"""
+SELECT edge_id, k_magic, least((k_magic * v * v) >> 20, w * 10) AS penalty,
+  round(CASE WHEN p < 0.05e0 THEN speed * p / 0.05e0 WHEN p > 0.9e0 AND turn < 1 THEN speed * turn WHEN p > 0.9e0 THEN speed * (1e0 - p) / 0.1e0 ELSE speed END, 6) AS profile_kmh
+FROM (SELECT edge_id, w, speed, edge_id % 50 AS v, (edge_id % 100) / 100e0 AS p, CASE WHEN edge_id % 3 = 0 THEN 0.4e0 ELSE 1e0 END AS turn, {K_MAGIC} AS k_magic FROM g_cost) q""")
 def factors(t: Tables) -> DataFrame:
-    e = costed(t).withColumn("k_magic", road.k_magic(c("length_m"), c("n_lanes"), c("secs")))
+    e = costed(t).withColumn("k_magic", road.k_magic(c("speed"), road.default_lanes(c("highway")), c("secs")))
+    turn = F.when(c("edge_id") % 3 == 0, 0.4).otherwise(1.0)
     return e.select(
         "edge_id", "k_magic", road.volume_penalty(c("k_magic"), c("edge_id") % 50, c("w")).alias("penalty"),
-        F.round(road.speed_profile((c("edge_id") % 100) / 100.0, c("speed"), F.lit(0.4)), 6).alias("profile_kmh"),
+        F.round(road.speed_profile((c("edge_id") % 100) / 100.0, c("speed"), turn), 6).alias("profile_kmh"),
     )
 
 

@@ -39,7 +39,7 @@ FROM (SELECT x.*, length_m / greatest((speed + 19e0) / 3.6e0, 1e-1) AS secs
 FROM (SELECT e.*, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS b_y,
              6371000e0 * 2e0 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2e0), 2e0) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2e0), 2e0))) AS length_m,
              CASE WHEN maxspeed IS NOT NULL AND maxspeed <> 'RU:urban' THEN CAST(regexp_replace(maxspeed, '[^0-9]', '') AS DOUBLE)
-                  ELSE CASE highway WHEN 'motorway' THEN 110e0 WHEN 'primary' THEN 60e0 WHEN 'tertiary' THEN 30e0 WHEN 'residential' THEN 20e0 ELSE 50e0 END END AS speed
+                  ELSE CASE highway WHEN 'motorway' THEN 110e0 WHEN 'primary' THEN 60e0 WHEN 'tertiary' THEN 50e0 WHEN 'residential' THEN 20e0 ELSE 30e0 END END AS speed
       FROM g_edge e JOIN g_node a ON a.node_id = e.source_id JOIN g_node b ON b.node_id = e.target_id) x) y""",
     # legal directions
     "g_arc": """
