@@ -219,7 +219,7 @@ def paths(t: Tables) -> DataFrame:
     return p.select("request_id", "cost", "first_eta", up.alias("monotone"))
 
 
-_FIX = "(SELECT event_id, lon + 7e-4 AS lon, lat + 3e-4 AS lat FROM e_fix WHERE lat < 55.52e0)"
+_FIX = "(SELECT event_id, lon + 7e-4 AS lon, lat + 3e-4 AS lat FROM e_fix)"
 
 
 @query("c11_nearest_node", f"""
@@ -229,7 +229,7 @@ LATERAL (SELECT 6371000e0 * 2e0 * asin(sqrt(power(sin(radians(n.lat - f.lat) / 2
 def nearest_node(t: Tables) -> DataFrame:
     """C11: nearest junction within 200 m, by joining each fix to its own and the neighbouring cells."""
     size, gate = 4e-3, 200.0
-    f = t.e_fix.filter("lat < 55.52e0").select("event_id", (c("lon") + 7e-4).alias("x"), (c("lat") + 3e-4).alias("y"))
+    f = t.e_fix.select("event_id", (c("lon") + 7e-4).alias("x"), (c("lat") + 3e-4).alias("y"))
     near = F.sequence(F.lit(-1), F.lit(1))
     f = f.withColumns({"cx": F.explode(F.transform(near, lambda d: geo.cell(c("x"), size) + d))}).withColumn("cy", F.explode(F.transform(near, lambda d: geo.cell(c("y"), size) + d)))
     n = t.g_node.select("node_id", "lon", "lat", geo.cell(c("lon"), size).alias("cx"), geo.cell(c("lat"), size).alias("cy"))
@@ -242,14 +242,13 @@ def nearest_node(t: Tables) -> DataFrame:
 SELECT event_id, edge_id, round(t, 4) AS share, CASE WHEN t <= 0.5e0 THEN source_id ELSE target_id END AS node_id FROM (
  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(power((ax + (bx - ax) * t - lon) * kx, 2e0) + power(ay + (b_y - ay) * t - lat, 2e0), 14), edge_id) AS r FROM (
   SELECT f.event_id, f.lon, f.lat, e.*, cos(radians(f.lat)) AS kx, least(1e0, greatest(0e0, ((f.lon - ax) * cos(radians(f.lat)) * (bx - ax) * cos(radians(f.lat)) + (f.lat - ay) * (b_y - ay)) / (power((bx - ax) * cos(radians(f.lat)), 2e0) + power(b_y - ay, 2e0)))) AS t
-  FROM (SELECT * FROM {_FIX} z WHERE event_id % 5 = 0) f JOIN g_cost e ON e.kind IN (1, 2)
-   AND least(ax, bx) <= f.lon + 3e-3 AND greatest(ax, bx) >= f.lon - 3e-3 AND least(ay, b_y) <= f.lat + 3e-3 AND greatest(ay, b_y) >= f.lat - 3e-3) q) s WHERE r = 1""")
+  FROM {_FIX} f JOIN g_cost e ON least(ax, bx) <= f.lon + 3e-3 AND greatest(ax, bx) >= f.lon - 3e-3 AND least(ay, b_y) <= f.lat + 3e-3 AND greatest(ay, b_y) >= f.lat - 3e-3) q) s WHERE r = 1""")
 def nearest_edge(t: Tables) -> DataFrame:
     """Nearest street of a fix within the cells around it, share along it, and the nearer end."""
     size = 3e-3
-    f = t.e_fix.filter("lat < 55.52e0 AND event_id % 5 = 0").select("event_id", (c("lon") + 7e-4).alias("px"), (c("lat") + 3e-4).alias("py"))
+    f = t.e_fix.select("event_id", (c("lon") + 7e-4).alias("px"), (c("lat") + 3e-4).alias("py"))
     span = lambda lo, hi: F.explode(F.sequence(geo.cell(lo, size), geo.cell(hi, size)))
-    e = costed(t).filter("kind IN (1, 2)").select("edge_id", "source_id", "target_id", "ax", "ay", "bx", "b_y")
+    e = costed(t).select("edge_id", "source_id", "target_id", "ax", "ay", "bx", "b_y")
     e = e.withColumn("cx", span(F.least("ax", "bx"), F.greatest("ax", "bx"))).withColumn("cy", span(F.least("ay", "b_y"), F.greatest("ay", "b_y")))
     near = F.sequence(F.lit(-1), F.lit(1))
     f = f.withColumn("cx", F.explode(F.transform(near, lambda d: geo.cell(c("px"), size) + d))).withColumn("cy", F.explode(F.transform(near, lambda d: geo.cell(c("py"), size) + d)))
@@ -263,14 +262,14 @@ def nearest_edge(t: Tables) -> DataFrame:
 
 
 @query("c17_request_box", """
-SELECT q.rid, count(*) AS edges FROM (SELECT edge_id AS rid, ax, ay, bx, b_y, greatest(1.5e-2, 0.3e0 * sqrt(power(bx - ax, 2e0) + power(b_y - ay, 2e0))) AS pad FROM g_cost WHERE kind = 3 AND edge_id % 7 = 0) q
+SELECT q.rid, count(*) AS edges FROM (SELECT edge_id AS rid, ax, ay, bx, b_y, greatest(1.5e-2, 0.3e0 * sqrt(power(bx - ax, 2e0) + power(b_y - ay, 2e0))) AS pad FROM g_cost WHERE kind >= 3) q
 JOIN g_cost e ON least(e.ax, e.bx) <= greatest(q.ax, q.bx) + pad AND greatest(e.ax, e.bx) >= least(q.ax, q.bx) - pad AND least(e.ay, e.b_y) <= greatest(q.ay, q.b_y) + pad AND greatest(e.ay, e.b_y) >= least(q.ay, q.b_y) - pad GROUP BY q.rid""")
 def request_box(t: Tables) -> DataFrame:
-    """C17: edges near each request's box, joined on coarse cells and then tested."""
+    """C17: edges near the box of each request (from end to end of an express link), joined on coarse cells and then tested."""
     size = 2e-2
     e = costed(t)
     pad = F.greatest(F.lit(1.5e-2), 0.3 * F.sqrt(F.pow(c("bx") - c("ax"), 2.0) + F.pow(c("b_y") - c("ay"), 2.0)))
-    q = e.filter("kind = 3 AND edge_id % 7 = 0").select(
+    q = e.filter("kind >= 3").select(
         c("edge_id").alias("rid"), (F.least("ax", "bx") - pad).alias("x0"), (F.least("ay", "b_y") - pad).alias("y0"), (F.greatest("ax", "bx") + pad).alias("x1"), (F.greatest("ay", "b_y") + pad).alias("y1"))
     b = e.select("edge_id", F.least("ax", "bx").alias("u0"), F.least("ay", "b_y").alias("v0"), F.greatest("ax", "bx").alias("u1"), F.greatest("ay", "b_y").alias("v1"))
     cells = lambda df, x0, y0, x1, y1: df.withColumn("cx", F.explode(F.sequence(geo.cell(c(x0), size), geo.cell(c(x1), size)))).withColumn("cy", F.explode(F.sequence(geo.cell(c(y0), size), geo.cell(c(y1), size))))
@@ -286,10 +285,10 @@ WITH RECURSIVE {_reach(_SEED)},
  b(node, dist) USING KEY (node) AS (SELECT CAST(node AS BIGINT), CAST(0 AS BIGINT) FROM ({_SEED}) z
   UNION SELECT a.s, CAST(min(b.dist + a.w) AS BIGINT) FROM b JOIN g_arc a ON a.t = b.node LEFT JOIN recurring.b r ON r.node = a.s WHERE r.dist IS NULL OR b.dist + a.w < r.dist GROUP BY a.s),
  l AS (SELECT d.node, least(d.dist, 65534) AS d_from, least(b.dist, 65534) AS d_to FROM d JOIN b ON b.node = d.node)
-SELECT e.edge_id AS request_id, greatest(x.d_to - y.d_to, y.d_from - x.d_from, 0) AS bound FROM g_edge e JOIN l x ON x.node = e.source_id JOIN l y ON y.node = e.target_id WHERE e.kind >= 3""")
+SELECT e.edge_id AS request_id, greatest(x.d_to - y.d_to, y.d_from - x.d_from, 0) AS bound FROM g_edge e JOIN l x ON x.node = e.source_id JOIN l y ON y.node = e.target_id""")
 def bounds(t: Tables) -> DataFrame:
-    """Landmark table with the depot as landmark, and lower bounds for the ends of express links."""
+    """Landmark table with the depot as landmark, and lower bounds for the ends of all edges."""
     a = arcs(t).select("s", "t", "w")
     table = graph.landmark_table(a, [root(t).first().src])
-    pairs = t.g_edge.filter("kind >= 3").select(c("edge_id").alias("request_id"), c("source_id").alias("src"), c("target_id").alias("dst"))
+    pairs = t.g_edge.select(c("edge_id").alias("request_id"), c("source_id").alias("src"), c("target_id").alias("dst"))
     return graph.landmark_bounds(table, pairs).select("request_id", "bound")

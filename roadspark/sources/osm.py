@@ -96,34 +96,41 @@ def log_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def hull_per_group(points: DataFrame, cells: float = 1e-3) -> DataFrame:
+def ring_of(points) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise from the westernmost; monotone chain."""
+    pts = sorted(set(points))
+
+    def half(seq):
+        out = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    return pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+
+
+def hull_per_group(points: DataFrame) -> DataFrame:
     """(component, wkt, n_points): convex hull of each group of (component, lon, lat).
 
-    Points are first thinned without loss: of every column of cells only the lowest and
-    highest point can be on the hull, so a group that reaches the hull function is small.
+    Each task first reduces every group's points of a batch to the corners of their own hull: a
+    corner of the whole is a corner of every part that holds it. So what reaches the last
+    hull of a group are the corners of its parts.
     """
     import pandas as pd
 
-    column = geo.cell(F.col("lon"), cells)
-    thin = points.groupBy("component", column.alias("col")).agg(
-        *[f(F.struct(*order)).alias(name) for name, f, order in (("a", F.min, ("lat", "lon")), ("b", F.max, ("lat", "lon")), ("c", F.min, ("lon", "lat")), ("d", F.max, ("lon", "lat")))], F.count("*").alias("n")
-    )
-    corner = F.explode(F.array(*[F.struct(F.col(k)["lon"].alias("lon"), F.col(k)["lat"].alias("lat")) for k in "abcd"]))
-    n = thin.groupBy("component").agg(F.sum("n").alias("n_points"))
+    def corners(frames):
+        for pdf in frames:
+            rows = [(k, len(g), x, y) for k, g in pdf.groupby("component") for x, y in ring_of(zip(g.lon, g.lat))]
+            out = pd.DataFrame(rows, columns=["component", "n", "lon", "lat"])
+            out["n"] = out["n"].where(~out.duplicated("component"), 0)  # each part is counted once
+            yield out
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(pdf.lon, pdf.lat)))
-
-        def half(seq):
-            out = []
-            for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
-
-        ring = pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+        ring = ring_of(zip(pdf.lon, pdf.lat))
         text = ", ".join(f"{x} {y}" for x, y in [*ring, *ring[:1]])
-        return pd.DataFrame({"component": [pdf.component.iloc[0]], "wkt": [f"POLYGON(({text}))"]})
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "wkt": [f"POLYGON(({text}))"], "n_points": [int(pdf.n.sum())]})
 
-    return thin.select("component", corner.alias("p")).select("component", "p.lon", "p.lat").groupBy("component").applyInPandas(hull, "component long, wkt string").join(n, "component")
+    parts = points.select("component", "lon", "lat").mapInPandas(corners, "component long, n long, lon double, lat double")
+    return parts.groupBy("component").applyInPandas(hull, "component long, wkt string, n_points long")

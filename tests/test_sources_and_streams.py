@@ -151,3 +151,31 @@ def test_micro_batch_upsert(spark, feed, tmp_path):
     got = {r.user_id: r.event_id for r in spark.read.parquet(streams.current(spark, path)).collect()}
     e = spark.read.parquet(feed[0]).groupBy("user_id").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("e"))
     assert got == {r.user_id: r.e for r in e.collect()}
+
+
+def test_hull_equals_brute_force(spark):
+    """A point is a corner unless it lies in a triangle of others or on a line between two; round and flat sets too."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    sets = [[(rng.random(), rng.random()) for _ in range(40)] for _ in range(10)]
+    sets.append([(math.cos(k), math.sin(k)) for k in range(25)])
+    sets += [[(float(k), 2.0 * k) for k in range(6)], [(1.0, 1.0)] * 4, [(0.0, 0.0), (3.0, 1.0)]]
+
+    def corners(points):
+        points = sorted(set(points))
+        side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        out = set()
+        for a in points:
+            for b in points:
+                # an edge of the hull has all points on one side, and those on its line between its ends
+                if a != b and all(side(a, b, p) > 0 or side(a, b, p) == 0 and min(a, b) <= p <= max(a, b) for p in points):
+                    out |= {a, b}
+        return out or set(points)
+
+    rows = [(k, x, y) for k, points in enumerate(sets) for x, y in points]
+    got = {r.component: r for r in osm.hull_per_group(spark.createDataFrame(rows, "component long, lon double, lat double").repartition(7)).collect()}
+    for k, points in enumerate(sets):
+        ring = {tuple(map(float, p.split())) for p in got[k].wkt[len("POLYGON((") : -2].split(", ")}
+        assert ring == corners(points) and got[k].n_points == len(points)
