@@ -140,8 +140,8 @@ def depths(parents: list[str], children: list[str]) -> dict[str, int]:
 def topological_depth(calls: DataFrame, links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     """(call_id, depth) from calls (call_id) and links (parent, child) between them; null depth on cycles.
 
-    Calls that hang together are a group. A group of up to ``most`` links is layered in one
-    task; larger ones are peeled layer by layer as tables.
+    Calls that hang together are a group. Groups of up to ``most`` links are layered inside
+    tasks, about as many links to a task; larger ones are peeled layer by layer as tables.
     """
     links = materialize(links.select("parent", "child").distinct(), "call-links")
     every = calls.select("call_id").distinct()
@@ -156,7 +156,9 @@ def topological_depth(calls: DataFrame, links: DataFrame, most: int = MOST_LINKS
         ids = pd.unique(pd.concat([frame["parent"], frame["child"]]))
         return pd.DataFrame({"call_id": ids, "depth": pd.array([known.get(i) for i in ids], "Int64")})
 
-    small = named.filter("NOT large").groupBy("component").applyInPandas(run, "call_id string, depth long")
+    # many groups to a task: what hangs together shares a bucket
+    buckets = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-named.count() // most))
+    small = named.filter("NOT large").groupBy(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket")).applyInPandas(run, "call_id string, depth long")
     large = named.filter("large").select("parent", "child")
     peeled = materialize(small, "call-depths")
     if not large.isEmpty():
