@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadspark.llm import stages
 from roadspark.llm.common import documents, materialize
+from roadspark.operators.scratch import release
 
 STAGES = [
     ("quality classifier", stages.quality),
@@ -18,7 +19,7 @@ STAGES = [
     ("best-fit packing", stages.pack),
 ]
 
-#: The fitted scores of the first stages have no SQL form; tests compare with a brute-force version.
+#: The fitted scores of the first stages have no SQL form; tests hold each stage against its operator's rules.
 ORACLE_SQL = None
 
 
@@ -28,4 +29,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-"))
+            release(spark)
     return docs
