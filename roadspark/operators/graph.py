@@ -52,13 +52,16 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 
 def distances(
-    arcs: DataFrame, sources: DataFrame, limit: int | None = None, keep: Column | None = None, extra: list[str] | None = None, penalised: DataFrame | None = None, factor: int = 1
+    arcs: DataFrame, sources: DataFrame, limit: int | None = None, keep: Column | None = None, extra: list[str] | None = None, penalised: DataFrame | None = None, factor: float = 1,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """Least whole-number distances (src, node, g, parent) from each source over arcs (s, t, w).
 
     ``sources`` has src and, if ``extra`` names columns for ``keep``, those. Distances beyond
     ``limit`` and rows that fail ``keep`` (a condition on src, node, g and the extra columns)
-    are not followed. All sources share the rounds. Ties keep the parent that was found first,
+    are not followed. With ``targets`` (src, dst) a source's search ends where nothing cheaper than its
+    dearest target is left to follow (weights not negative); nodes beyond it may lack rows or have too
+    high a g, targets and the nodes on their paths do not. All sources share the rounds. Ties keep the parent that was found first,
     and of several found together the least.
     """
     extra = extra or []
@@ -67,13 +70,16 @@ def distances(
     zero = sources.select("src", start.alias("node"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh"), *extra).dropDuplicates(["src"])
     state, arcs = settle(zero, "distances"), settle(arcs, "arcs")
     by = ["src", "node", *extra]
+    goals = None if targets is None else settle(targets.select("src", F.col("dst").alias("node")).distinct(), "targets")
+    asked = None if goals is None else goals.groupBy("src").agg(F.count("*").alias("asked"))
+    front = state.select("src", "node", "g", *extra)
     while True:
-        found, front = None, state.filter("fresh").select("src", "node", "g", *extra)
+        found = None
         for _ in range(HOPS):
             step, weight = front.join(arcs, front.node == arcs.s), F.col("w")
             if penalised is not None:
                 step = step.join(penalised.select("src", "s", "t", F.lit(True).alias("hit")), ["src", "s", "t"], "left")
-                weight = F.when(F.col("hit"), F.col("w") * factor).otherwise(F.col("w"))
+                weight = F.when(F.col("hit"), F.round(F.col("w") * factor).cast("long")).otherwise(F.col("w"))
             step = step.select("src", F.col("t").alias("node"), (F.col("g") + weight).alias("g"), F.col("s").alias("parent"), *extra)
             if limit is not None:
                 step = step.filter(F.col("g") <= limit)
@@ -88,7 +94,12 @@ def distances(
         after = settle(best.select("src", "node", "b.g", "b.parent", (F.col("b.new") == 1).alias("fresh"), *extra), "distances")
         forget(state)
         state = after
-        if state.filter("fresh").isEmpty():
+        front = state.filter("fresh").select("src", "node", "g", *extra)
+        if goals is not None:
+            met = state.join(goals, ["src", "node"], "left_semi").groupBy("src").agg(F.count("*").alias("met"), F.max("g").alias("far"))
+            ends = met.join(asked, "src").filter("met = asked").select("src", "far")
+            front = front.join(ends, "src", "left").filter("far IS NULL OR g < far").drop("far")
+        if front.isEmpty():
             return state.select("src", "node", "g", "parent", *extra)
 
 
@@ -154,16 +165,61 @@ def walk_back(tree: DataFrame, requests: DataFrame) -> DataFrame:
         out = out.unionByName(now)
 
 
-def farthest_landmarks(arcs: DataFrame, first: int, n: int) -> list[int]:
-    """``n`` landmarks: each next one is the node farthest from all before it (least id on ties)."""
+def tight_parents(arcs: DataFrame, dist: DataFrame) -> DataFrame:
+    """``dist`` with parent put to the least node from which an arc ends a shortest path; weights must be positive.
+
+    A function of the distances alone, however they were found. ``dist``: src, node, g.
+    """
+    near = dist.select("src", "node", "g")
+    back = near.join(arcs.groupBy("s", "t").agg(F.min("w").alias("w")), F.col("node") == F.col("t")).select("src", "node", "g", "s", "w")
+    before = near.select("src", F.col("node").alias("s"), F.col("g").alias("before"))
+    tight = back.join(before, ["src", "s"]).filter("before + w = g").groupBy("src", "node").agg(F.min("s").alias("parent"))
+    return near.join(tight, ["src", "node"], "left")
+
+
+def far_landmarks(arcs: DataFrame, pool: list[int], n: int) -> list[int]:
+    """``n`` more landmarks beside ``pool``: each is the reached node farthest from all before it (least id on ties).
+
+    From one start these are the farthest candidates; from a pool, its blind spots.
+    """
     spark = arcs.sparkSession
-    chosen, near = [first], None
-    while len(chosen) < n:
-        d = distances(arcs, spark.createDataFrame([(chosen[-1],)], "src long")).select("node", F.col("g").alias("d"))
-        near = d if near is None else near.union(d)
-        near = settle(near.groupBy("node").agg(F.min("d").alias("d")), "landmarks")
+    latest, near, found = list(pool), None, []
+    while len(found) < n:
+        d = distances(arcs, spark.createDataFrame([(x,) for x in latest], "src long")).groupBy("node").agg(F.min("g").alias("d"))
+        after = settle((d if near is None else near.union(d)).groupBy("node").agg(F.min("d").alias("d")), "landmarks")
+        if near is not None:
+            forget(near)
+        near = after
         far = near.agg(F.min(F.struct((-F.col("d")).alias("d"), F.col("node"))).alias("m")).first().m
-        chosen.append(far.node)
+        found.append(far.node)
+        latest = [far.node]
+    return found
+
+
+def farthest_landmarks(arcs: DataFrame, first: int, n: int) -> list[int]:
+    """``n`` landmarks from ``first`` on: each next one is the node farthest from all before it (least id on ties)."""
+    return [first] + far_landmarks(arcs, [first], n - 1)
+
+
+def cover_landmarks(table: DataFrame, pairs: DataFrame, n: int) -> list[int]:
+    """``n`` of the landmarks of ``table`` that together bound ``pairs`` (request_id, src, dst) best.
+
+    Greedy cover: each step takes the one that raises the sum of the pairs' best bounds most (least id
+    on ties), which reaches 1 - 1/e of the best choice at least. The number of pairs is the caller's;
+    landmarks are few, so the steps look at pairs x landmarks rows.
+    """
+    at_s = table.select("landmark", F.col("node").alias("src"), F.col("d_to").alias("ts"), F.col("d_from").alias("fs"))
+    at_t = table.select("landmark", F.col("node").alias("dst"), F.col("d_to").alias("tt"), F.col("d_from").alias("ft"))
+    each = pairs.join(at_s, "src").join(at_t, ["landmark", "dst"])
+    bound = settle(each.select("request_id", "landmark", F.greatest(F.col("ts") - F.col("tt"), F.col("ft") - F.col("fs"), F.lit(0)).alias("bound")), "bounds")
+    chosen: list[int] = []
+    while len(chosen) < n:
+        have = bound.filter(F.col("landmark").isin(chosen)).groupBy("request_id").agg(F.max("bound").alias("have"))
+        gain = bound.filter(~F.col("landmark").isin(chosen)).join(have, "request_id", "left").groupBy("landmark").agg(F.sum(F.greatest(F.col("bound") - F.coalesce("have", F.lit(0)), F.lit(0))).alias("gain"))
+        best = gain.orderBy(F.col("gain").desc(), "landmark").first()
+        if best is None:
+            break
+        chosen.append(best.landmark)
     return chosen
 
 

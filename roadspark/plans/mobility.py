@@ -261,25 +261,39 @@ def multi_stop(t: Tables) -> DataFrame:
 def k_routes(t: Tables) -> DataFrame:
     """Up to two routes for each request near the depot, used streets five times as dear the second time."""
     r = requests(t).filter(c("request_id").isin(REQUESTS[:2]))
-    k = alternatives.k_routes(arcs(t).select("s", "t", "w"), r, 2, limit=200)
+    k = alternatives.k_routes(arcs(t).select("s", "t", "w"), r, 2)
     return k.groupBy("request_id", "route").agg(F.count("*").alias("legs"), F.sum("w").alias("cost"))
 
 
 # ---------------------------------------------------------------- I: noding
-@query("i01_shared_vertices", """
-SELECT w.way_id, count(*) FILTER (seq > 1 AND seq < n AND uses > 1) + 1 AS pieces FROM w_node w JOIN (SELECT node_id, count(DISTINCT way_id) AS uses FROM w_node WHERE way_id % 50 = 0 GROUP BY 1) u ON u.node_id = w.node_id
-JOIN (SELECT way_id, count(*) AS n FROM w_node GROUP BY 1) k ON k.way_id = w.way_id WHERE w.way_id % 50 = 0 GROUP BY w.way_id""")
-def shared_vertices(t: Tables) -> DataFrame:
-    """Noding (a) within the SQL twin's sample of ways; the whole table is ``i01_all_shared_vertices``."""
-    return noded(t.w_node.filter("way_id % 50 = 0"))
+_CUTS = "(SELECT way_id, seq, node_id, count(*) OVER (PARTITION BY way_id) AS n, min(way_id) OVER (PARTITION BY node_id) < max(way_id) OVER (PARTITION BY node_id) AS shared FROM w_node)"
+_PIECES = f"SELECT way_id, count(*) FILTER (seq > 1 AND seq < n AND shared) + 1 AS pieces FROM {_CUTS} GROUP BY way_id"
 
 
-@query("i01_all_shared_vertices")
-def all_shared_vertices(t: Tables) -> DataFrame:
-    """Noding (a) of every way, against every other way."""
+@query("i01_shared_vertices", _PIECES)
+def shared_vertices(t: Tables) -> DataFrame:
+    """Noding (a): the number of pieces of every way, cut against every other way."""
     return noded(t.w_node)
 
 
+query("i01_all_shared_vertices", _PIECES)(shared_vertices)
+
+
+@query("i01_c08_pieces", f"""
+SELECT way_id, CAST(piece AS BIGINT) AS piece, min(node_id) FILTER (seq = a) AS from_node, min(node_id) FILTER (seq = b) AS to_node, CAST(b - a + 1 AS BIGINT) AS n_points FROM (
+ SELECT p.way_id, p.piece, p.a, p.b, v.seq, v.node_id FROM (SELECT way_id, seq AS a, lead(seq) OVER w AS b, row_number() OVER w AS piece FROM {_CUTS} WHERE seq = 1 OR seq = n OR shared WINDOW w AS (PARTITION BY way_id ORDER BY seq)) p
+ JOIN w_node v ON v.way_id = p.way_id AND v.seq IN (p.a, p.b) WHERE p.b IS NOT NULL) q GROUP BY way_id, piece, a, b""")
+def pieces(t: Tables) -> DataFrame:
+    """Noding (a) as rows: the pieces of every way between its cuts. A piece carries its way (C8), so nothing is matched back by position."""
+    w = t.w_node
+    uses = w.groupBy("node_id").agg((F.min("way_id") < F.max("way_id")).alias("shared"))
+    ends = w.groupBy("way_id").agg(F.max("seq").alias("n"))
+    cuts = w.join(uses, "node_id").join(ends, "way_id").filter("seq = 1 OR seq = n OR shared")
+    along = Window.partitionBy("way_id").orderBy("seq")
+    cuts = cuts.select("way_id", F.row_number().over(along).cast("long").alias("piece"), c("node_id").alias("from_node"), F.lead("node_id").over(along).alias("to_node"), (F.lead("seq").over(along) - c("seq") + 1).alias("n_points"))
+    return cuts.filter("n_points IS NOT NULL")
+
+
 def noded(w: DataFrame) -> DataFrame:
     """Ways are cut at inner vertices that other ways use too."""
     # two distinct ways at a node show in the least and the greatest; both are reduced before the shuffle
@@ -312,6 +326,21 @@ def crossings(t: Tables) -> DataFrame:
     return j.filter("t > 1e-4 AND t < 0.9999 AND u > 1e-4 AND u < 0.9999").select("e1", "e2", F.round("t", 6).alias("t"), F.round("u", 6).alias("u"))
 
 
+@query("i01_crossing_pieces", f"""
+WITH x AS (SELECT e1, e2, t, u FROM (SELECT a.edge_id AS e1, b.edge_id AS e2, ((b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / det AS t, ((b.ax - a.ax) * (a.b_y - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / det AS u
+ FROM {_DIAG} a JOIN {_DIAG} b ON a.z = b.z AND a.edge_id < b.edge_id AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND greatest(a.ax, a.bx) >= least(b.ax, b.bx) AND least(a.ay, a.b_y) <= greatest(b.ay, b.b_y) AND greatest(a.ay, a.b_y) >= least(b.ay, b.b_y),
+ LATERAL (SELECT (a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax) AS det) d WHERE abs(det) > 1e-9) q WHERE t > 1e-4 AND t < 0.9999e0 AND u > 1e-4 AND u < 0.9999e0),
+ k AS (SELECT e1 AS edge_id, round(t, 6) AS share FROM x UNION SELECT e2, round(u, 6) FROM x UNION SELECT edge_id, 0e0 FROM g_edge UNION SELECT edge_id, 1e0 FROM g_edge)
+SELECT edge_id, share AS from_share, upto AS to_share FROM (SELECT edge_id, share, lead(share) OVER (PARTITION BY edge_id ORDER BY share) AS upto FROM k) p WHERE upto IS NOT NULL""")
+def crossing_pieces(t: Tables) -> DataFrame:
+    """Noding (b) as rows: the pieces of every street between its crossings, as shares along it; the street's id stays on them."""
+    x = crossings(t)
+    cuts = x.select(c("e1").alias("edge_id"), c("t").alias("share")).union(x.select("e2", "u"))
+    cuts = cuts.union(t.g_edge.select("edge_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))))).distinct()
+    upto = F.lead("share").over(Window.partitionBy("edge_id").orderBy("share"))
+    return cuts.select("edge_id", c("share").alias("from_share"), upto.alias("to_share")).filter("to_share IS NOT NULL")
+
+
 # ----------------------------------------------------------------- A: elements
 def elements(t: Tables) -> DataFrame:
     """The network as map elements, as they come from an element document."""

@@ -128,19 +128,24 @@ def restriction_triples(relations: DataFrame) -> DataFrame:
     return heads.join(role("from", "W", "from_edge"), "rel_id").join(role("via", "N", "via_node"), "rel_id").join(role("to", "W", "to_edge"), "rel_id")
 
 
+def allowed(t: Tables) -> DataFrame:
+    """Manoeuvres that no prohibition forbids and no mandatory turn overrides."""
+    r = restriction_triples(restriction_members(t))
+    no = r.filter(c("restriction").startswith("no_")).select(c("from_edge").alias("f_edge"), c("via_node").alias("junction"), c("to_edge").alias("t_edge"))
+    only = r.filter(c("restriction").startswith("only_")).select(c("from_edge").alias("f_edge"), c("via_node").alias("junction"), c("to_edge").alias("must"))
+    m = maneuvers(t).join(no, ["f_edge", "junction", "t_edge"], "left_anti")
+    # an anti join on the streets too, so that manoeuvres are not joined a second time
+    must = m.select("f_edge", "junction", "t_edge").distinct().join(only, ["f_edge", "junction"]).filter("t_edge <> must").select("f_edge", "junction", "t_edge")
+    return m.join(must, ["f_edge", "junction", "t_edge"], "left_anti")
+
+
 @query("i08_c05_c07_restricted", f"""
 WITH {_SEG}, m AS (SELECT f_seg, t_seg, f_edge, t_edge, junction FROM man)
 SELECT f_seg, t_seg FROM m
 WHERE NOT EXISTS (SELECT 1 FROM g_restriction r WHERE r.restriction LIKE 'no_%' AND r.from_edge = m.f_edge AND r.via_node = m.junction AND r.to_edge = m.t_edge)
   AND NOT EXISTS (SELECT 1 FROM g_restriction r WHERE r.restriction LIKE 'only_%' AND r.from_edge = m.f_edge AND r.via_node = m.junction AND r.to_edge <> m.t_edge)""")
 def restricted(t: Tables) -> DataFrame:
-    """Manoeuvres that no prohibition forbids and no mandatory turn overrides."""
-    r = restriction_triples(restriction_members(t))
-    no = r.filter(c("restriction").startswith("no_")).select(c("from_edge").alias("f_edge"), c("via_node").alias("junction"), c("to_edge").alias("t_edge"))
-    only = r.filter(c("restriction").startswith("only_")).select(c("from_edge").alias("f_edge"), c("via_node").alias("junction"), c("to_edge").alias("must"))
-    m = maneuvers(t).join(no, ["f_edge", "junction", "t_edge"], "left_anti")
-    broken = m.join(only, ["f_edge", "junction"]).filter("t_edge <> must").select("f_seg", "t_seg")
-    return m.join(broken, ["f_seg", "t_seg"], "left_anti").select("f_seg", "t_seg")
+    return allowed(t).select("f_seg", "t_seg")
 
 
 @query("i02_c09_topology", """

@@ -96,3 +96,70 @@ def test_k_routes_differ(spark):
         shapes.setdefault(x.route, set()).add((x.s, x.t))
     assert shapes[0] == {(0, 1), (1, 3)} and shapes[1] == {(0, 2), (2, 3)}
     assert len({frozenset(s) for s in shapes.values()}) == len(shapes)
+
+
+def diverse(arcs, src, dst, k, factor, apart, tries):
+    """Brute force over all simple paths; weights chosen without ties."""
+    cost = {(s, t): w for s, t, w in arcs}
+
+    def paths(at, seen):
+        if at == dst:
+            yield seen
+        for s, t in cost:
+            if s == at and t not in seen:
+                yield from paths(t, [*seen, t])
+
+    every = [list(zip(p, p[1:])) for p in paths(src, [src])]
+    used, kept = set(), []
+    for _ in range(tries):
+        route = min(every, key=lambda p: sum(cost[e] * (factor if e in used else 1) for e in p))
+        if not kept or 1 - len(set(route) & set(kept[0])) / max(len(route), len(kept[0])) >= apart and set(route) not in map(set, kept):
+            kept.append(route)
+        used |= set(route) | {(t, s) for s, t in route}
+        if len(kept) == k:
+            break
+    return [set(p) for p in kept]
+
+
+def test_diverse_routes_against_all_paths(spark):
+    arcs = [(0, 1, 101), (1, 0, 101), (1, 2, 103), (2, 1, 103), (0, 3, 127), (3, 4, 131), (4, 2, 137), (1, 4, 149), (3, 1, 211), (0, 4, 307)]
+    r = spark.createDataFrame([(7, 0, 2), (8, 3, 2), (9, 2, 3)], "request_id long, src long, dst long")
+    rows = alternatives.k_routes(spark.createDataFrame(arcs, "s long, t long, w long"), r, 3, factor=1.5, diversity=0.3, tries=30, both_ways=True).collect()
+    for request, src, dst in [(7, 0, 2), (8, 3, 2), (9, 2, 3)]:
+        got = {}
+        for x in rows:
+            if x.request_id == request:
+                got.setdefault(x.route, set()).add((x.s, x.t))
+        assert [got[k] for k in sorted(got)] == diverse(arcs, src, dst, 3, 1.5, 0.3, 30)
+
+
+def test_searches_end_at_their_targets(spark):
+    arcs = random_arcs(5, 20, 60)
+    a = spark.createDataFrame(arcs, "s long, t long, w long")
+    pairs = [(0, 3), (0, 7), (4, 4), (9, 99)]
+    got = graph.distances(a, spark.createDataFrame([(0,), (4,), (9,)], "src long"), targets=spark.createDataFrame(pairs, "src long, dst long")).collect()
+    for src, dst in pairs:
+        assert {r.g for r in got if (r.src, r.node) == (src, dst)} == {g for n, g in shortest(arcs, src).items() if n == dst}
+
+
+def test_landmark_choice_against_brute_force(spark):
+    arcs = random_arcs(6, 9, 40)
+    a = spark.createDataFrame(arcs, "s long, t long, w long")
+    far = {n: shortest(arcs, n) for n in range(9)}
+    pool = [0, 3]
+    near = {n: min(far[p].get(n, 1 << 60) for p in pool) for n in range(9)}
+    first = min((n for n in near if near[n] < 1 << 60), key=lambda n: (-near[n], n))
+    assert graph.far_landmarks(a, pool, 1) == [first]
+    table = graph.landmark_table(a, [0, 3, 5])
+    pairs = [(10 * x + y, x, y) for x in range(9) for y in range(9)]
+    chosen = graph.cover_landmarks(table, spark.createDataFrame(pairs, "request_id long, src long, dst long"), 2)
+    known = {(r.landmark, r.node): r for r in table.collect()}
+
+    def bound(m, x, y):
+        p, q = known.get((m, x)), known.get((m, y))
+        return max(p.d_to - q.d_to, q.d_from - p.d_from, 0) if p and q else 0
+
+    total = lambda ms: sum(max(bound(m, x, y) for m in ms) for _, x, y in pairs)
+    best = min((0, 3, 5), key=lambda m: (-total([m]), m))
+    rest = min((m for m in (0, 3, 5) if m != best), key=lambda m: (-total([best, m]), m))
+    assert chosen == [best, rest]

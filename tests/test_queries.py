@@ -8,7 +8,7 @@ import pytest
 from roadspark.plans import ORACLES, QUERIES
 
 #: Loops of many jobs; one of each kind is enough here, the others run at the larger size in the driver's check.
-SLOW = {"i12_depot_times", "i04_i06_main_component", "j01_j03_routes", "j06_multi_stop", "i16_i17_landmark_bounds", "d08_d09_component_sizes", "j02_path_costs", "i05_weak_components"}
+SLOW = {"i12_depot_times", "i04_i06_main_component", "j01_j03_routes", "j06_multi_stop", "i16_i17_landmark_bounds", "d08_d09_component_sizes", "j02_path_costs", "i05_weak_components", "j01_j03_turn_routes"}
 
 
 @pytest.fixture(scope="module")
