@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.operators.scratch import forget, settle
+from roadspark.operators.strong import strong_components  # noqa: F401
 
 #: Relaxation steps of one round.
 HOPS = 4
@@ -108,36 +109,6 @@ def reachable(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     return distances(arcs.select("s", "t", F.lit(0).cast("long").alias("w")), sources).select("src", "node")
 
 
-def strong_components(arcs: DataFrame) -> DataFrame:
-    """(node, component) of arcs (s, t); component is the least node of its strong component.
-
-    Rounds of: cut off nodes without arcs in or out; in every weak piece take the least node as
-    pivot; the nodes reached from it both ways are its component; go on with the rest.
-    """
-    left = settle(arcs.filter("s <> t").select("s", "t").distinct(), "arcs")
-    nodes = settle(arcs.select(F.col("s").alias("node")).union(arcs.select("t")).distinct(), "nodes")
-    done = None
-    while not left.isEmpty():
-        ends = left.select(F.col("s").alias("node")).distinct().join(left.select(F.col("t").alias("node")).distinct(), "node")
-        inner = settle(left.join(ends.select(F.col("node").alias("s")), "s", "left_semi").join(ends.select(F.col("node").alias("t")), "t", "left_semi").select("s", "t"), "arcs")
-        trimmed = inner.count() < left.count()
-        left = inner
-        if trimmed:
-            continue
-        pivots = weak_components(left).select(F.col("component").alias("src")).distinct()
-        there = reachable(left, pivots)
-        back = reachable(left.select(F.col("t").alias("s"), F.col("s").alias("t")), pivots)
-        found = settle(there.join(back, ["src", "node"]).select("node", F.col("src").alias("component")), "strong")
-        done = found if done is None else done.union(found)
-        gone = found.select(F.col("node").alias("s"))
-        left = settle(left.join(gone, "s", "left_anti").join(gone.withColumnRenamed("s", "t"), "t", "left_anti").select("s", "t"), "arcs")
-    if done is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    least = done.groupBy("component").agg(F.min("node").alias("least"))
-    named = done.join(least, "component").select("node", F.col("least").alias("component"))
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
 def largest_component(members: DataFrame) -> DataFrame:
     """The nodes of the largest component, the least one on ties; from (node, component)."""
     top = members.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1)
