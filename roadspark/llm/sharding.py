@@ -38,6 +38,11 @@ SHARDS, RECORD_BYTES, HASH_BITS, MOST_CELLS = 40, 16, 60, 12_288
 FIRST_BITS = 12
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table of at most MOST_CELLS + 2 ** FIRST_BITS rows, settled as one file."""
+    return materialize(df.repartition(1), name)
+
+
 def hash60(text: Column) -> Column:
     """60 bits of md5, equal in every engine that has it."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
@@ -140,10 +145,10 @@ def cut_hashes(groups: DataFrame, shards: int, total: int, most_cells: int = MOS
         return total, []
     shift = HASH_BITS - first_bits
     first = groups.groupBy(F.shiftright("hash", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    cells = materialize(_placed(first.select(F.lit(0).cast("long").alias("from"), F.shiftleft("cell", shift).alias("low"), F.shiftleft(F.col("cell") + 1, shift).alias("high"), "size", "n")), "cells")
+    cells = _small(_placed(first.select(F.lit(0).cast("long").alias("from"), F.shiftleft("cell", shift).alias("low"), F.shiftleft(F.col("cell") + 1, shift).alias("high"), "size", "n")), "cells")
     widest = groups.agg(F.max("size")).first()[0]
     while True:
-        row = materialize(_bordered(cells), "borders")
+        row = _small(_bordered(cells), "borders")
         least, most = row.selectExpr(_least_capacity(shards, total, True), _least_capacity(shards, total, False)).first()
         ends = row.selectExpr(
             f"{_fill(f'{least}L', shards, False)} AS fill_low", f"{_fill(f'{most}L', shards, True)} AS fill_high",
@@ -156,7 +161,7 @@ def cut_hashes(groups: DataFrame, shards: int, total: int, most_cells: int = MOS
         asked += [(total * k // shards - widest, total * k // shards + widest) for k in range(1, shards)] + [(x + most, x + most) for x in final.cuts[:-1]]
         spans = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in sorted({(max(a, 0), min(b, total)) for a, b in asked if a < total and b > 0})])
         needed = F.exists(spans, lambda s: (s["a"] < F.col("ends")) & (s["b"] > F.col("start")))
-        marked = materialize(cells.withColumn("needed", needed), "cells")
+        marked = _small(cells.withColumn("needed", needed), "cells")
         opened = marked.filter("needed AND n > 1")
         count = opened.count()
         if not count:
@@ -168,7 +173,7 @@ def cut_hashes(groups: DataFrame, shards: int, total: int, most_cells: int = MOS
         runs = marked.withColumn("run", F.sum(F.when(F.col("needed") | F.lag("needed", 1, True).over(order), 1).otherwise(0)).over(order))
         closed = runs.filter("NOT needed").groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("start").alias("start"), F.max("ends").alias("ends"), F.sum("n").alias("n")).drop("run")
         parts = max(2, most_cells // count)
-        after = materialize(_split(groups, opened, parts).union(closed).union(marked.filter("needed AND n = 1").select("low", "high", "start", "ends", "n")), "cells")
+        after = _small(_split(groups, opened, parts).union(closed).union(marked.filter("needed AND n = 1").select("low", "high", "start", "ends", "n")), "cells")
         discard(cells, marked, row)
         cells = after
 
