@@ -1,21 +1,18 @@
 """Graph algorithms over edge tables: components, distances, paths, landmarks.
 
-All of them are rounds of joins and grouped minima. Every round is settled as a table, so
-plans stay short and a lost executor costs one round. Several relaxation steps go into one
-round, because on road networks the number of rounds, not their size, sets the time.
+All of them are rounds of joins and grouped minima, or, for distances, of cells of the graph. Every round is settled
+as a table, so plans stay short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.operators.scratch import forget, settle
+from roadspark.operators.search import Net, prepare, search
 from roadspark.operators.strong import strong_components  # noqa: F401
 
-#: Relaxation steps of one round.
-HOPS = 4
-
 
 def _contract(edges: DataFrame, larger: bool) -> DataFrame:
     """Points neighbours at the least node around each centre u.
@@ -52,56 +49,17 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def distances(
-    arcs: DataFrame, sources: DataFrame, limit: int | None = None, keep: Column | None = None, extra: list[str] | None = None, penalised: DataFrame | None = None, factor: float = 1,
-    targets: DataFrame | None = None,
-) -> DataFrame:
-    """Least whole-number distances (src, node, g, parent) from each source over arcs (s, t, w).
+def distances(arcs: DataFrame | Net, sources: DataFrame, limit: int | None = None, penalised: DataFrame | None = None, factor: float = 1, targets: DataFrame | None = None) -> DataFrame:
+    """Least whole-number distances (src, node, g, parent) from each source (src, and node if it is not the source's id) over arcs (s, t, w), or over a prepared graph.
 
-    ``sources`` has src and, if ``extra`` names columns for ``keep``, those. Distances beyond
-    ``limit`` and rows that fail ``keep`` (a condition on src, node, g and the extra columns)
-    are not followed. With ``targets`` (src, dst) a source's search ends where nothing cheaper than its
-    dearest target is left to follow (weights not negative); nodes beyond it may lack rows or have too
-    high a g, targets and the nodes on their paths do not. All sources share the rounds. Ties keep the parent that was found first,
-    and of several found together the least.
+    Weights are not negative. See ``search`` for the limit, the targets (src, dst) after which a source's search ends, and the
+    arcs (src, s, t) that cost a source ``factor`` times as much; nodes beyond the targets may lack rows or have too
+    high a g, targets and the nodes on their paths do not. All sources share the rounds.
     """
-    extra = extra or []
-    arcs = arcs.groupBy("s", "t").agg(F.min("w").alias("w"))
+    net = arcs if isinstance(arcs, Net) else prepare(arcs)
     start = F.col("node" if "node" in sources.columns else "src")
-    zero = sources.select("src", start.alias("node"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh"), *extra).dropDuplicates(["src"])
-    state, arcs = settle(zero, "distances"), settle(arcs, "arcs")
-    by = ["src", "node", *extra]
-    goals = None if targets is None else settle(targets.select("src", F.col("dst").alias("node")).distinct(), "targets")
-    asked = None if goals is None else goals.groupBy("src").agg(F.count("*").alias("asked"))
-    front = state.select("src", "node", "g", *extra)
-    while True:
-        found = None
-        for _ in range(HOPS):
-            step, weight = front.join(arcs, front.node == arcs.s), F.col("w")
-            if penalised is not None:
-                step = step.join(penalised.select("src", "s", "t", F.lit(True).alias("hit")), ["src", "s", "t"], "left")
-                weight = F.when(F.col("hit"), F.round(F.col("w") * factor).cast("long")).otherwise(F.col("w"))
-            step = step.select("src", F.col("t").alias("node"), (F.col("g") + weight).alias("g"), F.col("s").alias("parent"), *extra)
-            if limit is not None:
-                step = step.filter(F.col("g") <= limit)
-            if keep is not None:
-                step = step.filter(keep)
-            step = step.groupBy(*by).agg(F.min(F.struct("g", "parent")).alias("b")).select("src", "node", "b.g", "b.parent", *extra)
-            found = step if found is None else found.union(step)
-            front = step.select("src", "node", "g", *extra)
-        old = state.select("src", "node", "g", "parent", F.lit(0).alias("new"), *extra)
-        both = old.union(found.select("src", "node", "g", "parent", F.lit(1).alias("new"), *extra))
-        best = both.groupBy(*by).agg(F.min(F.struct("g", "new", "parent")).alias("b"))
-        after = settle(best.select("src", "node", "b.g", "b.parent", (F.col("b.new") == 1).alias("fresh"), *extra), "distances")
-        forget(state)
-        state = after
-        front = state.filter("fresh").select("src", "node", "g", *extra)
-        if goals is not None:
-            met = state.join(goals, ["src", "node"], "left_semi").groupBy("src").agg(F.count("*").alias("met"), F.max("g").alias("far"))
-            ends = met.join(asked, "src").filter("met = asked").select("src", "far")
-            front = front.join(ends, "src", "left").filter("far IS NULL OR g < far").drop("far")
-        if front.isEmpty():
-            return state.select("src", "node", "g", "parent", *extra)
+    starts = sources.select("src", start.alias("node")).filter("src IS NOT NULL AND node IS NOT NULL").dropDuplicates(["src"])
+    return search(net, starts, limit=limit, targets=targets, penalised=penalised, factor=factor)
 
 
 def reachable(arcs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -124,16 +82,45 @@ def walk_back(tree: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, hop, node, g): the nodes of each request's path, hop 0 at the target.
 
     ``tree`` is a result of ``distances``; ``requests`` has request_id, src, dst. Requests without a path give no rows.
+    Pointer jumping: tables of the ancestors 1, 2, 4, ... steps up, then each known place of a path gives the one that
+    far behind it, the longest jumps first. So a path of n nodes takes 2 log2(n) rounds.
     """
-    tree = tree.select("src", "node", "g", "parent")
-    now = settle(requests.select("request_id", "src", F.col("dst").alias("node")).join(tree, ["src", "node"]).withColumn("hop", F.lit(0)), "walk")
-    out = now
+    asked = settle(requests.select("request_id", "src", F.col("dst").alias("node")).filter("src IS NOT NULL AND node IS NOT NULL"), "requests")
+    tree = settle(tree.select("src", "node", "g", "parent").join(asked.select("src").distinct(), "src", "left_semi"), "tree")
+    jumps = [tree.filter("parent IS NOT NULL").select("src", "node", F.col("parent").alias("up"))]
+    paths = settle(asked.join(tree.select("src", "node"), ["src", "node"]).select("request_id", "src", "node", F.lit(0).alias("hop")), "walk")
     while True:
-        step = now.filter("parent IS NOT NULL").select("request_id", "src", F.col("parent").alias("node"), (F.col("hop") + 1).alias("hop"))
-        now = settle(step.join(tree, ["src", "node"]).select("request_id", "src", "node", "g", "parent", "hop").select(*out.columns), "walk")
-        if now.isEmpty():
-            return out.select("request_id", "hop", "node", "g")
-        out = out.unionByName(now)
+        ahead = jumps[-1].select("src", F.col("node").alias("up"), F.col("up").alias("top"))
+        twice = settle(jumps[-1].join(ahead, ["src", "up"]).select("src", "node", F.col("top").alias("up")), "jumps")
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+    for k in range(len(jumps) - 1, -1, -1):
+        far = paths.join(jumps[k], ["src", "node"]).select("request_id", "src", F.col("up").alias("node"), (F.col("hop") + (1 << k)).alias("hop"))
+        paths = settle(paths.union(far), "walk")
+    forget(*jumps[1:])
+    return paths.join(tree.select("src", "node", "g"), ["src", "node"]).select("request_id", "hop", "node", "g")
+
+
+def routes(net: Net, requests: DataFrame, seen: list | None = None) -> DataFrame:
+    """``requests`` (request_id, src, dst) with cost, null where there is no way; ids are distinct.
+
+    Each request is a search of its own, cut by the bounds of the landmarks that ``net`` was prepared with: it starts with the
+    cheapest way over a landmark as its answer, and only labels that can still better it go on. ``seen`` as in ``search``.
+    """
+    asked = requests.filter("request_id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")
+    starts = asked.select(F.col("request_id").alias("src"), F.col("src").alias("node"))
+    goals = asked.select(F.col("request_id").alias("src"), "dst")
+    got = search(net, starts, goals=goals, seen=seen).select(F.col("src").alias("request_id"), F.col("node").alias("dst"), F.col("g").alias("cost"))
+    return requests.join(got, ["request_id", "dst"], "left")
+
+
+def corner_landmarks(nodes: DataFrame) -> list[int]:
+    """The nodes (node_id, lon, lat) farthest out in the eight directions: landmarks without a search."""
+    x, y = F.col("lon"), F.col("lat")
+    ways = [x, -x, y, -y, x + y, x - y, -x + y, -x - y]
+    picked = nodes.agg(*[F.min(F.struct(-w, F.col("node_id").alias("id"))).alias(f"w{k}") for k, w in enumerate(ways)]).first()
+    return sorted({w["id"] for w in picked if w is not None})
 
 
 def tight_parents(arcs: DataFrame, dist: DataFrame) -> DataFrame:
@@ -197,6 +184,7 @@ def cover_landmarks(table: DataFrame, pairs: DataFrame, n: int) -> list[int]:
 def landmark_table(arcs: DataFrame, landmarks: list[int], cap: int = 65534) -> DataFrame:
     """(landmark, node, d_from, d_to), each at most ``cap``."""
     sources = arcs.sparkSession.createDataFrame([(x,) for x in landmarks], "src long")
+    arcs = settle(arcs.select("s", "t", "w"), "arcs")
     away = distances(arcs, sources).select("src", "node", F.least("g", F.lit(cap)).alias("d_from"))
     to = distances(arcs.select(F.col("t").alias("s"), F.col("s").alias("t"), "w"), sources).select("src", "node", F.least("g", F.lit(cap)).alias("d_to"))
     return away.join(to, ["src", "node"]).withColumnRenamed("src", "landmark")

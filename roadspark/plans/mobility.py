@@ -253,7 +253,7 @@ def multi_stop(t: Tables) -> DataFrame:
     spark = t.part.sparkSession
     stops = spark.createDataFrame([(0, 0, 10), (1, 10, 30), (2, 30, -55)], "leg long, a long, b long")
     legs = stops.join(F.broadcast(root(t)), F.lit(True)).select("leg", (c("src") + c("a")).alias("src"), (c("src") + c("b")).alias("dst"))
-    d = graph.distances(arcs(t).select("s", "t", "w"), legs.select("src").distinct()).select("src", c("node").alias("dst"), c("g").alias("cost"))
+    d = graph.distances(arcs(t).select("s", "t", "w"), legs.select("src").distinct(), targets=legs.select("src", "dst")).select("src", c("node").alias("dst"), c("g").alias("cost"))
     return legs.join(d, ["src", "dst"], "left").select("leg", "src", "dst", "cost", F.sum("cost").over(Window.orderBy("leg")).alias("arrival"))
 
 

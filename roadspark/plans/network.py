@@ -202,7 +202,7 @@ FROM q LEFT JOIN d ON d.node = q.dst LEFT JOIN g_node n ON n.node_id = q.dst""")
 def routes(t: Tables) -> DataFrame:
     """All requests in one batch: distances once for each distinct start."""
     q = requests(t)
-    d = graph.distances(arcs(t).select("s", "t", "w"), q.select("src").distinct()).select("src", c("node").alias("dst"), "g")
+    d = graph.distances(arcs(t).select("s", "t", "w"), q.select("src").distinct(), targets=q.join(t.g_node.select(c("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")).select("src", c("node").alias("dst"), "g")
     known = t.g_node.select(c("node_id").alias("dst"), F.lit(True).alias("known"))
     q = q.join(d, ["src", "dst"], "left").join(known, "dst", "left")
     same = c("src") == c("dst")
@@ -216,7 +216,7 @@ SELECT request_id, d.dist AS cost, 0::BIGINT AS first_eta, true AS monotone FROM
 def paths(t: Tables) -> DataFrame:
     """Paths by walking parents; the query reports each path's cost, first ETA, and that ETAs rise."""
     q = requests(t)
-    tree = graph.distances(arcs(t).select("s", "t", "w"), q.select("src").distinct())
+    tree = graph.distances(arcs(t).select("s", "t", "w"), q.select("src").distinct(), targets=q.join(t.g_node.select(c("node_id").alias("dst")), "dst", "left_semi").select("src", "dst"))
     walk = graph.walk_back(tree, q)
     etas = F.array_sort(F.collect_list(F.struct("g", "node")))
     p = walk.groupBy("request_id").agg(F.max("g").alias("cost"), F.min("g").alias("first_eta"), etas.alias("p"), F.max_by("g", "hop").alias("h"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from roadspark.operators import alternatives, graph, traffic
+from roadspark.operators import alternatives, graph, search, traffic
 
 
 def shortest(arcs, src):
@@ -163,3 +163,66 @@ def test_landmark_choice_against_brute_force(spark):
     best = min((0, 3, 5), key=lambda m: (-total([m]), m))
     rest = min((m for m in (0, 3, 5) if m != best), key=lambda m: (-total([best, m]), m))
     assert chosen == [best, rest]
+
+
+def plain_strong(arcs):
+    nodes, ahead = sorted({x for a in arcs for x in a}), {}
+    for s, t in arcs:
+        ahead.setdefault(s, set()).add(t)
+    reach = {}
+    for n in nodes:
+        reach[n], todo = {n}, [n]
+        while todo:
+            for y in ahead.get(todo.pop(), ()):
+                if y not in reach[n]:
+                    reach[n].add(y)
+                    todo.append(y)
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+
+
+@pytest.mark.parametrize("share", [1.2, 1.8])
+def test_strong_components_of_random_arcs(spark, share):
+    rng = random.Random(share)
+    arcs = [(rng.randrange(30), rng.randrange(30)) for _ in range(int(30 * share))]
+    arcs += [(100 + k, 100 + (k + 1) % 9) for k in range(9)] + [(200 + k, 201 + k) for k in range(9)] + [(3, 200)]  # a ring and a chain
+    got = graph.strong_components(spark.createDataFrame(arcs, "s long, t long").coalesce(2)).collect()
+    assert {r.node: r.component for r in got} == plain_strong(arcs)
+    assert graph.strong_components(spark.createDataFrame([], "s long, t long")).collect() == []
+
+
+def test_distances_across_cells(spark):
+    arcs = random_arcs(11, 40, 120)
+    net = search.prepare(spark.createDataFrame(arcs, "s long, t long, w long"), cell_nodes=6)
+    starts = spark.createDataFrame([(0, 0), (5, 5), (77, 77)], "src long, node long")
+    want = {(s, n): g for s in (0, 5, 77) for n, g in shortest(arcs, s).items()}
+    tree = search.search(net, starts).collect()
+    assert {(r.src, r.node): r.g for r in tree} == want
+    cost = {}
+    for s, t, w in arcs:
+        cost[s, t] = min(w, cost.get((s, t), 99))
+    assert all(r.parent is None and r.g == 0 or want[r.src, r.parent] + cost[r.parent, r.node] == r.g for r in tree)
+    assert {(r.src, r.node): r.g for r in search.search(net, starts, limit=7).collect()} == {k: g for k, g in want.items() if g <= 7}
+
+
+def test_bounds_spare_most_of_a_search(spark):
+    side = 24
+    arcs = [(y * side + x, v * side + u, 10 + (x * 7 + y * 3) % 5) for y in range(side) for x in range(side) for u, v in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if 0 <= u < side and 0 <= v < side]
+    a = spark.createDataFrame(arcs, "s long, t long, w long")
+    marks = graph.landmark_table(a, [0, side - 1, side * (side - 1), side * side - 1])
+    asked = [(k, k * 25, (k * 25 + 5 * side + 3) % (side * side)) for k in range(12)] + [(90, 1, 9999)]
+    q = spark.createDataFrame(asked, "request_id long, src long, dst long")
+    rows, counts = {}, {}
+    for name, net in (("bounds", search.prepare(a, marks, cell_nodes=100)), ("none", search.prepare(a, cell_nodes=100))):
+        seen = []
+        rows[name] = {r.request_id: r.cost for r in graph.routes(net, q, seen).collect()}
+        counts[name] = sum(seen)
+    assert rows["bounds"] == rows["none"] and rows["bounds"][90] is None
+    assert rows["bounds"] == {k: shortest(arcs, s).get(d) for k, s, d in asked}
+    assert counts["bounds"] * 3 < counts["none"]
+
+
+def test_long_paths_take_few_rounds(spark):
+    n = 300
+    tree = spark.createDataFrame([(0, k, k, k - 1 if k else None) for k in range(n)], "src long, node long, g long, parent long")
+    got = graph.walk_back(tree, spark.createDataFrame([(1, 0, n - 1), (2, 0, 7), (3, 0, 999), (4, None, 3)], "request_id long, src long, dst long")).collect()
+    assert sorted((r.request_id, r.hop, r.node, r.g) for r in got) == [(1, h, n - 1 - h, n - 1 - h) for h in range(n)] + [(2, h, 7 - h, 7 - h) for h in range(8)]
