@@ -1,15 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block element becomes one line; menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments give no lines, so that they do not
-part the text around them. A line's measure is the number of its characters outside links;
-lines outside the page's article (where it marks one) measure 0. The measures are summed
-over sliding windows of ``WINDOW`` lines. A surge point is where the sum over a line and the
-ones after it leaves 0; a dive point is where the sum over a line and the ones before it falls
-back to 0; the lines from a surge to its dive are kept whole. So a link line near text
-stays, in an article too, and a longer run of links alone (a list of other pages) goes.
-A page that marks no article keeps every stretch, whatever its length, from its first line
-with text outside links to its last one.
+Markup is stripped so that every block element becomes one line. What the format itself marks as no
+text of the page (scripts, styles, forms, ``nav``, ``footer``, ``aside``, ARIA roles such as banner, hidden elements, and, where a page
+marks its article, all outside it) gives no lines. An element whose class or id names an advert, a comment, a
+menu and so on makes a region of its own, under suspicion, but is not dropped for its name.
+
+A line's measure is the number of its characters outside links (in a marked article, with links, which are part of
+it). Measures are summed over sliding windows of ``WINDOW`` lines of a region. A surge point is where the sum over a line
+and the ones after it rises above the region's threshold; a dive point is where the sum over a line and the ones before it falls
+back to it; the lines from a surge to its dive are kept whole.
+
+The threshold of what is under no suspicion is 0, so in a marked article every line stays, and elsewhere every
+stretch from its first line with text outside links to its last one, whatever its length; a longer run of links alone goes, whole. The threshold of a region
+under suspicion is fitted to the page: ``DOUBT`` times the window sum in which the middle character of the text under no suspicion lies
+(``LEAST`` characters at least). So an advert or a comment goes, and long text stays whatever its section is called.
 
 A null or empty page gives an empty text; broken and unclosed markup is read as far as it goes.
 """
@@ -43,11 +47,17 @@ SPACED = frozenset(["br", "td", "th", "img", "input"])
 CONTAINERS = BLOCKS - frozenset(["p", "li", "dt", "dd", "tr", "hr", "h1", "h2", "h3", "h4", "h5", "h6"]) | frozenset(["a", "button", "select", "svg", "label", "span"])
 LEFT_OUT = frozenset(["head", "nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "search", "object", "canvas", "audio", "video"])
 LEFT_OUT_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"])
-LEFT_OUT_NAMES = frozenset(
-    ["ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "adbox", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies"]
-    + ["copyright", "disqus", "discussion", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup"]
-    + ["promo", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"]
-)
+# Names of parts that are seldom text of the page, by how much text must speak for them, and words that go with such names.
+NAMED = {
+    2.0: frozenset(
+        ["ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "adbox", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies"]
+        + ["copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "overlay", "pagination", "popup", "promo", "promotion"]
+        + ["sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"]
+    ),
+    0.25: frozenset(["discussion", "notice", "recommended", "related", "replies", "respond", "share", "sharing", "skip"]),
+}
+WITH_NAMES = frozenset(["area", "bar", "block", "bottom", "box", "buttons", "container", "icons", "inner", "items", "left", "links", "list", "main", "outer", "posts", "right", "section", "site", "slot", "thread", "top", "unit", "wrapper"])
+LEAST = 200
 
 ABOUT_PAGE = frozenset(["with", "has", "no", "without", "is", "content", "main", "article", "body", "page"])
 
@@ -60,51 +70,82 @@ SPACE = re.compile(r"\s+")
 
 
 def is_left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element opens a part of the page that is not the article."""
+    """Whether the format marks an element as no text of the page."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     if HIDDEN.search(attributes):
         return True
-    if (m := ROLE.search(attributes)) and m[1].lower() in LEFT_OUT_ROLES:
-        return True
+    m = ROLE.search(attributes)
+    return bool(m and m[1].lower() in LEFT_OUT_ROLES)
+
+
+def doubt(tag: str, attributes: str) -> float:
+    """How much text must speak for an element with such names, in windows of usual text; 0 without suspicion."""
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return 0.0
+    most = 0.0
     for a, b, c in NAMES.findall(attributes):
         for name in (a or b or c).lower().split():
             parts = PART.findall(name)
-            # "with-sidebar" tells about the page, and is no sidebar itself
-            if LEFT_OUT_NAMES.intersection(parts) and not ABOUT_PAGE.intersection(parts):
-                return True
-    return False
+            # a name of such words alone: "ad-box", but not "market-share"; "with-sidebar" tells about the page, and is no sidebar itself
+            if ABOUT_PAGE.intersection(parts) - WITH_NAMES:
+                continue
+            for much, names in NAMED.items():
+                if names.intersection(parts) and all(p in WITH_NAMES or any(p in x for x in NAMED.values()) for p in parts):
+                    most = max(most, much)
+    return most
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, measure, article): a line for each block; article numbers the enclosing article, 0 for none.
+def lines_of(page: str) -> list[tuple[str, int, int, int, float]]:
+    """(text, length outside links, article, region, doubt): a line for each block; article and region number the enclosing ones, 0 for none.
 
-    Parts that are left out give no lines.
+    Parts that the format leaves out give no lines.
     """
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, int, float]] = []
     stack: list[str] = []
-    text: list[str] = []
-    linked = skip_from = articles = 0
+    text: list[tuple[str, bool]] = []  # pieces, and whether they are links
+    skip_from = articles = regions = 0
     inside: list[tuple[int, int]] = []  # (stack depth, number) of open articles
+    suspects: list[list] = []  # [stack depth, number, doubt, begin in ``text`` or None] of open regions; inline ones have a begin
+    once: tuple[int, float] | None = None  # a paragraph's own region
     at, end = 0, len(page)
 
+    def put(pieces: list[tuple[str, bool]], region: tuple[int, float]) -> None:
+        line = SPACE.sub(" ", html.unescape("".join(p for p, _ in pieces))).strip()
+        if line:  # never of a part that is left out: its text is not gathered
+            linked = sum(len(p) for p, is_link in pieces if is_link)
+            out.append((line, max(0, len(line) - linked), inside[-1][1] if inside else 0, *region))
+
     def close_line() -> None:
-        nonlocal linked
-        line = SPACE.sub(" ", html.unescape("".join(text))).strip()
+        nonlocal once
+        cut, outer, parts = len(text), None, []
+        for x in reversed(suspects):  # a line may break off inside inline regions
+            if x[3] is None:
+                outer = x
+                break
+            parts.append((text[x[3] : cut], (x[1], x[2])))
+            cut, x[3] = x[3], None
+        parts.append((text[:cut], once or ((outer[1], outer[2]) if outer else (0, 0.0))))
+        for pieces, region in reversed(parts):
+            put(pieces, region)
         text.clear()
-        if line:  # never of a part that is left out: its text is not gathered
-            out.append((line, max(0, len(line) - linked), inside[-1][1] if inside else 0))
-        linked = 0
+        once = None
+
+    def close_region() -> None:
+        _, _, much, begin = suspects[-1]
+        if begin is None:
+            close_line()
+        elif sum(len(p) for p, is_link in text[begin:] if not is_link) <= much * LEAST:
+            del text[begin:]  # inside a line, its text is its window
+        suspects.pop()
 
     while at < end:
         m = TOKEN.search(page, at)
         piece = page[at : m.start() if m else end]
         if piece and not skip_from:
-            text.append(piece)
-            if "a" in stack:
-                linked += len(piece)
+            text.append((piece, "a" in stack))
         if not m:
             break
         at = m.end()
@@ -114,13 +155,15 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag in BLOCKS:
             close_line()
         elif tag in SPACED:
-            text.append(" ")
+            text.append((" ", False))
         if m[1]:
             if tag in CONTAINERS and tag in stack:
                 while stack:
                     top = stack.pop()
                     if skip_from > len(stack):
                         skip_from = 0
+                    if suspects and suspects[-1][0] > len(stack):
+                        close_region()
                     if inside and inside[-1][0] > len(stack):
                         inside.pop()
                     if top == tag:
@@ -137,13 +180,21 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if tag in ("article", "main") and not skip_from:
                 articles += 1
                 inside.append((len(stack), articles))
-        left_out = not skip_from and is_left_out(tag, m[3], bool(inside))
-        if left_out and tag not in CONTAINERS:
-            # a lone paragraph or item: left out up to the next block
-            stop = re.compile(r"</?(?:%s)\b" % "|".join(sorted(BLOCKS)), re.I).search(page, at)
-            at = stop.start() if stop else end
-        elif left_out:
-            skip_from = len(stack)
+        if skip_from:
+            continue
+        if is_left_out(tag, m[3], bool(inside)):
+            if tag in CONTAINERS:
+                skip_from = len(stack)
+            else:  # a lone paragraph or item: left out up to the next block
+                stop = re.compile(r"</?(?:%s)\b" % "|".join(sorted(BLOCKS)), re.I).search(page, at)
+                at = stop.start() if stop else end
+        elif much := doubt(tag, m[3]):
+            regions += 1
+            much = max(much, suspects[-1][2] if suspects else 0.0)
+            if tag in CONTAINERS:
+                suspects.append([len(stack), regions, much, None if tag in BLOCKS else len(text)])
+            elif tag in BLOCKS:
+                once = regions, much
     close_line()
     return out
 
@@ -154,7 +205,7 @@ def window_sums(measures: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray,
     return sums[window - 1 :], sums[: len(measures)]
 
 
-def stretches(measures: np.ndarray, window: int = WINDOW, margin: bool = True) -> list[tuple[int, int]]:
+def stretches(measures: np.ndarray, window: int = WINDOW, margin: bool = True, threshold: float = 0) -> list[tuple[int, int]]:
     """[surge, dive) line ranges, in order; they may touch and overlap.
 
     Without ``margin`` a range begins at its first line that measures something, and ends after its last one.
@@ -163,23 +214,46 @@ def stretches(measures: np.ndarray, window: int = WINDOW, margin: bool = True) -
         return []
     after, before = window_sums(measures, window)
     rise = after if margin else before
-    surges = np.flatnonzero((rise > 0) & (np.append(0, rise[:-1]) == 0))
-    dives = np.flatnonzero((np.append(before, 0) == 0) & (np.append(0, before) > 0))
+    surges = np.flatnonzero((rise > threshold) & (np.append(0, rise[:-1]) <= threshold))
+    dives = np.flatnonzero((np.append(before, 0) <= threshold) & (np.append(0, before) > threshold))
     if not margin:
         last = np.flatnonzero(measures)
         dives = last[np.searchsorted(last, dives) - 1] + 1
     return list(zip(surges.tolist(), dives.tolist()))
 
 
+def usual(measures: np.ndarray, window: int = WINDOW) -> float:
+    """The window sum in which the middle character of these lines lies, and ``LEAST`` at least."""
+    if not measures.any():
+        return float(LEAST)
+    sums = window_sums(measures, window)[0]
+    order = np.argsort(sums, kind="stable")
+    run = np.cumsum(measures[order])
+    return max(float(LEAST), float(sums[order[np.searchsorted(run, run[-1] / 2)]]))
+
+
+def chosen(lines: list[tuple[str, int, int, int, float]]) -> list[int]:
+    """Numbers of the lines between surge and dive points, region by region."""
+    marked = any(x[2] and not x[3] for x in lines)
+    pool = [k for k, x in enumerate(lines) if x[2] or not marked]
+    trusted = np.array([lines[k][1] for k in pool if not lines[k][3]], np.int64)
+    typical = usual(trusted)
+    regions: dict[int, list[int]] = {}
+    for k in pool:
+        regions.setdefault(lines[k][3], []).append(k)
+    keep: list[int] = []
+    for number, own in regions.items():
+        # in a marked article, links are part of the text
+        measures = np.array([len(lines[k][0]) if marked and not number else lines[k][1] for k in own], np.int64)
+        threshold = lines[own[0]][4] * typical
+        keep += {own[i] for a, b in stretches(measures, margin=threshold > 0 or marked, threshold=threshold) for i in range(a, b)}
+    return sorted(keep)
+
+
 def main_text(page: str) -> str:
-    """The lines between surge and dive points, one a block, joined by newlines; those of the article where one is marked."""
+    """The chosen lines, one a block, joined by newlines; those of the article where one is marked."""
     lines = lines_of(page)
-    if not lines:
-        return ""
-    marked = any(a and m for _, m, a in lines)
-    measures = np.array([m if a or not marked else 0 for _, m, a in lines], np.int64)
-    keep = sorted({k for a, b in stretches(measures, margin=marked) for k in range(a, b)})
-    return "\n".join(lines[k][0] for k in keep if lines[k][2] or not marked)
+    return "\n".join(lines[k][0] for k in chosen(lines))
 
 
 def extract(pages: DataFrame, keep: list[str], html_column: str = "html") -> DataFrame:

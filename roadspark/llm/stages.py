@@ -51,12 +51,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: that of the least doc_id, once.
 
     Documents without an id cannot be linked and all stay; those without words are linked with
-    nothing. Of repeated rows with one id, one stays.
+    nothing. Of several rows with one id, the one with the least text stays (of equal texts, the one with the least hash of its columns).
     """
     keep = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     release(spark)
     known = docs.filter(F.col("doc_id").isNotNull())
-    stay = known.join(keep.hint("merge"), known.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    stay = known.join(keep.hint("merge"), known.doc_id == F.col("_kept"), "left_semi")
+    row, first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    stay = stay.groupBy("doc_id").agg(F.min_by(row, first).alias("_row")).select("_row.*")
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

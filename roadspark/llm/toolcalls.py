@@ -65,11 +65,15 @@ def _no_constant(name: str):
 
 
 def read(text: str | None, empty) -> tuple[object, bool]:
-    """(value, broken): ``empty`` for null; text that is not JSON, holds numbers beyond doubles or nests too deep stays a string."""
+    """(value, broken): ``empty`` for null; text that is not JSON, holds numbers beyond doubles or half a character (a lone
+    surrogate escape), or nests too deep stays a string."""
     if text is None:
         return empty, False
     try:
-        return _plain(json.loads(text, parse_float=_finite, parse_constant=_no_constant)), False
+        value = _plain(json.loads(text, parse_float=_finite, parse_constant=_no_constant))
+        if "\\u" in text:
+            canonical(value).encode()
+        return value, False
     except (ValueError, RecursionError):
         return text, True
 
