@@ -27,6 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadspark.functions import road
 from roadspark.operators.scratch import scratch_dir, settle
 
 # Executors need no copy of this package: its functions travel by value.
@@ -36,6 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELL_NODES, ZONES, LABELS = 8192, 64, 1 << 22
 
 FAR = np.int64(1 << 62)
+#: Seconds of a traffic slot; a penalty is at most so many weights of its arc.
+SLOT_S, CAP = road.SLOT_S, 10
 LABEL = "kind int, cell int, zone int, src long, node long, g long, parent long"
 
 
@@ -47,6 +50,7 @@ class Net:
     graph: DataFrame
     nodes: DataFrame
     landmarks: DataFrame | None = None
+    timed: bool = False
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,9 +60,18 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *packed], ["node", "d_from", "d_to", "b_from", "b_to"])
 
 
-def prepare(arcs: DataFrame, landmarks: DataFrame | None = None, cell_nodes: int = CELL_NODES) -> Net:
-    """Deals arcs (s, t, w) to cells; of parallel arcs the lightest stays. ``landmarks``: landmark, node, d_from, d_to."""
+def prepare(
+    arcs: DataFrame, landmarks: DataFrame | None = None, cell_nodes: int = CELL_NODES, volumes: DataFrame | None = None, factors: DataFrame | None = None, extra: DataFrame | None = None
+) -> Net:
+    """Deals arcs (s, t, w) to cells; of parallel arcs the lightest stays. ``landmarks``: landmark, node, d_from, d_to.
+
+    With ``volumes`` (node_id, slot, volume) and ``factors`` (node_id, k_magic) an arc's cost follows the traffic at its target
+    when the arc is entered, and ``extra`` (node_id, seconds) is added to arcs into a node. Labels are then times.
+    """
     best = settle(arcs.groupBy("s", "t").agg(F.min("w").cast("long").alias("w")), "arcs")
+    if extra is not None:
+        best = best.join(extra.select(F.col("node_id").alias("t"), F.col("seconds").cast("long").alias("extra")), "t", "left")
+    best = best.withColumn("extra", F.coalesce("extra", F.lit(0)).cast("long") if extra is not None else F.lit(0).cast("long"))
     ids = settle(best.select(F.col("s").alias("node")).union(best.select("t")).distinct(), "ids")
     n = max(1, -(-ids.count() // cell_nodes))
     cell = F.spark_partition_id()
@@ -67,18 +80,24 @@ def prepare(arcs: DataFrame, landmarks: DataFrame | None = None, cell_nodes: int
     s = nodes.select(F.col("node").alias("s"), "cell", "zone")
     t = nodes.select(F.col("node").alias("t"), F.col("cell").alias("t_cell"), F.col("zone").alias("t_zone"))
     none = F.lit(None).cast("binary")
-    graph = best.join(s, "s").join(t, "t").select("cell", "zone", "s", "t", "w", "t_cell", "t_zone", none.alias("b_from"), none.alias("b_to"))
+    graph = best.join(s, "s").join(t, "t").select("cell", "zone", "s", "t", "w", "extra", "t_cell", "t_zone", none.alias("b_from"), none.alias("b_to"))
     table = None
     if landmarks is not None:
         each = F.sort_array(F.collect_list(F.struct("landmark", "d_from", "d_to")))
         table = landmarks.groupBy("node").agg(each.alias("l")).select("node", F.col("l.d_from").alias("d_from"), F.col("l.d_to").alias("d_to"))
         table = settle(table.mapInArrow(_bytes, "node long, d_from array<long>, d_to array<long>, b_from binary, b_to binary"), "landmarks")
-        void = [F.lit(None).cast(k) for k in ("long", "long", "int", "int")]
+        void = [F.lit(None).cast(k) for k in ("long", "long", "long", "int", "int")]
         graph = graph.union(table.join(nodes, "node").select("cell", "zone", F.col("node"), *void, "b_from", "b_to"))
+    if volumes is not None:  # every cell gets the traffic of all nodes that its arcs lead to
+        per_slot = volumes.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("slot", "volume"))).alias("v"))
+        packed = per_slot.select("node_id", F.col("v.slot").alias("d_from"), F.col("v.volume").alias("d_to")).mapInArrow(_bytes, "node long, d_from array<long>, d_to array<long>, b_from binary, b_to binary")
+        ends = graph.select("cell", "zone", F.col("t").alias("node")).distinct().join(factors.select(F.col("node_id").alias("node"), F.col("k_magic").cast("long").alias("w")), "node")
+        void = [F.lit(None).cast(k) for k in ("long", "int", "int")]
+        graph = graph.union(ends.join(packed, "node").select("cell", "zone", "node", F.lit(None).cast("long"), "w", *void, "b_from", "b_to"))
     path = f"{scratch_dir(arcs.sparkSession)}/rounds/net-{uuid.uuid4().hex}"
     graph.repartition("zone", "cell").write.partitionBy("zone").parquet(path)
-    order = ["cell", "s", "t", "w", "t_cell", "t_zone", "b_from", "b_to"]
-    return Net(arcs.sparkSession.read.schema(graph.select(*order, "zone").schema).parquet(path), nodes, table)
+    order = ["cell", "s", "t", "w", "extra", "t_cell", "t_zone", "b_from", "b_to"]
+    return Net(arcs.sparkSession.read.schema(graph.select(*order, "zone").schema).parquet(path), nodes, table, volumes is not None)
 
 
 # ------------------------------------------------------------------ inside a cell
@@ -90,14 +109,14 @@ def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
 class Cell:
     """The arcs of one cell by the number of their start, and what leads out of it."""
 
-    def __init__(self, table: pa.Table, extra: np.ndarray) -> None:
+    def __init__(self, table: pa.Table, extra: np.ndarray, timed: bool = False) -> None:
         column = lambda k: table.column(k).to_numpy(zero_copy_only=False)
         arc = table.column("t").is_valid().to_numpy()
         s, cell = column("s")[arc].astype(np.int64), column("cell")[arc]
         t, w = column("t")[arc].astype(np.int64), column("w")[arc].astype(np.int64)
         t_cell, t_zone = column("t_cell")[arc].astype(np.int64), column("t_zone")[arc].astype(np.int64)
         at = np.flatnonzero(~arc)
-        marked = column("s")[at].astype(np.int64)
+        marked = column("s")[at].astype(np.int64) if not timed else np.zeros(0, np.int64)
         stays = t_cell == cell
         self.ids = np.unique(np.concatenate([s, t[stays], extra, marked]))
         order = np.argsort(s, kind="stable")
@@ -105,13 +124,45 @@ class Cell:
         self.to = np.where(self.stays, np.searchsorted(self.ids, self.t), -1)
         self.first = np.searchsorted(self.s, self.ids, "left")
         self.degree = np.searchsorted(self.s, self.ids, "right") - self.first
-        self.d_from = self.d_to = None
-        if len(at):
+        self.extra = column("extra")[arc].astype(np.int64)[order]
+        self.d_from = self.d_to = self.busy = None
+        if timed:
+            self._traffic(table, column("s")[at].astype(np.int64), column("w")[at].astype(np.int64), at)
+        elif len(at):
             inside = np.searchsorted(self.ids, marked)
             away, to = _matrix(table.column("b_from"), at), _matrix(table.column("b_to"), at)
             self.d_from, self.d_to = np.full((len(self.ids), away.shape[1]), -1), np.full((len(self.ids), away.shape[1]), -1)
             self.d_from[inside], self.d_to[inside] = away, to
 
+    def _traffic(self, table: pa.Table, nodes: np.ndarray, factors: np.ndarray, rows: np.ndarray) -> None:
+        """Volumes by target of an arc and slot, in one sorted list."""
+        lists = [[np.frombuffer(x, np.int64) for x in table.column(k).combine_chunks().take(pa.array(rows)).to_pylist()] for k in ("b_from", "b_to")]
+        order = np.argsort(nodes)
+        self.busy, k = nodes[order], factors[order]
+        owner = np.repeat(np.argsort(order), [len(x) for x in lists[0]])
+        slot, volume = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in lists)
+        self.slots = np.unique(slot)
+        code = owner * (len(self.slots) + 1) + np.searchsorted(self.slots, slot)
+        by = np.argsort(code)
+        self.code, self.pressure = code[by], (k[owner] * volume * volume)[by]
+        place = np.searchsorted(self.busy, self.t).clip(0, max(len(self.busy) - 1, 0))
+        self.target = np.where(self.busy[place] == self.t, place, -1) if len(self.busy) else np.full(len(self.t), -1)
+
+    def _pressure(self, target: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.slots, slot).clip(0, len(self.slots) - 1)
+        code = target * (len(self.slots) + 1) + at
+        found = np.searchsorted(self.code, code).clip(0, len(self.code) - 1)
+        return np.where((self.slots[at] == slot) & (self.code[found] == code) & (target >= 0), self.pressure[found], 0)
+
+    def seconds(self, arc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What arcs cost that are entered at these times: weight, extra, and the penalty between two slots, at most CAP weights."""
+        w = self.w[arc]
+        if self.busy is None or not len(self.code):
+            return w + self.extra[arc]
+        slot, into = at // SLOT_S, at % SLOT_S
+        p0, p1 = self._pressure(self.target[arc], slot), self._pressure(self.target[arc], slot + 1)
+        return w + self.extra[arc] + np.minimum((p0 + (p1 - p0) * into // SLOT_S) >> 20, CAP * w)
+
     def arcs_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arcs out of each of ``nodes``: the place in ``nodes``, and the arc."""
         n = self.degree[nodes]
@@ -137,7 +188,7 @@ def relax(cell: Cell, g: np.ndarray, parent: np.ndarray, fresh: np.ndarray, allo
         owner, arc = cell.arcs_of(node)
         keep = cell.stays[arc]
         owner, arc = owner[keep], arc[keep]
-        new = g[fresh][owner] + dearer(row[owner], arc)
+        new = g[fresh][owner] + dearer(row[owner], arc, g[fresh][owner])
         place = row[owner] * n + cell.to[arc]
         better = new < g[place]
         better[better] = allowed(row[owner][better], cell.to[arc][better], new[better])
@@ -151,7 +202,7 @@ def relax(cell: Cell, g: np.ndarray, parent: np.ndarray, fresh: np.ndarray, allo
     return np.flatnonzero(ever)
 
 
-def _round(factor: float, limit: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _round(factor: float, limit: int | None, timed: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """One cell's share of a round."""
 
     def run(graph: pa.Table, labels: pa.Table) -> pa.Table:
@@ -160,7 +211,7 @@ def _round(factor: float, limit: int | None) -> Callable[[pa.Table, pa.Table], p
         kind = column("kind")
         if (kind == 1).any():
             node = column("node").astype(np.int64)
-            cell = Cell(graph, np.unique(node[kind < 2]))
+            cell = Cell(graph, np.unique(node[kind < 2]), timed)
             here, zone = int(labels.column("cell")[0].as_py()), int(labels.column("zone")[0].as_py())
             src, g = column("src").astype(np.int64), column("g")
             whole = np.unique(src[kind == 1])
@@ -223,8 +274,8 @@ def _relax_some(cell, here, zone, some, mine, kind, src, node, g, column, labels
         arc = np.array([key.get(x, -1) for x in zip(node[mine][hits].tolist(), far_end.tolist())], np.int64)
         dear = np.unique(row[hits][arc >= 0] * len(cell.s) + arc[arc >= 0])
 
-    def dearer(r: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        w = cell.w[arc]
+    def dearer(r: np.ndarray, arc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        w = cell.seconds(arc, at)
         if dear is None or not len(dear):
             return w
         code = r * len(cell.s) + arc
@@ -248,7 +299,7 @@ def _relax_some(cell, here, zone, some, mine, kind, src, node, g, column, labels
     owner, arc = cell.arcs_of(v)
     leaves = ~cell.stays[arc]
     owner, arc = owner[leaves], arc[leaves]
-    new = dist[ever][owner] + dearer(r[owner], arc)
+    new = dist[ever][owner] + dearer(r[owner], arc, dist[ever][owner])
     fine = new <= cut[r[owner]]
     if limit is not None:
         fine &= new <= limit
@@ -328,7 +379,7 @@ def search(
             labels = labels.union(old.select(*names).withColumns(void))
         if dear is not None:
             labels = labels.union(dear.filter(here).withColumns(void))
-        got = net.graph.filter(here).groupBy("cell").cogroup(labels.groupBy("cell")).applyInArrow(_round(factor, limit), LABEL)
+        got = net.graph.filter(here).groupBy("cell").cogroup(labels.groupBy("cell")).applyInArrow(_round(factor, limit, net.timed), LABEL)
         # state lies by zone; what goes on lies apart, as it is read once
         got.write.partitionBy("kind", "zone").parquet(f"{path}/round={number}")
         made = spark.read.schema(LABEL).parquet(f"{path}/round={number}").select(*names)
