@@ -135,26 +135,24 @@ def tight_parents(arcs: DataFrame, dist: DataFrame) -> DataFrame:
     return near.join(tight, ["src", "node"], "left")
 
 
-def far_landmarks(arcs: DataFrame, pool: list[int], n: int) -> list[int]:
+def far_landmarks(arcs: DataFrame | Net, pool: list[int], n: int) -> list[int]:
     """``n`` more landmarks beside ``pool``: each is the reached node farthest from all before it (least id on ties).
 
-    From one start these are the farthest candidates; from a pool, its blind spots.
+    From one start these are the farthest candidates; from a pool, its blind spots. One table of least distances serves all: a new
+    landmark's search goes on from it, and touches only the nodes that come nearer.
     """
-    spark = arcs.sparkSession
-    latest, near, found = list(pool), None, []
+    net = arcs if isinstance(arcs, Net) else prepare(arcs)
+    spark = net.graph.sparkSession
+    latest, found, labels = list(pool), [], []
     while len(found) < n:
-        d = distances(arcs, spark.createDataFrame([(x,) for x in latest], "src long")).groupBy("node").agg(F.min("g").alias("d"))
-        after = settle((d if near is None else near.union(d)).groupBy("node").agg(F.min("d").alias("d")), "landmarks")
-        if near is not None:
-            forget(near)
-        near = after
-        far = near.agg(F.min(F.struct((-F.col("d")).alias("d"), F.col("node"))).alias("m")).first().m
+        near = search(net, spark.createDataFrame([(0, x) for x in latest], "src long, node long"), onto=labels)
+        far = near.agg(F.min(F.struct((-F.col("g")).alias("d"), F.col("node"))).alias("m")).first().m
         found.append(far.node)
         latest = [far.node]
     return found
 
 
-def farthest_landmarks(arcs: DataFrame, first: int, n: int) -> list[int]:
+def farthest_landmarks(arcs: DataFrame | Net, first: int, n: int) -> list[int]:
     """``n`` landmarks from ``first`` on: each next one is the node farthest from all before it (least id on ties)."""
     return [first] + far_landmarks(arcs, [first], n - 1)
 
@@ -182,7 +180,7 @@ def cover_landmarks(table: DataFrame, pairs: DataFrame, n: int) -> list[int]:
 
 
 def landmark_table(arcs: DataFrame, landmarks: list[int], cap: int = 65534) -> DataFrame:
-    """(landmark, node, d_from, d_to), each at most ``cap``."""
+    """(landmark, node, d_from, d_to), each at most ``cap``; nodes that a landmark reaches and is reached from. One batch of searches each way."""
     sources = arcs.sparkSession.createDataFrame([(x,) for x in landmarks], "src long")
     arcs = settle(arcs.select("s", "t", "w"), "arcs")
     away = distances(arcs, sources).select("src", "node", F.least("g", F.lit(cap)).alias("d_from"))

@@ -315,7 +315,7 @@ def _relax_some(cell, here, zone, some, mine, kind, src, node, g, column, labels
 
 # ------------------------------------------------------------------ rounds
 def search(
-    net: Net, starts: DataFrame, limit: int | None = None, targets: DataFrame | None = None, goals: DataFrame | None = None, penalised: DataFrame | None = None, factor: float = 1, seen: list | None = None
+    net: Net, starts: DataFrame, limit: int | None = None, targets: DataFrame | None = None, goals: DataFrame | None = None, penalised: DataFrame | None = None, factor: float = 1, seen: list | None = None, onto: list | None = None
 ) -> DataFrame:
     """Least distances (src, node, g, parent) from the starts (src, node; several a source may be given, and g, else 0).
 
@@ -323,10 +323,11 @@ def search(
     left. ``goals`` (src, dst, one a source): only labels that can still improve the answer go on; labels of
     other nodes may be missing or too high. ``penalised`` (src, s, t): these arcs cost a source ``factor`` times as much.
     Of equal ways the parent found first stays, and the least of those found together. Starts outside the graph
-    give their own label. ``seen`` gets a row count for each round.
+    give their own label. ``seen`` gets a row count for each round. With ``onto``, a list that is empty at first, a search goes on from the labels of
+    the ones before it with the same list: only what the new starts improve is touched.
     """
     spark = net.graph.sparkSession
-    path = f"{scratch_dir(spark)}/rounds/search-{uuid.uuid4().hex}"
+    path, number = onto or (f"{scratch_dir(spark)}/rounds/search-{uuid.uuid4().hex}", 0)
     base = starts if "g" in starts.columns else starts.withColumn("g", F.lit(0))
     at = base.join(net.nodes, "node", "left").select(
         F.lit(1).alias("kind"), F.coalesce("cell", F.lit(-1)).alias("cell"), F.coalesce("zone", F.lit(-1)).alias("zone"), "src", "node", F.col("g").cast("long").alias("g"), F.lit(None).cast("long").alias("parent")
@@ -355,7 +356,6 @@ def search(
         asked = settle(targets.select("src", F.col("dst").alias("node")).distinct(), "targets")
         count = asked.groupBy("src").agg(F.count("*").alias("asked"))
     none = F.lit(None).cast("binary")
-    number = 0
     while True:
         zones = [r.zone for r in arrivals.select("zone").distinct().collect()]  # ZONES at most
         if not zones:
@@ -393,6 +393,8 @@ def search(
             met = settle(met.groupBy("src", "node").agg(F.min("g").alias("g")), "met")
             ends = met.groupBy("src").agg(F.count("*").alias("met"), F.max("g").alias("cut")).join(count, "src").filter("met = asked").select("src", "cut")
             cuts = settle((ends if cuts is None else ends.union(cuts)).groupBy("src").agg(F.min("cut").alias("cut")), "cuts")
+    if onto is not None:
+        onto[:] = [path, number]
     state = outside
     if number:
         every = spark.read.schema(f"{LABEL}, round int").parquet(path).filter("kind = 0")
