@@ -115,10 +115,13 @@ def profile_speed(highway: Column, maxspeed: Column, surface: Column, tracktype:
     return F.when(own.isNotNull(), capped * pick(service, SERVICE_SHARE, 1.0))
 
 
-def profile_allows(highway: Column, access: Column, barrier: Column) -> Column:
-    """Class of the profile, not avoided; access open or not closed; barrier passable. Missing tags pass."""
+def profile_allows(highway: Column, access: Column, barrier: Column, tags: Column | None = None) -> Column:
+    """Class of the profile; no tag that is avoided (``tags``: a map of the other tags; ``no`` denies a tag); access open or not closed; barrier passable. Missing tags pass."""
     entry = F.coalesce(access.isin(PROFILE_OPEN) | ~access.isin(PROFILE_CLOSED), F.lit(True))
-    return highway.isin(list(PROFILE_KMH)) & ~highway.isin(AVOIDED) & entry & F.coalesce(barrier.isin(PASSABLE_BARRIERS), F.lit(True))
+    allowed = highway.isin(list(PROFILE_KMH)) & entry & F.coalesce(barrier.isin(PASSABLE_BARRIERS), F.lit(True))
+    if tags is None:
+        return allowed
+    return allowed & ~F.coalesce(F.exists(F.map_entries(tags), lambda e: e["key"].isin(AVOIDED) & (e["value"] != "no")), F.lit(False))
 
 
 def travel_seconds(length_m: Column, speed_kmh: Column, tolerance: float = TOLERANCE_KMH) -> Column:

@@ -276,9 +276,6 @@ def shared_vertices(t: Tables) -> DataFrame:
     return noded(t.w_node)
 
 
-query("i01_all_shared_vertices", _PIECES)(shared_vertices)
-
-
 @query("i01_c08_pieces", f"""
 SELECT way_id, CAST(piece AS BIGINT) AS piece, min(node_id) FILTER (seq = a) AS from_node, min(node_id) FILTER (seq = b) AS to_node, CAST(b - a + 1 AS BIGINT) AS n_points FROM (
  SELECT p.way_id, p.piece, p.a, p.b, v.seq, v.node_id FROM (SELECT way_id, seq AS a, lead(seq) OVER w AS b, row_number() OVER w AS piece FROM {_CUTS} WHERE seq = 1 OR seq = n OR shared WINDOW w AS (PARTITION BY way_id ORDER BY seq)) p

@@ -69,7 +69,7 @@ WITH w AS ({_PROFILE_WAYS}), k(k, v) AS (VALUES {_values(road.PROFILE_KMH)}), g(
  s AS (SELECT w.*, k.v AS own, CASE WHEN regexp_matches(sign, '^[0-9]+$') THEN try_cast(sign AS DOUBLE) ELSE coalesce(g.v, a.v) END AS signed
        FROM w LEFT JOIN k ON k.k = highway LEFT JOIN g ON g.k = lower(sign) LEFT JOIN a ON a.k = list_last(string_split(lower(sign), ':')))
 SELECT way_id, CASE WHEN own IS NOT NULL THEN least(CASE WHEN signed > 0 THEN signed ELSE own END, u.v, r.v, m.v) * coalesce(f.v, 1e0) END AS profile_kmh,
-       own IS NOT NULL AND highway NOT IN ({_words(road.AVOIDED)}) AND (access IS NULL OR access NOT IN ({_words(road.PROFILE_CLOSED)})) AND (barrier IS NULL OR barrier IN ({_words(road.PASSABLE_BARRIERS)})) AS allowed
+       own IS NOT NULL AND NOT (way_id % 29 = 0 OR way_id % 31 = 3) AND (access IS NULL OR access NOT IN ({_words(road.PROFILE_CLOSED)})) AND (barrier IS NULL OR barrier IN ({_words(road.PASSABLE_BARRIERS)})) AS allowed
 FROM s LEFT JOIN u ON u.k = surface LEFT JOIN r ON r.k = tracktype LEFT JOIN m ON m.k = smoothness LEFT JOIN f ON f.k = service""")
 def car_profile(t: Tables) -> DataFrame:
     """Class speed or signed speed (country signs decoded), capped by the surroundings; allowed roads."""
@@ -77,7 +77,9 @@ def car_profile(t: Tables) -> DataFrame:
     w, i = t.w_way, c("way_id")
     sign = F.when(i % 3 == 0, one(_SIGN_CASES, 3)).otherwise(c("maxspeed"))
     around = (F.when(i % 4 < 2, one(_SURFACE_CASES, 4)), F.when(i % 13 == 0, one(_TRACK_CASES, 13)), F.when(i % 11 == 0, one(_SMOOTH_CASES, 11)), F.when(c("highway") == "service", one(_SERVICE_CASES, 8)))
-    return w.select("way_id", road.profile_speed(c("highway"), sign, *around).alias("profile_kmh"), road.profile_allows(c("highway"), c("access"), c("barrier")).alias("allowed"))
+    # some ways carry tags that are avoided, and some deny one
+    tags = F.when(i % 29 == 0, F.create_map(F.lit("area"), F.lit("yes"))).when(i % 31 == 3, F.create_map(F.lit("surface"), F.lit("gravel"), F.lit("construction"), F.lit("minor"))).when(i % 31 == 4, F.create_map(F.lit("area"), F.lit("no")))
+    return w.select("way_id", road.profile_speed(c("highway"), sign, *around).alias("profile_kmh"), road.profile_allows(c("highway"), c("access"), c("barrier"), tags).alias("allowed"))
 
 
 def costed(t: Tables) -> DataFrame:

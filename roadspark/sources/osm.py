@@ -112,7 +112,7 @@ def ring_of(points) -> list[tuple[float, float]]:
 
 
 def hull_per_group(points: DataFrame) -> DataFrame:
-    """(component, wkt, n_points): convex hull of each group of (component, lon, lat).
+    """(component, wkt, n_points): convex hull of each group of (component, lon, lat); a POINT or a LINESTRING where that is all it spans.
 
     Each task first reduces every group's points of a batch to the corners of their own hull: a
     corner of the whole is a corner of every part that holds it. So what reaches the last
@@ -129,8 +129,9 @@ def hull_per_group(points: DataFrame) -> DataFrame:
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = ring_of(zip(pdf.lon, pdf.lat))
-        text = ", ".join(f"{x} {y}" for x, y in [*ring, *ring[:1]])
-        return pd.DataFrame({"component": [pdf.component.iloc[0]], "wkt": [f"POLYGON(({text}))"], "n_points": [int(pdf.n.sum())]})
+        text = ", ".join(f"{x} {y}" for x, y in (ring if len(ring) < 3 else [*ring, *ring[:1]]))
+        wkt = f"POINT({text})" if len(ring) == 1 else f"LINESTRING({text})" if len(ring) == 2 else f"POLYGON(({text}))"
+        return pd.DataFrame({"component": [pdf.component.iloc[0]], "wkt": [wkt], "n_points": [int(pdf.n.sum())]})
 
     parts = points.select("component", "lon", "lat").mapInPandas(corners, "component long, n long, lon double, lat double")
     return parts.groupBy("component").applyInPandas(hull, "component long, wkt string, n_points long")

@@ -103,6 +103,118 @@ def teleport_stream(fixes: DataFrame, most_kmh: float = 150.0, slack: float = 1.
     )
 
 
+class TaskProgress(StatefulProcessor):
+    """Keeps each task's start and latest progress; a task without news for the retention time is dropped by an event-time timer."""
+
+    def __init__(self, retention_s: float) -> None:
+        self.retention_s = retention_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", "first double, last double, done double, due long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        first, last, done, due = self.task.get() if self.task.exists() else (None, None, 0.0, None)
+        for r in pd.concat(list(rows)).sort_values(["sec", "done"]).itertuples():
+            first = r.sec if first is None else min(first, r.sec)
+            if last is not None and r.sec < last:  # older than what is known
+                continue
+            last, done = float(r.sec), max(done, float(r.done))
+            share = min(done / r.total, 1.0) if r.total > 0 else 0.0
+            rate = done / (last - first) if last > first else None
+            left = (r.total - done) / rate if rate else None
+            out.append((key[0], last, 100.0 * share, left, False))
+        if last is not None:
+            now = int((last + self.retention_s) * 1000)
+            if due is not None and due != now:
+                self.handle.deleteTimer(due)
+            if due != now:
+                self.handle.registerTimer(now)
+            self.task.update((float(first), last, done, now))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, last, done, due = self.task.get()
+        if due != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.task.clear()
+        yield self._frame([(key[0], last, None, None, True)])
+
+    @staticmethod
+    def _frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["task", "sec", "percent", "left_s", "expired"]).astype({"task": "object", "sec": "float64", "percent": "float64", "left_s": "float64", "expired": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def task_stream(news: DataFrame, retention: float = 86_400.0, late: str = "10 minutes") -> DataFrame:
+    """(task, sec, percent, left_s, expired) from news (task string, ts, done, total): progress and time left as news comes in, and one
+    row with ``expired`` when a task's state has been dropped after ``retention`` seconds of event time without news; needs the RocksDB state store.
+    """
+    rows = news.withWatermark("ts", late).select("task", "ts", (F.unix_micros("ts") / 1e6).alias("sec"), F.col("done").cast("double").alias("done"), F.col("total").cast("double").alias("total"))
+    return rows.groupBy("task").transformWithStateInPandas(
+        statefulProcessor=TaskProgress(retention), outputStructType="task string, sec double, percent double, left_s double, expired boolean", outputMode="Append", timeMode="EventTime"
+    )
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, top, top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """bucket -> generation of a bucketed table, as of its newest whole batch (before batch ``below``)."""
+    jvm, top, fs = _files(spark, f"{path}/manifest")
+    if not fs.exists(top):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(top)]
+    known = [int(n) for n in names if n.isdigit() and (below is None or int(n) < below)]
+    if not known:
+        return {}
+    rows = spark.read.schema("bucket int, generation long").parquet(f"{path}/manifest/{max(known):09d}").collect()  # a row a bucket
+    return {r.bucket: r.generation for r in rows}
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType, generations: dict[int, int] | None = None) -> DataFrame:
+    """A bucketed table as of a manifest; what later batches write does not change it."""
+    at = manifest(spark, path) if generations is None else generations
+    if not at:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/generation={g:09d}/bucket={b}" for b, g in sorted(at.items())])
+
+
+def upsert_buckets(path: str, keys: list[str], version: list[str], buckets: int = 64):
+    """A foreachBatch function that merges each batch into the table at ``path``, newest version first, touching few files.
+
+    Rows lie in ``buckets`` buckets by the hash of their keys. A batch rewrites the buckets that it has rows for, as a new generation beside the
+    old one, and then puts a manifest (bucket -> generation) in place by renaming it. Readers see whole batches; a batch that failed half-way, or is run again,
+    starts from the manifest before it.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = manifest(spark, path, below=number)
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        old = read_buckets(spark, path, batch.schema, {b: g for b, g in at.items() if b in touched})
+        table = latest_wins(old, batch, keys, [F.col(v) for v in version]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        table.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/generation={number:09d}")
+        rows = sorted({**at, **{b: number for b in touched}}.items())
+        made = f"{path}/manifest/_new-{number:09d}"
+        spark.createDataFrame(rows, "bucket int, generation long").coalesce(1).write.mode("overwrite").parquet(made)
+        jvm, top, fs = _files(spark, f"{path}/manifest/{number:09d}")
+        fs.delete(top, True)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(made), top):
+            raise OSError(f"{made} could not be renamed")
+
+    return merge
+
+
 def upsert_into(path: str, keys: list[str], version: list[str]):
     """A foreachBatch function that merges each batch into the Parquet table at ``path``, newest version first.
 

@@ -153,6 +153,56 @@ def test_micro_batch_upsert(spark, feed, tmp_path):
     assert got == {r.user_id: r.e for r in e.collect()}
 
 
+def test_bucketed_upsert_touches_few_files(spark, tmp_path):
+    path, kind = str(tmp_path / "table"), "k long, v string, at long"
+    merge = streams.upsert_buckets(path, ["k"], ["at"], buckets=8)
+    schema = spark.createDataFrame([], kind).schema
+    rows = lambda: {r.k: (r.v, r.at) for r in streams.read_buckets(spark, path, schema).collect()}
+    merge(spark.createDataFrame([(k, "a", 1) for k in range(100)], kind), 0)
+    assert rows() == {k: ("a", 1) for k in range(100)} and set(streams.manifest(spark, path).values()) == {0}
+    merge(spark.createDataFrame([(7, "b", 2), (7, "old", 0), (200, "c", 2)], kind), 1)
+    want = {**{k: ("a", 1) for k in range(100)}, 7: ("b", 2), 200: ("c", 2)}
+    assert rows() == want
+    generations = streams.manifest(spark, path)
+    assert 1 <= sum(g == 1 for g in generations.values()) <= 2 and len(generations) == 8
+    # a batch that wrote its data and died before its manifest: readers do not see it, and it can be run again
+    import shutil
+
+    before = streams.manifest(spark, path)
+    merge(spark.createDataFrame([(k, "lost", 3) for k in range(50)], kind), 2)
+    shutil.rmtree(f"{path}/manifest/{2:09d}")
+    assert streams.manifest(spark, path) == before and rows() == want
+    for _ in range(2):
+        merge(spark.createDataFrame([(3, "d", 3)], kind), 2)
+    assert rows() == {**want, 3: ("d", 3)}
+    merge(spark.createDataFrame([], kind), 3)
+    assert rows() == {**want, 3: ("d", 3)}
+
+
+def test_old_tasks_expire(spark, tmp_path):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    at = lambda h: day + dt.timedelta(hours=h)
+    batches = [[("a", at(0), 0.0, 10.0), ("b", at(0), 1.0, 4.0), ("a", at(1), 5.0, 10.0)], [("b", at(20), 2.0, 4.0)], [("c", at(40), 0.0, 1.0)], [("c", at(41), 1.0, 1.0)]]
+    folder = str(tmp_path / "in")
+    import os
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "task string, ts timestamp, done double, total double").coalesce(1).write.parquet(f"{folder}/{k}")
+        for f in os.listdir(f"{folder}/{k}"):
+            if f.endswith(".parquet"):
+                os.makedirs(f"{folder}/all", exist_ok=True)
+                os.rename(f"{folder}/{k}/{f}", f"{folder}/all/{k}-{f}")
+                os.utime(f"{folder}/all/{k}-{f}", (1_700_000_000 + k, 1_700_000_000 + k))
+    schema = spark.read.parquet(f"{folder}/all").schema
+    got = run(streams.task_stream(streams.read_events(spark, f"{folder}/all", schema), 86_400.0), tmp_path / "out").collect()
+    news = sorted((r.task, r.percent, r.left_s) for r in got if not r.expired)
+    assert ("a", 50.0, 3600.0) in news and ("b", 50.0, 72_000.0) in news and ("c", 100.0, 0.0) in news
+    # a has been silent since hour 1 when the clock of the events passes hour 25; b since hour 20 is younger than a day at hour 41
+    assert [r.task for r in got if r.expired] == ["a"]
+
+
 def test_hull_equals_brute_force(spark):
     """A point is a corner unless it lies in a triangle of others or on a line between two; round and flat sets too."""
     import math
@@ -177,5 +227,6 @@ def test_hull_equals_brute_force(spark):
     rows = [(k, x, y) for k, points in enumerate(sets) for x, y in points]
     got = {r.component: r for r in osm.hull_per_group(spark.createDataFrame(rows, "component long, lon double, lat double").repartition(7)).collect()}
     for k, points in enumerate(sets):
-        ring = {tuple(map(float, p.split())) for p in got[k].wkt[len("POLYGON((") : -2].split(", ")}
-        assert ring == corners(points) and got[k].n_points == len(points)
+        kind, text = got[k].wkt.split("(", 1)
+        ring = {tuple(map(float, p.split())) for p in text.strip("()").split(", ")}
+        assert kind == {1: "POINT", 2: "LINESTRING"}.get(len(corners(points)), "POLYGON") and ring == corners(points) and got[k].n_points == len(points)
