@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.operators.scratch import forget, settle
-from roadspark.operators.search import Net, prepare, search
+from roadspark.operators.search import MARK_CAP, Net, prepare, search
 from roadspark.operators.strong import strong_components  # noqa: F401
 
 
@@ -179,7 +179,7 @@ def cover_landmarks(table: DataFrame, pairs: DataFrame, n: int) -> list[int]:
     return chosen
 
 
-def landmark_table(arcs: DataFrame, landmarks: list[int], cap: int = 65534) -> DataFrame:
+def landmark_table(arcs: DataFrame, landmarks: list[int], cap: int = MARK_CAP) -> DataFrame:
     """(landmark, node, d_from, d_to), each at most ``cap``; nodes that a landmark reaches and is reached from. One batch of searches each way."""
     sources = arcs.sparkSession.createDataFrame([(x,) for x in landmarks], "src long")
     arcs = settle(arcs.select("s", "t", "w"), "arcs")

@@ -37,6 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELL_NODES, ZONES, LABELS = 8192, 64, 1 << 22
 
 FAR = np.int64(1 << 62)
+#: Landmarks' distances are stored up to this; a larger one is no way that is known.
+MARK_CAP = 65534
 #: Seconds of a traffic slot; a penalty is at most so many weights of its arc.
 SLOT_S, CAP = road.SLOT_S, 10
 LABEL = "kind int, cell int, zone int, src long, node long, g long, parent long"
@@ -83,8 +85,11 @@ def prepare(
     graph = best.join(s, "s").join(t, "t").select("cell", "zone", "s", "t", "w", "extra", "t_cell", "t_zone", none.alias("b_from"), none.alias("b_to"))
     table = None
     if landmarks is not None:
+        # landmarks off the main part know few nodes and are left out; nodes that one of the others does not know have no bounds
+        known = landmarks.groupBy("landmark").agg(F.count("*").alias("n")).collect()  # a row a landmark
+        kept = [r.landmark for r in known if 2 * r.n >= max(x.n for x in known)]
         each = F.sort_array(F.collect_list(F.struct("landmark", "d_from", "d_to")))
-        table = landmarks.groupBy("node").agg(each.alias("l")).select("node", F.col("l.d_from").alias("d_from"), F.col("l.d_to").alias("d_to"))
+        table = landmarks.filter(F.col("landmark").isin(kept)).groupBy("node").agg(each.alias("l")).filter(F.size("l") == len(kept)).select("node", F.col("l.d_from").alias("d_from"), F.col("l.d_to").alias("d_to"))
         table = settle(table.mapInArrow(_bytes, "node long, d_from array<long>, d_to array<long>, b_from binary, b_to binary"), "landmarks")
         void = [F.lit(None).cast(k) for k in ("long", "long", "long", "int", "int")]
         graph = graph.union(table.join(nodes, "node").select("cell", "zone", F.col("node"), *void, "b_from", "b_to"))
@@ -347,7 +352,7 @@ def search(
             far = net.landmarks.select(F.col("node").alias("goal"), F.col("d_from").alias("from_mark"), F.col("b_from").alias("goal_from"), F.col("b_to").alias("goal_to"))
             aim = aim.join(far, "goal", "left")
             near = net.landmarks.select("node", F.col("d_to").alias("there"))
-            ways = base.select("src", "node").join(near, "node").join(aim, "src").select("src", F.array_min(F.zip_with("there", "from_mark", lambda a, b: a + b)).alias("cut"))
+            ways = base.select("src", "node").join(near, "node").join(aim, "src").select("src", F.array_min(F.zip_with("there", "from_mark", lambda a, b: F.when((a < MARK_CAP) & (b < MARK_CAP), a + b))).alias("cut"))
             cuts = settle(ways.groupBy("src").agg(F.min("cut").alias("cut")), "cuts")
             aim = aim.drop("from_mark")
         aim = settle(aim, "goals")

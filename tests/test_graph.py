@@ -207,8 +207,9 @@ def test_distances_across_cells(spark):
 def test_bounds_spare_most_of_a_search(spark):
     side = 30
     arcs = [(y * side + x, v * side + u, 10 + (x * 7 + y * 3) % 5) for y in range(side) for x in range(side) for u, v in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if 0 <= u < side and 0 <= v < side]
+    arcs += [(0, 5000, 7)]  # a dead end, which is a poor landmark
     a = spark.createDataFrame(arcs, "s long, t long, w long")
-    marks = graph.landmark_table(a, [0, side - 1, side * (side - 1), side * side - 1])
+    marks = graph.landmark_table(a, [0, side - 1, side * (side - 1), side * side - 1, 5000])
     asked = [(k, k * 35, (k * 35 + 4 * side + 3) % (side * side)) for k in range(12)] + [(90, 1, 9999)]
     q = spark.createDataFrame(asked, "request_id long, src long, dst long")
     cut, whole = [], []
