@@ -9,7 +9,7 @@ from roadspark.plans import ORACLES, QUERIES
 
 #: Loops of many jobs; one of each kind is enough here, the others run at the larger size in the driver's check.
 SLOW = {"i12_depot_times", "i04_i06_main_component", "j01_j03_routes", "j06_multi_stop", "i16_i17_landmark_bounds", "d08_d09_component_sizes", "j02_path_costs", "i05_weak_components", "j01_j03_turn_routes", "i04_i06_largest_strong", "c18_off_main_component"}
-#: SQL knows the largest component only where it holds most of the nodes, which on the smallest line graph it does not.
+#: Its SQL takes the depot's component, and only where that holds most of the nodes; at the smallest size it gives no rows. test_graph.py holds the components against plain search.
 SLOW |= {"i09_largest_line"}
 
 
