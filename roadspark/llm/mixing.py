@@ -8,8 +8,9 @@ their tokens come closest to the budget. The threshold is found without sorting:
 2. a running sum over the buckets of a source finds the one where the budget is
    crossed; buckets before it are in, buckets after it are out;
 3. only the documents of that boundary bucket are split by the next ``BITS`` bits of
-   their hash, and so on for ``LEVELS`` nested levels; the last cell is taken if that
-   brings the sum nearer to the budget.
+   their hash, and so on for ``LEVELS`` nested levels, and last by all bits that are left.
+   A single document that is left there is taken if that brings the sum nearer to the budget;
+   of documents that are equal in id and text, and so in hash, as many are taken as come nearest.
 
 The histograms have at most ``2**BITS`` rows a source however many documents there
 are, so one hot source needs no special care: its documents meet in partial sums.
@@ -31,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BITS, LEVELS, MOST_EPOCHS = 12, 3, 3
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows of one file that are numbered together.
+BLOCK = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -78,54 +81,74 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
 
 
 def thresholds(docs: DataFrame, targets: DataFrame, bits: int = BITS, levels: int = LEVELS) -> DataFrame:
-    """(source, whole, cut): complete copies of a source, and the hash under which one more copy is taken.
+    """(source, whole, cut, part): complete copies of a source, the hash under which one more copy is taken, and how many rows of just that hash get one.
 
     ``docs`` has source, size and hash (60 bits); ``targets`` has source, source_size, target.
+    ``part`` is above 0 only where several rows share the hash and some, but not all, are taken.
     """
     budget = F.col("target") - F.col("whole") * F.col("source_size")
     state = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     state = state.select("source", "whole", budget.alias("left"), F.lit(0).cast("long").alias("prefix"))
-    for level in range(levels):
-        shift = 60 - bits * (level + 1)
-        cell = F.shiftright("hash", shift)
-        inside = docs.select("source", "size", cell.alias("cell"), F.shiftright("hash", shift + bits).alias("prefix"))
+    shifts = [60 - bits * (level + 1) for level in range(levels)] + [0]
+    for level, shift in enumerate(shifts):
+        inside = docs.select("source", "size", F.shiftright("hash", shift).alias("cell"), F.shiftright("hash", ([60] + shifts)[level]).alias("prefix"))
         if level:
             inside = inside.withColumnRenamed("source", "s").withColumnRenamed("prefix", "p")
             near = state.select("source", "prefix")
             inside = inside.join(near, F.col("s").eqNullSafe(F.col("source")) & (F.col("p") == F.col("prefix"))).select("source", "size", "cell")
-        histogram = inside.groupBy("source", "cell").agg(F.sum("size").alias("tokens"))
+        histogram = inside.groupBy("source", "cell").agg(F.sum("size").alias("tokens"), F.count("*").alias("rows"))
         run = Window.partitionBy("source").orderBy("cell")
         histogram = histogram.withColumn("upto", F.sum("tokens").over(run)).withColumnRenamed("source", "s")
         joined = histogram.join(state.drop("prefix"), F.col("s").eqNullSafe(F.col("source")))
         # the first cell whose running sum passes what is left; all before it are in
         over = joined.filter(F.col("upto") > F.col("left")).groupBy("source", "whole").agg(
-            F.min(F.struct("cell", "upto", "tokens", "left")).alias("at")
+            F.min(F.struct("cell", "upto", "tokens", "rows", "left")).alias("at")
         )
-        state = over.select(
-            "source", "whole", F.col("at.cell").alias("prefix"), (F.col("at.left") - (F.col("at.upto") - F.col("at.tokens"))).alias("left"), F.col("at.tokens").alias("tokens")
-        )
-        if level < levels - 1:
-            state = state.drop("tokens")
-    last = 60 - bits * levels
-    take_last = F.col("tokens") - F.col("left") < F.col("left")
-    cut = F.shiftleft(F.col("prefix") + F.when(take_last, 1).otherwise(0), last)
-    return state.select("source", "whole", cut.alias("cut"))
+        rest = F.col("at.left") - (F.col("at.upto") - F.col("at.tokens"))
+        state = over.select("source", "whole", F.col("at.cell").alias("prefix"), rest.alias("left"), *([] if shift else ["at.tokens", "at.rows"]))
+    # the cell is one hash by now: rows of one size
+    taken = F.ceil(F.col("left") / (F.col("tokens") / F.col("rows")) - 0.5)
+    return state.withColumn("taken", taken.cast("long")).select(
+        "source", "whole", (F.col("prefix") + F.when(F.col("taken") >= F.col("rows"), 1).otherwise(0)).alias("cut"),
+        F.when(F.col("taken") >= F.col("rows"), 0).otherwise(F.greatest(F.col("taken"), F.lit(0))).cast("long").alias("part"),
+    )
 
 
 def source_cuts(small: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """(source, source_size, target, whole, cut) from (source, size, hash); one row a source."""
+    """(source, source_size, target, whole, cut, part) from (source, size, hash); one row a source."""
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, epochs), "mix-targets")
     cuts = thresholds(small, targets).withColumnRenamed("source", "s").withColumnRenamed("whole", "w")
     joined = targets.join(cuts, F.col("s").eqNullSafe(F.col("source")), "left")
     # no boundary cell: the whole copies meet the target, and nothing is left to take
     whole = F.coalesce("w", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("long")
-    return materialize(joined.select("source", "source_size", "target", whole.alias("whole"), F.coalesce("cut", F.lit(0)).cast("long").alias("cut")), "mix-cuts")
+    return materialize(joined.select("source", "source_size", "target", whole.alias("whole"), F.coalesce("cut", F.lit(0)).cast("long").alias("cut"), F.coalesce("part", F.lit(0)).cast("long").alias("part")), "mix-cuts")
+
+
+def with_copies(joined: DataFrame, cuts: DataFrame, epochs: int = MOST_EPOCHS) -> DataFrame:
+    """``joined`` (hash and the columns of ``cuts``) with copies, how often each row is taken.
+
+    Where a source's boundary is a hash that many rows share, those rows are written out and
+    numbered by their places in the files: rows before them by counts of blocks, then inside a
+    block of at most ``BLOCK`` rows. However many they are, no task gets more than a block.
+    """
+    more = F.col("hash") < F.col("cut")
 
+    def taken(extra: Column) -> Column:
+        return F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(epochs)).cast("long").alias("copies")
 
-def copies(epochs: int = MOST_EPOCHS) -> Column:
-    """How often a row is taken, from its hash and its source's whole and cut."""
-    return F.least(F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0), F.lit(epochs)).cast("long")
+    if cuts.filter("part > 0").isEmpty():
+        return joined.select("*", taken(more))
+    tied = (F.col("part") > 0) & (F.col("hash") == F.col("cut"))
+    ties = materialize(joined.filter(tied), "mix-ties")
+    placed = ties.select("*", F.struct(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK)).alias("_block"), F.col("_metadata.row_index").alias("_row"))
+    blocks = placed.groupBy("s", "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("s").orderBy("_block")) - F.col("_n")
+    blocks = blocks.select(F.col("s").alias("_s"), F.col("_block").alias("_b"), before.alias("_before"))
+    numbered = placed.join(blocks, F.col("s").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+    rank = F.row_number().over(Window.partitionBy("s", "_block").orderBy("_row"))
+    numbered = numbered.withColumn("_rank", F.col("_before") + rank)
+    return joined.filter(~tied).select("*", taken(more)).unionByName(numbered.select(*joined.columns, taken(F.col("_rank") <= F.col("part"))))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -133,8 +156,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: i
 
     Null texts have size 0; null is a source of its own, last in order; documents of size 0
     follow their hash like all others and change no sum. The hash is of id and text: rows
-    with null or equal ids part by their texts, and rows that are equal in both are taken or left
-    together. A source without words has target 0 and contributes no copies. An empty
+    with null or equal ids part by their texts, and of rows that are equal in both as many are taken
+    as the target asks for. A source without words has target 0 and contributes no copies. An empty
     table gives an empty result. Columns of any name pass through inside doc.
     """
     rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("doc"))
@@ -144,7 +167,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: i
     cuts = source_cuts(small, weights, epochs).withColumnRenamed("source", "s")
     discard(small)
     joined = rows.select("doc", word_count(doc["text"]).alias("size"), hashed).join(cuts, F.col("s").eqNullSafe(doc["source"]))
-    return joined.select("doc", "size", "source_size", "target", copies(epochs).alias("copies"))
+    return with_copies(joined, cuts, epochs).select("doc", "size", "source_size", "target", "copies")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +176,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = materialize(small, "mix-sizes")
     cuts = source_cuts(small).withColumnRenamed("source", "s")
     joined = small.join(cuts, F.col("s").eqNullSafe(F.col("source")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return with_copies(joined, cuts).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-#: The same in DuckDB: here the threshold comes from sorting the 36-bit cells of each source.
+#: The same in DuckDB: here the threshold comes from sorting the hashes of each source.
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
@@ -170,15 +193,15 @@ v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
              / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, CASE WHEN level * w > cap THEN cap::DOUBLE
              ELSE (SELECT arg_min(x.level, (x.cap / x.w, x.r)) FROM v x WHERE NOT x.level * x.w > x.cap) * w END AS target FROM v),
-c AS (SELECT source, hash >> 24 AS cell, sum(size)::BIGINT AS tokens FROM d GROUP BY ALL),
-b AS (SELECT c.source, cell, tokens, sum(tokens) OVER (PARTITION BY c.source ORDER BY cell) AS upto,
+c AS (SELECT source, hash AS cell, sum(size)::BIGINT AS tokens, count(*) AS n FROM d GROUP BY ALL),
+b AS (SELECT c.source, cell, tokens, n, sum(tokens) OVER (PARTITION BY c.source ORDER BY cell) AS upto,
              CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE target END AS lef
       FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT source, min(cell) AS cell, arg_min(tokens, cell) AS tokens, arg_min(lef - (upto - tokens), cell) AS rest FROM b WHERE upto > lef GROUP BY source),
+k AS (SELECT source, min(cell) AS cell, arg_min(tokens, cell) AS tokens, arg_min(n, cell) AS n, arg_min(lef - (upto - tokens), cell) AS rest FROM b WHERE upto > lef GROUP BY source),
 x AS (SELECT t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
-             coalesce((k.cell + CASE WHEN k.tokens - k.rest < k.rest THEN 1 ELSE 0 END) << 24, 0) AS cut
+             coalesce(k.cell, 0) AS cut, coalesce(CAST(ceil(k.rest / (k.tokens / k.n) - 0.5e0) AS BIGINT), 0) AS part
       FROM t LEFT JOIN k ON t.source IS NOT DISTINCT FROM k.source)
 SELECT d.doc_id, d.size, x.source_size, x.target,
-       (d.size * least(x.whole + CASE WHEN d.hash < x.cut THEN 1 ELSE 0 END, 3))::BIGINT AS taken
-FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
+       (d.size * least(x.whole + CASE WHEN d.hash < x.cut OR d.hash = x.cut AND d.nr <= x.part THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY source, hash) AS nr FROM d) d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """

@@ -66,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its source's target asks for.
 
     Null is a source of its own. Documents without words are taken or left by their hash like
-    all others; rows equal in id and text go together. Columns of any name pass through.
+    all others; of rows equal in id and text as many go as the target asks for. Columns of any name pass through.
     """
     mixed = mixing.mix_sources(docs).filter("copies > 0")
     return mixed.select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")

@@ -69,6 +69,27 @@ def test_null_and_repeated_ids_part_by_their_texts(spark):
     assert len(got) == 3 and all(abs(r.n - r.t) <= 3 for r in got)
 
 
+def test_equal_rows_are_split_like_others(spark, tmp_path, monkeypatch):
+    """Of a source of rows equal in id and text as many are taken as come nearest; rows and SQL agree."""
+    import duckdb
+
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    rows = [(1, "a " * 40, "a")] * 1000 + [(k, "one two three", "b") for k in range(5000)] + [(9, "x", "c")] * 9 + [(None, None, "c")] * 3 + [(2, "p q r s", None)] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    frame.coalesce(1).write.parquet(f"{tmp_path}/w")
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got = mixing.op4_mix_sources(spark, str(tmp_path)).collect()
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duckdb.sql(mixing.OP4_SQL.strip()).fetchall()))
+    again = mixing.mix_sources(frame.withColumn("s", F.lit(1)).withColumn("_rank", F.lit("mine"))).collect()
+    assert sorted((r.size, r.target, r.copies * r.size) for r in again) == sorted((r.size, r.target, r.taken) for r in got)
+    for source in {r.doc.source for r in again}:
+        mine = [r for r in again if r.doc.source == source]
+        most = max(r.size for r in mine)
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= most / 2 + 1e-6 and len({r.copies for r in mine if r.size}) <= 2
+    assert len(again) == len(rows) and {r.doc._rank for r in again} == {"mine"}
+
+
 def test_word_count(spark):
     texts = ["", None, " ", "a", "a b", " a\t\tb\n\nc ", "a\x0bb\x0cc\rd", "é  ü ö", "x" * 9 + "   y", "  ", " a"]
     import re
