@@ -160,11 +160,22 @@ def line_length_m(points: Column) -> Column:
     return F.aggregate(pairs(points), F.lit(0.0), lambda s, p: s + haversine_m(p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"]))
 
 
+def steps(lon1: Column, lat1: Column, lon2: Column, lat2: Column, longest_m: float = 50.0) -> Column:
+    """Equal steps of at most ``longest_m`` that a segment is cut into; one at least."""
+    return F.greatest(F.ceil(haversine_m(lon1, lat1, lon2, lat2) / longest_m), F.lit(1)).cast("long")
+
+
+def subdivide(points: Column, most: int = 20) -> Column:
+    """The line as lines of at most ``most`` points each (two at least); neighbours share a point."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1)), F.lit(most - 1))
+    return F.transform(starts, lambda i: F.slice(points, i, F.lit(most)))
+
+
 def segmentize(points: Column, longest_m: float = 50.0) -> Column:
     """The line with points added so that no step is longer than ``longest_m``."""
 
     def counted(p: Column) -> Column:
-        n = F.greatest(F.ceil(haversine_m(p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"]) / longest_m), F.lit(1)).cast("int")
+        n = steps(p["a"]["lon"], p["a"]["lat"], p["b"]["lon"], p["b"]["lat"], longest_m).cast("int")
         return F.struct(p["a"].alias("a"), p["b"].alias("b"), n.alias("n"))
 
     def cut(p: Column) -> Column:
@@ -174,8 +185,8 @@ def segmentize(points: Column, longest_m: float = 50.0) -> Column:
         )
 
     # the number of parts is computed once a step, not once a part
-    steps = F.transform(pairs(points), counted)
-    return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(steps, cut)), F.slice(points, F.size(points), F.lit(1))))
+    counts = F.transform(pairs(points), counted)
+    return F.when(F.size(points) < 2, points).otherwise(F.concat(F.flatten(F.transform(counts, cut)), F.slice(points, F.size(points), F.lit(1))))
 
 
 def clip_from(points: Column, lon: Column, lat: Column) -> Column:

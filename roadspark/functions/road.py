@@ -57,6 +57,11 @@ SURFACES = {
     "gravel": 40.0, "unpaved": 40.0, "ground": 40.0, "dirt": 40.0, "pebblestone": 40.0, "tartan": 40.0, "cobblestone": 30.0, "clay": 30.0, "earth": 20.0, "stone": 20.0,
     "rocky": 20.0, "sand": 20.0, "mud": 10.0,
 }
+#: Agent type -> (priority, share of the allowed speed, own top km/h, share of the speed kept in turns, passes limits and traffic).
+AGENT_TYPES = {
+    "car_normal": (0, 0.92, None, 0.6, False), "car_patient": (0, 0.85, None, 0.7, False), "car_hurry": (0, 0.98, None, 0.5, False),
+    "emergency": (20, 1.0, 90.0, 0.7, True), "truck": (0, 0.90, 70.0, 0.5, False),
+}
 TRACKS = {"grade1": 60.0, "grade2": 40.0, "grade3": 30.0, "grade4": 25.0, "grade5": 20.0}
 SMOOTHNESS = {"intermediate": 80.0, "bad": 40.0, "very_bad": 20.0, "horrible": 10.0, "very_horrible": 5.0, "impassable": 0.0}
 SERVICE_SHARE = {"alley": 0.5, "parking": 0.5, "parking_aisle": 0.5, "driveway": 0.5, "drive-through": 0.5, "drive-thru": 0.5}
@@ -179,6 +184,18 @@ def driver_speed(limit: Column, mode: Column, margin: Column, cap: Column) -> Co
     return F.when(mode == "hurry", F.least(most, cap)).when(mode == "patient", F.least(most * 0.85, cap * 0.9)).otherwise(F.least(most * 0.92, cap))
 
 
+def agent_speed(agent_type: Column, limit: Column, margin: Column, ratio: Column) -> tuple[Column, Column]:
+    """(speed, speed in turns) of an agent type: its share of the limit under load and the margin, at most its own top speed.
+
+    Emergency agents are not slowed by load, and their top speed holds on slower streets too. Null for other types.
+    """
+    of = lambda k: pick(agent_type, {n: v[k] for n, v in AGENT_TYPES.items()}, None)
+    top, passes = pick(agent_type, {n: v[2] for n, v in AGENT_TYPES.items() if v[2] is not None}, None), of(4)
+    allowed = F.when(passes, limit).otherwise(effective_speed(limit, ratio)) + margin
+    target = F.when(passes, F.greatest(allowed, top)).otherwise(F.least(allowed, top)) * of(1)  # both skip nulls
+    return target, target * of(3)
+
+
 def turn_penalty(angle: Column, class_in: Column, speed_in: Column, speed_out: Column) -> Column:
     """Seconds that a manoeuvre takes beyond its arc at the speed of arrival.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspark.operators.scratch import settle
+
 
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
     """Upsert: of all rows with a key, the one with the largest version (new rows after old ones on ties)."""
@@ -29,6 +31,39 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def value_at(df: DataFrame, keys: list[str], value: str, share: float, most: int = 1 << 16, cells: int = 4096) -> DataFrame:
+    """(keys, n, value): of each group's n values in order, the one at place floor(share * n), counted from 0. Exact.
+
+    No group is gathered or sorted whole. A histogram between its least and greatest value shows the cell
+    of the wanted place; only that cell is cut again, until at most ``most`` rows are left in it or they are all
+    equal, and then its distinct values are put in order. Values that are null or not finite are
+    left out, groups without others too; null keys are a group of their own. ``df`` is read once a round and twice more.
+    """
+    v, group = F.col("_v"), Window.partitionBy(*keys)
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+    def inside(state: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for k, n in zip(keys, names):
+            state, on = state.withColumnRenamed(k, n), on & F.col(k).eqNullSafe(F.col(n))
+        return rows.join(state, on).filter(v.between(F.col("_lo"), F.col("_hi")))
+
+    state = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = state.select("*", F.least(F.floor(F.col("n") * share), F.col("n") - 1).cast("long").alias("_at"), F.col("n").alias("_m"))
+    state = settle(state, "places")
+    while not state.filter((F.col("_m") > most) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+        width = F.col("_hi") - F.col("_lo")
+        cell = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * cells), F.lit(cells - 1))).otherwise(0).alias("_cell")
+        counts = inside(state).groupBy(*keys, "n", "_at", cell).agg(F.count("*").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        counts = counts.withColumn("_upto", F.sum("_m").over(group.orderBy("_cell"))).filter("_upto > _at")
+        found = counts.groupBy(*keys).agg(F.min(F.struct("_cell", "n", "_lo", "_hi", "_at", "_m", "_upto")).alias("f"))
+        state = settle(found.select(*keys, "f.n", "f._lo", "f._hi", (F.col("f._at") - (F.col("f._upto") - F.col("f._m"))).alias("_at"), "f._m"), "places")
+    counts = inside(state).groupBy(*keys, "n", "_at", "_v").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(group.orderBy("_v"))).filter("_upto > _at")
+    return counts.groupBy(*keys).agg(F.max("n").alias("n"), F.min("_v").alias(value))
+
+
 def with_running_sums(df: DataFrame, order: str, values: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Adds, for each name, the sum of its value over all rows before this one in ``order``.
 

@@ -153,6 +153,29 @@ def latency(t: Tables) -> DataFrame:
     )
 
 
+@query("d15_load_test", """
+SELECT coalesce(method, 'all') AS method, coalesce(points, 0) AS points, count(*) AS n, round(avg(search_ms), 4) AS search_avg, round(list_sort(list(search_ms))[CAST(floor(0.95e0 * count(*)) AS BIGINT) + 1], 4) AS search_p95, round(max(search_ms), 4) AS search_max,
+       round(avg(net_ms), 4) AS net_avg, round(list_sort(list(net_ms))[CAST(floor(0.95e0 * count(*)) AS BIGINT) + 1], 4) AS net_p95, round(avg(iterations), 4) AS iterations_avg, round(avg(path_s), 4) AS path_s_avg, max(path_s) AS path_s_max, round(avg(path_m), 4) AS path_m_avg, max(path_m) AS path_m_max
+FROM (SELECT CASE event_id % 2 WHEN 0 THEN 'id' ELSE 'll' END AS method, num_waypoints AS points, duration_ms AS search_ms, duration_ms + (event_id % 17) / 4e0 AS net_ms, edges_found AS iterations, e_dist_km * 72e0 AS path_s, e_dist_km * 1e3 AS path_m FROM e_request WHERE success = 1) q
+GROUP BY CUBE (method, points)""")
+def load_test(t: Tables) -> DataFrame:
+    """Search, network, iterations, path time and distance of requests that succeeded: by method and stops, by each alone, and over all."""
+    q = t.e_request.filter("success = 1").select(
+        F.when(c("event_id") % 2 == 0, "id").otherwise("ll").alias("method"), c("num_waypoints").alias("points"), c("duration_ms").alias("search_ms"), (c("duration_ms") + (c("event_id") % 17) / 4.0).alias("net_ms"),
+        c("edges_found").alias("iterations"), (c("e_dist_km") * 72.0).alias("path_s"), (c("e_dist_km") * 1e3).alias("path_m"))
+    every, none = q.cube("method", "points"), (F.coalesce("method", F.lit("all")).alias("method"), F.coalesce("points", F.lit(0)).alias("points"))
+    mean, most = (lambda k: F.round(F.avg(k), 4)), (lambda k: F.round(F.max(k), 4))
+    stats = every.agg(
+        F.count("*").alias("n"), mean("search_ms").alias("search_avg"), most("search_ms").alias("search_max"), mean("net_ms").alias("net_avg"), mean("iterations").alias("iterations_avg"),
+        mean("path_s").alias("path_s_avg"), F.max("path_s").alias("path_s_max"), mean("path_m").alias("path_m_avg"), F.max("path_m").alias("path_m_max")).select(*none, *["n", "search_avg", "search_max", "net_avg", "iterations_avg", "path_s_avg", "path_s_max", "path_m_avg", "path_m_max"])
+    # the 95 % places of both latencies in all the groups together
+    sets = F.explode(F.array(*[F.struct(m.alias("method"), p.alias("points")) for m in (c("method"), F.lit("all")) for p in (c("points"), F.lit(0).cast("long"))]))
+    both = q.select(sets.alias("g"), F.explode(F.create_map(F.lit("search_p95"), c("search_ms"), F.lit("net_p95"), c("net_ms"))).alias("what", "ms")).select("g.*", "what", "ms")
+    places = tables.value_at(both, ["method", "points", "what"], "ms", 0.95)
+    places = places.groupBy("method", "points").pivot("what", ["search_p95", "net_p95"]).agg(F.round(F.first("ms"), 4))
+    return stats.join(places, ["method", "points"])
+
+
 @query("d16_success_heatmap", """
 SELECT k, round(avg(success) FILTER (num_waypoints = 2), 6) AS wp2, round(avg(success) FILTER (num_waypoints = 3), 6) AS wp3, round(avg(success) FILTER (num_waypoints = 4), 6) AS wp4, round(avg(success) FILTER (num_waypoints = 5), 6) AS wp5 FROM e_request GROUP BY k""")
 def heatmap(t: Tables) -> DataFrame:

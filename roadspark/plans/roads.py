@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import geo, road
+from roadspark.operators import mapping
 from roadspark.plans.registry import query
 from roadspark.sources.fixtures import Tables
 
@@ -226,6 +227,27 @@ def drivers(t: Tables) -> DataFrame:
     )
 
 
+AGENTS = list(road.AGENT_TYPES)
+_AGENTS = ", ".join(f"({i}, '{k}', {p}, {share}e0, {'NULL' if top is None else top}, {turn}e0, {passes})" for i, (k, (p, share, top, turn, passes)) in enumerate(road.AGENT_TYPES.items()))
+
+
+@query("b25_agent_speed", f"""
+WITH y(i, agent_type, priority, share, top, turn, passes) AS (VALUES {_AGENTS}),
+ q AS (SELECT event_id, user_id % 5 AS i, CASE event_id % 4 WHEN 0 THEN 40e0 WHEN 1 THEN 60e0 WHEN 2 THEN 90e0 ELSE 110e0 END AS kmh, (event_id % 13) / 10e0 AS ratio, event_id % 3 AS region FROM events),
+ a AS (SELECT q.*, y.*, CASE WHEN passes OR ratio < 0.5e0 THEN kmh WHEN ratio < 1 THEN greatest(5e0, kmh * (1e0 - 0.7e0 * power(ratio, 1.5e0))) ELSE greatest(5e0, kmh * 0.1e0) END + CASE region WHEN 0 THEN 19e0 WHEN 1 THEN 9e0 ELSE kmh * 0.1e0 END AS allowed FROM q JOIN y ON y.i = q.i)
+SELECT event_id, agent_type, CASE WHEN priority >= 20 THEN 'emergency' WHEN priority >= 10 THEN 'public' ELSE 'normal' END AS band,
+       round(CASE WHEN passes THEN greatest(allowed, top) ELSE least(allowed, top) END * share, 6) AS target_kmh, round(CASE WHEN passes THEN greatest(allowed, top) ELSE least(allowed, top) END * share * turn, 6) AS turn_kmh FROM a""")
+def agents(t: Tables) -> DataFrame:
+    """Target speeds by agent type, with margins by region, under load."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in AGENTS]), (c("user_id") % len(AGENTS) + 1).cast("int"))
+    kmh = F.element_at(F.array(*[F.lit(v) for v in (40.0, 60.0, 90.0, 110.0)]), (c("event_id") % 4 + 1).cast("int"))
+    e = t.events.select("event_id", kind.alias("agent_type"), kmh.alias("kmh"), ((c("event_id") % 13) / 10.0).alias("ratio"), (c("event_id") % 3).alias("region"))
+    margin = F.when(c("region") == 0, 19.0).when(c("region") == 1, 9.0).otherwise(c("kmh") * 0.1)
+    target, turn = road.agent_speed(c("agent_type"), c("kmh"), margin, c("ratio"))
+    priority = road.pick(c("agent_type"), {k: v[0] for k, v in road.AGENT_TYPES.items()}, 0)
+    return e.select("event_id", "agent_type", road.priority_band(priority).alias("band"), F.round(target, 6).alias("target_kmh"), F.round(turn, 6).alias("turn_kmh"))
+
+
 @query("b27_g03_legal_directions", "SELECT edge_id, s, t, w FROM g_arc")
 def arcs(t: Tables) -> DataFrame:
     """Directed arcs: forward where cost > 0, backward where reverse_cost > 0."""
@@ -252,8 +274,6 @@ _HAV = "6371000e0 * 2e0 * asin(sqrt(power(sin(radians(y2 - y1) / 2e0), 2e0) + co
 
 def hops(t: Tables) -> DataFrame:
     """Neighbouring vertices of ways."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("way_id").orderBy("seq")
     return t.w_vertex.select("way_id", "seq", c("lon").alias("x1"), c("lat").alias("y1"), F.lead("lon").over(w).alias("x2"), F.lead("lat").over(w).alias("y2")).filter("x2 IS NOT NULL")
 
@@ -311,15 +331,26 @@ WITH l AS (SELECT way_id, count(*) AS n, round(arg_min(lon, seq), 6) AS first_lo
      m AS (SELECT way_id, sum({_HAV}) AS len, sum(greatest(ceil({_HAV} / 50e0), 1)) AS parts FROM {_HOPS} GROUP BY way_id)
 SELECT l.*, round(coalesce(m.len, 0), 3) AS length_m, CAST(coalesce(m.parts, 0) + 1 AS BIGINT) AS n_segmentized FROM l LEFT JOIN m ON m.way_id = l.way_id""")
 def line_functions(t: Tables) -> DataFrame:
-    line = c("line")
-    mean = lambda k: F.aggregate(line, F.lit(0.0), lambda s, p: s + p[k]) / F.size(line)
-    return lines(t).select(
-        "way_id", F.size(line).cast("long").alias("n"), F.round(F.element_at(line, 1)["lon"], 6).alias("first_lon"), F.round(F.element_at(line, -1)["lon"], 6).alias("last_lon"),
-        F.round(mean("lon"), 6).alias("mid_lon"), F.round(mean("lat"), 6).alias("mid_lat"), F.round(F.element_at(F.reverse(line), 1)["lat"], 6).alias("reversed_first_lat"),
-        F.round(geo.line_length_m(line), 3).alias("length_m"), F.size(geo.segmentize(line)).cast("long").alias("n_segmentized"),
+    """Ends, means, length and points at steps of 50 m: one window and one aggregate over the vertices, dealt by way once. The array forms are in functions/geo.py."""
+    along = Window.partitionBy("way_id").orderBy("seq")
+    v = t.w_vertex.select("way_id", "seq", "lon", "lat", F.lead("lon").over(along).alias("x"), F.lead("lat").over(along).alias("y"))
+    hop = lambda f: F.coalesce(F.sum(F.when(c("x").isNotNull(), f(c("lon"), c("lat"), c("x"), c("y")))), F.lit(0))
+    return v.groupBy("way_id").agg(
+        F.count("*").alias("n"), F.round(F.min_by("lon", "seq"), 6).alias("first_lon"), F.round(F.max_by("lon", "seq"), 6).alias("last_lon"), F.round(F.avg("lon"), 6).alias("mid_lon"), F.round(F.avg("lat"), 6).alias("mid_lat"),
+        F.round(F.max_by("lat", "seq"), 6).alias("reversed_first_lat"), F.round(hop(geo.haversine_m), 3).alias("length_m"), (hop(geo.steps) + 1).cast("long").alias("n_segmentized"),
     )
 
 
+@query("h14_line_parts", f"""
+WITH h AS (SELECT way_id, x1, y1, x2, y2, n, CAST(sum(n) OVER (PARTITION BY way_id ORDER BY seq) - n AS BIGINT) AS before FROM (SELECT h.*, CAST(greatest(ceil({_HAV} / 50e0), 1) AS BIGINT) AS n FROM {_HOPS}) q),
+ p AS (SELECT way_id, total, unnest(range(0, total, 19)) AS i FROM (SELECT way_id, CAST(sum(n) AS BIGINT) AS total FROM h GROUP BY way_id) s)
+SELECT p.way_id, i // 19 AS part, least(20, total - i + 1) AS n_points, round(x1 + (x2 - x1) * ((i - before) / CAST(n AS DOUBLE)) + 1e-9, 6) AS lon, round(y1 + (y2 - y1) * ((i - before) / CAST(n AS DOUBLE)) + 1e-9, 6) AS lat
+FROM p JOIN h ON h.way_id = p.way_id AND i >= before AND i < before + n""")
+def parts_of_lines(t: Tables) -> DataFrame:
+    """Lines at steps of 50 m, in parts of at most 20 points. On a lattice many points lie half-way between two last digits; a billionth moves them off."""
+    return mapping.line_parts(hops(t)).select("way_id", "part", "n_points", F.round(c("lon") + 1e-9, 6).alias("lon"), F.round(c("lat") + 1e-9, 6).alias("lat"))
+
+
 @query("h31_wkt", "SELECT way_id, count(*) AS n, count(*) AS n_read, round(min(lon), 6) AS min_lon FROM w_vertex GROUP BY way_id")
 def wkt(t: Tables) -> DataFrame:
     back = lines(t).select("way_id", F.size("line").cast("long").alias("n"), geo.wkt_line(geo.line_wkt(c("line"))).alias("read"))

@@ -78,3 +78,10 @@ def test_driver_speed(spark, mode, cap, want):
 def test_ranks_and_road_table(spark):
     assert [value(spark, road.importance(L(k))) for k in ("unclassified", "residential", "track", "path", "footway", "motorway_link")] == [5, 4, 2, 1, 1, 0]
     assert road.ROAD_DEFAULTS["motorway"][1] == 2 and road.ROAD_DEFAULTS["tertiary"][0] == 50 and len(road.ROAD_DEFAULTS) == 14
+
+
+@pytest.mark.parametrize("kind,limit,ratio,want", [
+    ("car_normal", 60.0, 0.0, 79 * 0.92), ("truck", 90.0, 0.2, 63.0), ("truck", 40.0, 0.2, 59 * 0.9), ("emergency", 40.0, 2.0, 90.0), ("emergency", 110.0, 0.0, 129.0), ("car_hurry", 60.0, 1.5, 25 * 0.98), ("tram", 60.0, 0.0, None)])
+def test_agent_speed(spark, kind, limit, ratio, want):
+    got = value(spark, road.agent_speed(L(kind), L(limit), L(19.0), L(ratio))[0])
+    assert got == (None if want is None else pytest.approx(want))
