@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from roadspark.operators.scratch import settle
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Partitions for a table, so that about ``rows`` rows are in each however large it is. The table is counted."""
+    return max(1, -(-df.count() // rows))
+
+
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
     """Upsert: of all rows with a key, the one with the largest version (new rows after old ones on ties)."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import geo, road
-from roadspark.operators import graph
+from roadspark.operators import graph, tables
 from roadspark.plans.registry import query
 from roadspark.plans.roads import arcs, costed
 from roadspark.sources.fixtures import Tables
@@ -249,17 +249,20 @@ SELECT event_id, edge_id, round(t, 4) AS share, CASE WHEN t <= 0.5e0 THEN source
   SELECT f.event_id, f.lon, f.lat, e.*, cos(radians(f.lat)) AS kx, least(1e0, greatest(0e0, ((f.lon - ax) * cos(radians(f.lat)) * (bx - ax) * cos(radians(f.lat)) + (f.lat - ay) * (b_y - ay)) / (power((bx - ax) * cos(radians(f.lat)), 2e0) + power(b_y - ay, 2e0)))) AS t
   FROM {_FIX} f JOIN g_cost e ON least(ax, bx) <= f.lon + 3e-3 AND greatest(ax, bx) >= f.lon - 3e-3 AND least(ay, b_y) <= f.lat + 3e-3 AND greatest(ay, b_y) >= f.lat - 3e-3) q) s WHERE r = 1""")
 def nearest_edge(t: Tables) -> DataFrame:
-    """Nearest street of a fix within the cells around it, share along it, and the nearer end."""
-    size = 3e-3
+    """Nearest street of a fix within the box around it, share along it, and the nearer end.
+
+    Streets are listed in every cell from which their box is near, so a fix looks into its own cell only and is dealt once.
+    """
+    size, pad = 3e-3, 3e-3
     f = t.e_fix.select("event_id", (c("lon") + 7e-4).alias("px"), (c("lat") + 3e-4).alias("py"))
     span = lambda lo, hi: F.explode(F.sequence(geo.cell(lo, size), geo.cell(hi, size)))
     e = costed(t).select("edge_id", "source_id", "target_id", "ax", "ay", "bx", "b_y")
-    e = e.withColumn("cx", span(F.least("ax", "bx"), F.greatest("ax", "bx"))).withColumn("cy", span(F.least("ay", "b_y"), F.greatest("ay", "b_y")))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    f = f.withColumn("cx", F.explode(F.transform(near, lambda d: geo.cell(c("px"), size) + d))).withColumn("cy", F.explode(F.transform(near, lambda d: geo.cell(c("py"), size) + d)))
-    pad = 3e-3
+    far = pad + 1e-9  # the exact test follows
+    e = e.withColumn("cx", span(F.least("ax", "bx") - far, F.greatest("ax", "bx") + far)).withColumn("cy", span(F.least("ay", "b_y") - far, F.greatest("ay", "b_y") + far))
+    n = tables.tasks_for(t.events, 20_000)
+    f = f.withColumns({"cx": geo.cell(c("px"), size), "cy": geo.cell(c("py"), size)}).repartition(n, "cx", "cy")
     near_box = geo.boxes_meet((F.least("ax", "bx"), F.least("ay", "b_y"), F.greatest("ax", "bx"), F.greatest("ay", "b_y")), (c("px") - pad, c("py") - pad, c("px") + pad, c("py") + pad))
-    j = f.join(e, ["cx", "cy"]).filter(near_box)
+    j = f.join(e.repartition(n, "cx", "cy").hint("merge"), ["cx", "cy"]).filter(near_box)
     p = [c(k) for k in ("px", "py", "ax", "ay", "bx", "b_y")]
     key = F.round(F.pow(geo.segment_distance_deg(*p), 2.0), 14)
     best = j.groupBy("event_id").agg(F.min(F.struct(key.alias("k"), c("edge_id"), geo.project_share(*p).alias("t"), c("source_id"), c("target_id"))).alias("b"))

@@ -1,6 +1,12 @@
 """What must not grow with the input: rounds of a search, slots of a leg, copies of a fix, rows of a task."""
 
 from roadspark.operators import traffic
+from roadspark.plans import network
+from roadspark.sources.fixtures import Tables
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_a_leg_of_any_length_meets_two_slots(spark):
@@ -8,3 +14,7 @@ def test_a_leg_of_any_length_meets_two_slots(spark):
     at = spark.createDataFrame([(0,), (699,), (700,), (10**13 - 1,), (10**13,)], "at long")
     got = {(r.route_id, r.at): r.seq for r in traffic.positions_at(legs, at, 500).collect()}
     assert got == {(1, 0): 0, (1, 699): 0, (1, 700): 1, (1, 10**13 - 1): 1}
+
+
+def test_a_fix_is_dealt_once(spark, sf):
+    assert _plan(network.nearest_edge(Tables(spark, sf))).count("Generate explode") == 2  # the streets' two
