@@ -315,7 +315,10 @@ def crossings(t: Tables) -> DataFrame:
     s = s.withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "b_y"))
     a = s.select("z", "cx", "cy", *[c(k).alias(f"{k}1") for k in ("edge_id", "ax", "ay", "bx", "b_y")])
     b = s.select("z", "cx", "cy", *[c(k).alias(f"{k}2") for k in ("edge_id", "ax", "ay", "bx", "b_y")])
-    j = a.join(b, ["z", "cx", "cy"]).filter("edge_id1 < edge_id2").dropDuplicates(["edge_id1", "edge_id2"])
+    # boxes that meet share the cell where their common box begins; there a pair is taken, once
+    least = lambda v, w, k: F.least(c(f"{v}{k}"), c(f"{w}{k}"))
+    first = lambda v, w: geo.cell(F.greatest(least(v, w, 1), least(v, w, 2)), size)
+    j = a.join(b, ["z", "cx", "cy"]).filter("edge_id1 < edge_id2").filter((c("cx") == first("ax", "bx")) & (c("cy") == first("ay", "b_y")))
     dx1, dy1, dx2, dy2 = c("bx1") - c("ax1"), c("b_y1") - c("ay1"), c("bx2") - c("ax2"), c("b_y2") - c("ay2")
     det = dx1 * dy2 - dy1 * dx2
     ox, oy = c("ax2") - c("ax1"), c("ay2") - c("ay1")

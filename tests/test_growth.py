@@ -1,7 +1,7 @@
 """What must not grow with the input: rounds of a search, slots of a leg, copies of a fix, rows of a task."""
 
 from roadspark.operators import tables, traffic
-from roadspark.plans import analytics, network
+from roadspark.plans import analytics, mobility, network
 from roadspark.sources.fixtures import Tables
 
 
@@ -34,3 +34,9 @@ def test_routes_that_share_nothing_are_not_paired(spark, monkeypatch):
     monkeypatch.setattr(analytics, "route_edges", lambda t: edges)
     got = {r.request_id: tuple(r)[1:] for r in analytics.jaccard(None).collect()}
     assert got == {1: (3, 0.166667, 0.0, 0.5), 2: (1, 1.0, 1.0, 1.0), 3: (2, 1.0, 1.0, 1.0)}
+
+
+def test_pairs_of_crossing_streets_are_found_once_without_an_aggregate(spark, sf):
+    x = mobility.crossings(Tables(spark, sf))
+    assert "Aggregate" not in _plan(x)
+    assert x.groupBy("e1", "e2").count().filter("count > 1").isEmpty()
