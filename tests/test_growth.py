@@ -1,7 +1,7 @@
 """What must not grow with the input: rounds of a search, slots of a leg, copies of a fix, rows of a task."""
 
 from roadspark.operators import tables, traffic
-from roadspark.plans import analytics, mobility, network
+from roadspark.plans import analytics, mapping, mobility, network
 from roadspark.sources.fixtures import Tables
 
 
@@ -40,3 +40,18 @@ def test_pairs_of_crossing_streets_are_found_once_without_an_aggregate(spark, sf
     x = mobility.crossings(Tables(spark, sf))
     assert "Aggregate" not in _plan(x)
     assert x.groupBy("e1", "e2").count().filter("count > 1").isEmpty()
+
+
+def test_points_of_tile_parts_are_not_looked_up_by_place(spark, sf):
+    assert "get(" not in _plan(mapping.feature_rows(Tables(spark, sf)))
+
+
+def test_repeated_points_leave_one_and_tall_lines_reach_their_tiles(spark):
+    lines = [(1, 1, 0.0, 0.0), (1, 2, 0.00001, 0.0), (1, 3, 0.02, 0.0), (1, 4, 0.02, 0.0), (2, 1, 0.01, 0.01), (2, 2, 0.0100001, 0.01), (3, 1, 0.05, 60.0), (3, 2, 0.05, 62.0)]
+    points = spark.createDataFrame([(*p, 1) for p in lines], "way_id long, seq long, lon double, lat double, importance int")
+    zooms = spark.createDataFrame([(10, k) for k in (1, 2, 3)], "zoom long, way_id long")
+    got = mapping.mapping.tile_parts(points, zooms).collect()
+    assert {r.points for r in got if r.way_id == 1 and r.y == 512 and r.x == 512} == {"0,0 233,0"}
+    assert not [r for r in got if r.way_id == 2]
+    high = sorted(r.y for r in got if r.way_id == 3)
+    assert high == list(range(high[0], high[0] + len(high))) and len(high) > 10
