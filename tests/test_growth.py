@@ -1,6 +1,8 @@
 """What must not grow with the input: rounds of a search, slots of a leg, copies of a fix, rows of a task."""
 
-from roadspark.operators import tables, traffic
+from pyspark.sql import functions as F
+
+from roadspark.operators import search, tables, traffic
 from roadspark.plans import analytics, mapping, mobility, network
 from roadspark.sources.fixtures import Tables
 
@@ -55,3 +57,13 @@ def test_repeated_points_leave_one_and_tall_lines_reach_their_tiles(spark):
     assert not [r for r in got if r.way_id == 2]
     high = sorted(r.y for r in got if r.way_id == 3)
     assert high == list(range(high[0], high[0] + len(high))) and len(high) > 10
+
+
+def test_rounds_of_a_search_do_not_grow_with_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELL_NODES", 8)
+    arcs = spark.range(256).select(F.col("id").alias("s"), (F.col("id") + 1).alias("t"), F.lit(1).alias("w"))
+    seen = []
+    got = search.search(search.prepare(arcs), spark.createDataFrame([(0, 0)], "src long, node long"), seen=seen)
+    assert len(seen) <= search.CELLS + 1
+    assert got.agg(F.count("*"), F.sum("g")).first() == (257, 256 * 257 // 2)
+    assert search.cell_size(10**9) == search.MOST_NODES
