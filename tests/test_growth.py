@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from roadspark.operators import search, tables, traffic
+from roadspark.operators import alternatives, search, tables, traffic
 from roadspark.plans import analytics, mapping, mobility, network
 from roadspark.sources.fixtures import Tables
 
@@ -67,3 +67,14 @@ def test_rounds_of_a_search_do_not_grow_with_the_graph(spark, monkeypatch):
     assert len(seen) <= search.CELLS + 1
     assert got.agg(F.count("*"), F.sum("g")).first() == (257, 256 * 257 // 2)
     assert search.cell_size(10**9) == search.MOST_NODES
+
+
+def test_alternatives_are_cut_by_their_own_answer(spark, monkeypatch):
+    goals = []
+    whole = alternatives.search
+    monkeypatch.setattr(alternatives, "search", lambda *a, **k: goals.append(k["goals"].count()) or whole(*a, **k))
+    arcs = spark.createDataFrame([(1, 2, 1), (2, 4, 1), (1, 3, 2), (3, 4, 2), (4, 5, 1)], "s long, t long, w long")
+    asked = spark.createDataFrame([(7, 1, 4), (8, 4, 1), (9, None, 4)], "request_id long, src long, dst long")
+    got = alternatives.k_routes(arcs, asked, 2, factor=5).orderBy("request_id", "route", F.desc("hop")).select("request_id", "route", "s", "t").collect()
+    assert [tuple(r) for r in got] == [(7, 0, 1, 2), (7, 0, 2, 4), (7, 1, 1, 3), (7, 1, 3, 4)]
+    assert goals[0] == 2
