@@ -190,7 +190,8 @@ def ways_in_tiles(t: Tables) -> DataFrame:
     span = lambda lo, hi: F.explode(F.sequence(geo.cell(lo, coarse), geo.cell(hi, coarse)))
     edge = 1e-9  # touching counts
     z = z.withColumn("cx", span(c("zx") * size - edge, (c("zx") + 1) * size + edge)).withColumn("cy", span(c("zy") * size - edge, (c("zy") + 1) * size + edge))
-    b = t.w_box.withColumn("cx", span(c("min_lon"), c("max_lon"))).withColumn("cy", span(c("min_lat"), c("max_lat")))
+    b = t.w_box.repartition(tables.tasks_for(t.orders, 20_000), "way_id")  # boxes are small, but give many rows
+    b = b.withColumn("cx", span(c("min_lon"), c("max_lon"))).withColumn("cy", span(c("min_lat"), c("max_lat")))
     tiles = z.groupBy("cx", "cy").agg(F.collect_list(F.struct("zx", "zy")).alias("tiles"))  # at most 49 a coarse cell
     met = F.exists("tiles", lambda k: (c("min_lon") <= (k["zx"] + 1) * size) & (c("max_lon") >= k["zx"] * size) & (c("min_lat") <= (k["zy"] + 1) * size) & (c("max_lat") >= k["zy"] * size))
     return b.join(tiles, ["cx", "cy"]).filter(met).select("way_id").distinct()

@@ -78,3 +78,7 @@ def test_alternatives_are_cut_by_their_own_answer(spark, monkeypatch):
     got = alternatives.k_routes(arcs, asked, 2, factor=5).orderBy("request_id", "route", F.desc("hop")).select("request_id", "route", "s", "t").collect()
     assert [tuple(r) for r in got] == [(7, 0, 1, 2), (7, 0, 2, 4), (7, 1, 1, 3), (7, 1, 3, 4)]
     assert goals[0] == 2
+
+
+def test_boxes_of_ways_are_dealt_before_they_are_written_out_by_cells(spark, sf):
+    assert "RepartitionByExpression [way_id" in _plan(mobility.ways_in_tiles(Tables(spark, sf)))
