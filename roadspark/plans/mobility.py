@@ -304,6 +304,10 @@ def noded(w: DataFrame) -> DataFrame:
 _DIAG = "(SELECT edge_id, z_layer AS z, ax, ay, bx + (edge_id % 3) * 1e-3 AS bx, b_y + (edge_id % 5) * 1e-3 AS b_y FROM g_cost)"
 
 
+#: Junctions whose streets a task nodes.
+NODES_A_TASK = 5_000
+
+
 @query("i01_crossings", f"""
 SELECT e1, e2, round(t, 6) AS t, round(u, 6) AS u FROM (SELECT a.edge_id AS e1, b.edge_id AS e2, ((b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / det AS t, ((b.ax - a.ax) * (a.b_y - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / det AS u
  FROM {_DIAG} a JOIN {_DIAG} b ON a.z = b.z AND a.edge_id < b.edge_id AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND greatest(a.ax, a.bx) >= least(b.ax, b.bx) AND least(a.ay, a.b_y) <= greatest(b.ay, b.b_y) AND greatest(a.ay, a.b_y) >= least(b.ay, b.b_y),
@@ -313,7 +317,7 @@ def crossings(t: Tables) -> DataFrame:
     size = 2e-3
     s = costed(t).select("edge_id", c("z_layer").alias("z"), "ax", "ay", (c("bx") + (c("edge_id") % 3) * 1e-3).alias("bx"), (c("b_y") + (c("edge_id") % 5) * 1e-3).alias("b_y"))
     span = lambda a, b: F.explode(F.sequence(geo.cell(F.least(a, b), size), geo.cell(F.greatest(a, b), size)))
-    s = s.withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "b_y"))
+    s = s.withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "b_y")).repartition(tables.tasks_for(t.part, NODES_A_TASK), "z", "cx", "cy")
     a = s.select("z", "cx", "cy", *[c(k).alias(f"{k}1") for k in ("edge_id", "ax", "ay", "bx", "b_y")])
     b = s.select("z", "cx", "cy", *[c(k).alias(f"{k}2") for k in ("edge_id", "ax", "ay", "bx", "b_y")])
     # boxes that meet share the cell where their common box begins; there a pair is taken, once
@@ -337,7 +341,7 @@ def crossing_pieces(t: Tables) -> DataFrame:
     """Noding (b) as rows: the pieces of every street between its crossings, as shares along it; the street's id stays on them."""
     x = crossings(t)
     cuts = x.select(c("e1").alias("edge_id"), c("t").alias("share")).union(x.select("e2", "u"))
-    cuts = cuts.union(t.g_edge.select("edge_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))))).distinct()
+    cuts = cuts.union(t.g_edge.select("edge_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))))).repartition(tables.tasks_for(t.part, NODES_A_TASK), "edge_id").distinct()
     upto = F.lead("share").over(Window.partitionBy("edge_id").orderBy("share"))
     return cuts.select("edge_id", c("share").alias("from_share"), upto.alias("to_share")).filter("to_share IS NOT NULL")
 
