@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from roadspark.llm import common as C
 from roadspark.llm.components import components
+from roadspark.operators.scratch import release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -382,24 +383,27 @@ def linked_parts(found: DataFrame, links: DataFrame, sets: DataFrame, reps: Data
     named = C.materialize(ends.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part")), "named")
     part_of = lambda end: named.select(F.col("rep").alias(end), F.col("part").alias(f"part_{end}"))
     torn = found.join(part_of("a"), "a").join(part_of("b"), "b").filter("part_a <> part_b")
-    open_ = torn.select(F.col("part_a").alias("part")).union(torn.select("part_b")).distinct()
+    open_ = C.materialize(torn.select(F.explode(F.array("part_a", "part_b")).alias("part")).distinct(), "open")
+    if open_.isEmpty():
+        C.discard(open_, parts)
+        return named.select("rep", F.col("part").alias("component"))
     docs = named.join(open_, "part", "left_semi").join(reps.select("rep", "n_shingles", "sketch"), "rep").join(sets, "rep")
     docs = C.materialize(docs.select("rep", "part", "n_shingles", "sketch", "shingles"), "torn")
-    if docs.isEmpty():
-        return named.select("rep", F.col("part").alias("component"))
     pairs = cross_pairs(rare_prefixes(docs, rarity(docs)))
     fresh = pairs.join(found.filter(~F.col("weak")).select("a", "b"), ["a", "b"], "left_anti")
     hidden = confirm(fresh, docs.select("rep", "shingles")).filter("linked").join(part_of("a"), "a").join(part_of("b"), "b")
     hidden = C.materialize(hidden.select(F.col("part_a").alias("u"), F.col("part_b").alias("v")).distinct(), "hidden")
     joined = components(hidden) if not hidden.isEmpty() else hidden.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = C.materialize(named.join(joined.withColumnRenamed("node", "part"), "part", "left").select("rep", F.coalesce("component", "part").alias("component")), "labels")
-    C.discard(parts, named, docs, hidden)
+    C.discard(open_, parts, named, docs, hidden)
     return out
 
 
 def links_of_ids(usable: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v): links between the classes of ids that have several texts."""
-    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("k2")).filter("k <> k2").select("doc_id")
+    several = C.materialize(usable.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("k2")).filter("k <> k2").select("doc_id"), "several")
+    if several.isEmpty():  # as a rule; nothing else is planned then
+        return reps.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
     own = usable.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     head = own.groupBy("doc_id").agg(F.min("rep").alias("v"))
     return own.join(head, "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v")
@@ -427,17 +431,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "block", "rep", "head", "split", "n_shingles", "sketch")
     found = C.materialize(candidate_pairs(members.repartition("key", "block").sortWithinPartitions("key", "block", "rep")).groupBy("a", "b").agg(F.min("weak").alias("weak")), "pairs")
     same_id = C.materialize(links_of_ids(usable, reps), "id-links")
+    release(docs.sparkSession)
     grouped = reps.select("set_key", F.col("doc_id").alias("component_id"))
     if not found.isEmpty() or not same_id.isEmpty():
         wanted = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct().join(reps.select("rep", "doc_id", "set_key"), "rep")
         sets = C.materialize(full_sets(docs, wanted), "sets")
         links = confirm(found.filter(~F.col("weak")).select("a", "b"), sets).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = C.materialize(links.union(same_id), "links")
+        release(docs.sparkSession)
         labels = linked_parts(found, links, sets, reps)
         named = reps.select("set_key", "doc_id", "rep").join(labels, "rep", "left")
         least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
         grouped = C.materialize(named.join(least, "component", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id")), "groups")
         C.discard(sets, links)
+        release(docs.sparkSession)
     C.discard(found, same_id)
     # a row without a set keeps a null key here and stands for itself
     out = signed.withColumn("_key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")))

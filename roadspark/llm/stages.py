@@ -53,7 +53,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id cannot be linked and all stay; those without words are linked with
     nothing. Of several rows with one id, the one with the least text stays (of equal texts, the one with the least hash of its columns).
     """
-    keep = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = materialize(near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     release(spark)
     known = docs.filter(F.col("doc_id").isNotNull())
     stay = known.join(keep.hint("merge"), known.doc_id == F.col("_kept"), "left_semi")
