@@ -27,13 +27,18 @@ from roadspark.operators.scratch import forget, settle
 STEPS = 3
 
 
+def _table(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph: dealt by key, never sent whole through the driver, however small its file."""
+    return df.hint("merge")
+
+
 def _jump(hooks: DataFrame) -> DataFrame:
     """Hooks (node, up) followed to their ends."""
     while True:
         up = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        twice = hooks.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+        twice = hooks.join(_table(up), "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
         again = twice.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("moved").alias("more"))
-        after = settle(twice.join(again, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.coalesce("more", F.lit(False)).alias("moved")), "hooks")
+        after = settle(twice.join(_table(again), "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.coalesce("more", F.lit(False)).alias("moved")), "hooks")
         forget(hooks)
         hooks = after.select("node", "up")
         if after.filter("moved").isEmpty():  # no end has moved on, so all are ends
@@ -41,20 +46,20 @@ def _jump(hooks: DataFrame) -> DataFrame:
 
 
 def _relabel(links: DataFrame, hooks: DataFrame) -> DataFrame:
-    a = links.join(hooks.select(F.col("node").alias("s"), F.col("up").alias("us")), "s", "left").select(F.coalesce("us", "s").alias("s"), "t")
-    b = a.join(hooks.select(F.col("node").alias("t"), F.col("up").alias("ut")), "t", "left").select("s", F.coalesce("ut", "t").alias("t"))
+    a = links.join(_table(hooks.select(F.col("node").alias("s"), F.col("up").alias("us"))), "s", "left").select(F.coalesce("us", "s").alias("s"), "t")
+    b = a.join(_table(hooks.select(F.col("node").alias("t"), F.col("up").alias("ut"))), "t", "left").select("s", F.coalesce("ut", "t").alias("t"))
     return b.filter("s <> t").distinct()
 
 
 def _without(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Arcs that touch none of ``nodes`` (node)."""
-    return links.join(nodes.select(F.col("node").alias("s")), "s", "left_anti").join(nodes.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t")
+    return links.join(_table(nodes.select(F.col("node").alias("s"))), "s", "left_anti").join(_table(nodes.select(F.col("node").alias("t"))), "t", "left_anti").select("s", "t")
 
 
 def _mutual(links: DataFrame) -> DataFrame:
     """(node, up): each node's least neighbour with arcs both ways, if that is less than the node."""
     back = links.filter("s < t").select(F.col("s").alias("t"), F.col("t").alias("s"))
-    return links.filter("s > t").join(back, ["s", "t"]).groupBy("s").agg(F.min("t").alias("up")).select(F.col("s").alias("node"), "up")
+    return links.filter("s > t").join(_table(back), ["s", "t"]).groupBy("s").agg(F.min("t").alias("up")).select(F.col("s").alias("node"), "up")
 
 
 def _degrees(links: DataFrame) -> DataFrame:
@@ -67,8 +72,8 @@ def _bypassed(degrees: DataFrame) -> DataFrame:
     """(node, before, behind) of nodes with one arc in and one out whose hash is the least among neighbours of that kind."""
     through = degrees.filter("into = 1 AND out = 1").select("node", "before", "behind", F.xxhash64("node").alias("h"))
     near = through.select("node", "h", F.explode(F.array("before", "behind")).alias("at"))
-    less = near.join(through.select(F.col("node").alias("at"), F.col("h").alias("other")), "at").filter("other < h OR other = h AND at < node").select("node").distinct()
-    return through.join(less, "node", "left_anti").select("node", "before", "behind")
+    less = near.join(_table(through.select(F.col("node").alias("at"), F.col("h").alias("other"))), "at").filter("other < h OR other = h AND at < node").select("node").distinct()
+    return through.join(_table(less), "node", "left_anti").select("node", "before", "behind")
 
 
 def _coloured(links: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -78,22 +83,22 @@ def _coloured(links: DataFrame, degrees: DataFrame) -> DataFrame:
     while moved:
         now = state
         for _ in range(STEPS):
-            sent = now.join(links, now.node == links.s).select(F.col("t").alias("node"), "colour")
+            sent = now.join(_table(links), now.node == links.s).select(F.col("t").alias("node"), "colour")
             now = now.select("node", "colour").union(sent).groupBy("node").agg(F.min("colour").alias("colour"))
         old = state.select("node", F.col("colour").alias("old"))
-        after = settle(now.join(old, "node").select("node", "colour", (F.col("colour") != F.col("old")).alias("moved")), "colours")
+        after = settle(now.join(_table(old), "node").select("node", "colour", (F.col("colour") != F.col("old")).alias("moved")), "colours")
         moved = not after.filter("moved").isEmpty()
         forget(state)
         state = after
     colour = state.select("node", F.col("colour.root").alias("root"))
-    inside = links.join(colour.select(F.col("node").alias("s"), F.col("root").alias("rs")), "s").join(colour.select(F.col("node").alias("t"), F.col("root").alias("rt")), "t").filter("rs = rt")
+    inside = links.join(_table(colour.select(F.col("node").alias("s"), F.col("root").alias("rs"))), "s").join(_table(colour.select(F.col("node").alias("t"), F.col("root").alias("rt"))), "t").filter("rs = rt")
     inside = settle(inside.select("s", "t"), "links")
     front = found = settle(colour.filter("node = root"), "found")
     while True:
         step = front
         for _ in range(STEPS):
-            step = step.union(step.join(inside, F.col("node") == F.col("t")).select(F.col("s").alias("node"), "root")).distinct()
-        front = settle(step.join(found, "node", "left_anti"), "found")
+            step = step.union(step.join(_table(inside), F.col("node") == F.col("t")).select(F.col("s").alias("node"), "root")).distinct()
+        front = settle(step.join(_table(found), "node", "left_anti"), "found")
         if front.isEmpty():
             return found
         found = found.union(front)
@@ -149,11 +154,11 @@ def strong_components(arcs: DataFrame) -> DataFrame:
         for more in hooks[1:]:
             forest = forest.union(more)
         forest = _jump(settle(forest, "forest"))
-        label = settle(nodes.join(forest, "node", "left").select("node", F.coalesce("up", "node").alias("root")), "labels")
+        label = settle(nodes.join(_table(forest), "node", "left").select("node", F.coalesce("up", "node").alias("root")), "labels")
     for through in reversed(passed):  # a node passed by later is known before those passed by earlier
         before = label.select(F.col("node").alias("before"), F.col("root").alias("a"))
         behind = label.select(F.col("node").alias("behind"), F.col("root").alias("b"))
-        joins = through.join(before, "before").join(behind, "behind").filter("a = b").select(F.col("node").alias("root"), F.col("a").alias("up"))
-        label = settle(label.join(joins, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
+        joins = through.join(_table(before), "before").join(_table(behind), "behind").filter("a = b").select(F.col("node").alias("root"), F.col("a").alias("up"))
+        label = settle(label.join(_table(joins), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
     least = label.groupBy("root").agg(F.min("node").alias("component"))
-    return label.join(least, "root").select("node", "component")
+    return label.join(_table(least), "root").select("node", "component")

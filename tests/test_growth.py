@@ -82,3 +82,20 @@ def test_alternatives_are_cut_by_their_own_answer(spark, monkeypatch):
 
 def test_boxes_of_ways_are_dealt_before_they_are_written_out_by_cells(spark, sf):
     assert "RepartitionByExpression [way_id" in _plan(mobility.ways_in_tiles(Tables(spark, sf)))
+
+
+def test_components_and_their_streets_are_dealt_out_not_broadcast(spark, sf):
+    from roadspark.operators import graph, strong
+
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 2), (4, 9)], "s long, t long")
+    hooks = spark.createDataFrame([(2, 1)], "node long, up long")
+    for made in (strong._relabel(links, hooks), strong._without(links, hooks), strong._mutual(links), strong._bypassed(strong._degrees(links)), graph.keep_nodes(links, hooks, "s", "t")):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.node: r.component for r in graph.strong_components(links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
+def test_streets_get_their_ends_dealt_out_not_broadcast(spark, sf):
+    from roadspark.plans import roads
+
+    assert "Broadcast" not in roads.arcs(Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
