@@ -90,8 +90,9 @@ def prepare(
     cell = F.spark_partition_id()
     zone = (cell.cast("long") * min(n, ZONES) / n).cast("int")
     nodes = settle(ids.repartitionByRange(n, "node").select("node", cell.alias("cell"), zone.alias("zone")), "cells")
-    s = nodes.select(F.col("node").alias("s"), "cell", "zone")
-    t = nodes.select(F.col("node").alias("t"), F.col("cell").alias("t_cell"), F.col("zone").alias("t_zone"))
+    # nodes grow with the graph and are dealt out to their arcs, however small their file
+    s = nodes.select(F.col("node").alias("s"), "cell", "zone").hint("merge")
+    t = nodes.select(F.col("node").alias("t"), F.col("cell").alias("t_cell"), F.col("zone").alias("t_zone")).hint("merge")
     none = F.lit(None).cast("binary")
     graph = best.join(s, "s").join(t, "t").select("cell", "zone", "s", "t", "w", "extra", "t_cell", "t_zone", none.alias("b_from"), none.alias("b_to"))
     table = None
@@ -345,7 +346,7 @@ def search(
     spark = net.graph.sparkSession
     path, number = onto or (f"{scratch_dir(spark)}/rounds/search-{uuid.uuid4().hex}", 0)
     base = starts if "g" in starts.columns else starts.withColumn("g", F.lit(0))
-    at = base.join(net.nodes, "node", "left").select(
+    at = base.join(net.nodes.hint("merge"), "node", "left").select(
         F.lit(1).alias("kind"), F.coalesce("cell", F.lit(-1)).alias("cell"), F.coalesce("zone", F.lit(-1)).alias("zone"), "src", "node", F.col("g").cast("long").alias("g"), F.lit(None).cast("long").alias("parent")
     )
     arrivals = settle(at, "arrivals")
@@ -403,8 +404,10 @@ def search(
         arrivals = made.filter("kind = 1")
         if seen is not None:
             seen.append(made.filter("kind = 0").count())
+        hit = None
         if targets is not None:
-            hit = made.filter("kind = 0").join(asked, ["src", "node"], "left_semi").select("src", "node", "g")
+            hit = settle(made.filter("kind = 0").join(asked, ["src", "node"], "left_semi").select("src", "node", "g"), "hit")
+        if hit is not None and not hit.isEmpty():  # most rounds meet no target, and change no cut
             met = hit if met is None else met.union(hit)
             met = settle(met.groupBy("src", "node").agg(F.min("g").alias("g")), "met")
             ends = met.groupBy("src").agg(F.count("*").alias("met"), F.max("g").alias("cut")).join(count, "src").filter("met = asked").select("src", "cut")

@@ -99,3 +99,14 @@ def test_streets_get_their_ends_dealt_out_not_broadcast(spark, sf):
     from roadspark.plans import roads
 
     assert "Broadcast" not in roads.arcs(Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_that_meet_no_target_change_no_cut(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELL_NODES", 8)
+    names, whole = [], search.settle
+    monkeypatch.setattr(search, "settle", lambda df, name: names.append(name) or whole(df, name))
+    arcs = spark.range(128).select(F.col("id").alias("s"), (F.col("id") + 1).alias("t"), F.lit(1).alias("w"))
+    start, goal = spark.createDataFrame([(0, 0)], "src long, node long"), spark.createDataFrame([(0, 100)], "src long, dst long")
+    got = search.search(search.prepare(arcs), start, targets=goal)
+    assert got.filter("node = 100").first().g == 100
+    assert names.count("met") == names.count("cuts") == 1
