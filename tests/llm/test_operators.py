@@ -189,6 +189,19 @@ def test_coder_round_trip(seed):
     assert coder.encode_blocks([]) == []
 
 
+def test_a_coded_block_costs_its_entropy_and_its_statistics():
+    rng = np.random.default_rng(3)
+    words = rng.choice(49408, 400, replace=False)
+    blocks = [words[np.minimum(rng.geometric(0.012, 2048) - 1, 399)] for _ in range(5)] + [rng.permutation(49408)[:2048], np.arange(3000) * 20, np.array([9])]
+    packed = token_blocks.pack_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, token_blocks.unpack_blocks(packed)))
+    for block, raw in zip(blocks, packed):
+        counts = np.unique(block, return_counts=True)[1]
+        ids = (counts * np.log2(len(block) / counts)).sum() / 8
+        assert len(raw) < min(1.02 * ids + 9 * len(counts) / 8 + len(block) / 8 + 60, 2 * len(block) + 20)
+    assert token_blocks.unpack_blocks(packed[3:4])[0].tolist() == blocks[3].tolist()  # any block alone
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
