@@ -18,7 +18,7 @@ by partial minima, and its arcs, which soon are the same few, are made distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.operators.scratch import forget, settle
@@ -162,3 +162,28 @@ def strong_components(arcs: DataFrame) -> DataFrame:
         label = settle(label.join(_table(joins), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
     least = label.groupBy("root").agg(F.min("node").alias("component"))
     return label.join(_table(least), "root").select("node", "component")
+
+
+def line_components(pairs: DataFrame) -> DataFrame:
+    """(node, component) of the arcs s -> t of ``pairs`` (s, t, hub); nodes have equal numbers where they share a strong component.
+
+    Each s ends at one hub, and each t begins at one, as segments do at junctions. Where every s of a hub goes on to every t of it, arcs to the
+    hub and from it stand for its pairs, and an arc between two such hubs for the node between them. So a line graph shrinks
+    to about its road network before any round. In the rounds, nodes have even numbers and hubs odd ones.
+    """
+    at_hub = Window.partitionBy("hub")
+    many = lambda k: F.size(F.collect_set(k).over(at_hub)).cast("long")
+    dealt = pairs.select("s", "t", "hub").filter("s IS NOT NULL AND t IS NOT NULL").repartition("hub").distinct()
+    pairs = settle(dealt.select("s", "t", "hub", (F.col("hub").isNotNull() & (F.count("*").over(at_hub) == many("s") * many("t"))).alias("whole")), "pairs")
+    whole = pairs.filter("whole")
+    behind = whole.groupBy(F.col("s").alias("node")).agg(F.max("hub").alias("behind"))
+    before = whole.groupBy(F.col("t").alias("node")).agg(F.max("hub").alias("before"))
+    ends = settle(behind.join(before, "node", "full").select("node", "before", "behind"), "ends")
+    hub_or_node = lambda k: F.coalesce(F.col(k) * 2 + 1, F.col("node") * 2)
+    links = ends.select(hub_or_node("before").alias("s"), hub_or_node("behind").alias("t"))
+    label = settle(strong_components(links.union(pairs.filter("NOT whole").select(F.col("s") * 2, F.col("t") * 2))), "labels")
+    own = label.filter("node % 2 = 0").select(F.shiftright("node", 1).alias("node"), "component")
+    hubs = label.filter("node % 2 <> 0").select(F.shiftright("node", 1).alias("hub"), "component")
+    between = ends.filter("before IS NOT NULL AND behind IS NOT NULL")
+    between = between.join(_table(hubs.select(F.col("hub").alias("before"), F.col("component").alias("a"))), "before").join(_table(hubs.select(F.col("hub").alias("behind"), F.col("component").alias("b"))), "behind")
+    return settle(own.union(between.select("node", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("node") * 2))), "labels")

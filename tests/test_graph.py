@@ -190,6 +190,19 @@ def test_strong_components_of_random_arcs(spark, share):
     assert graph.strong_components(spark.createDataFrame([], "s long, t long")).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_of_line_graphs_with_bans(spark, seed):
+    rng = random.Random(seed)
+    segs = {100 + k: (rng.randrange(9), rng.randrange(9)) for k in range(26)}  # loops and parallel segments too
+    pairs = [(f, t, b) for f, (_, b) in segs.items() for t, (a, _) in segs.items() if a == b and not (b < 4 and rng.random() < 0.4)]
+    pairs += [(900, 901, None), (901, 900, None), (902, 900, None)] + pairs[:5]
+    got = {r.node: r.component for r in graph.line_components(spark.createDataFrame(pairs, "s long, t long, hub long").coalesce(2)).collect()}
+    want = plain_strong([(s, t) for s, t, _ in pairs])
+    groups = lambda of: {frozenset(n for n in of if of[n] == k) for k in of.values()}
+    assert groups(got) == groups(want)
+    assert graph.line_components(spark.createDataFrame([], "s long, t long, hub long")).collect() == []
+
+
 def test_distances_across_cells(spark):
     arcs = random_arcs(11, 40, 120)
     net = search.prepare(spark.createDataFrame(arcs, "s long, t long, w long"), cell_nodes=6)

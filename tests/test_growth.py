@@ -95,6 +95,30 @@ def test_components_and_their_streets_are_dealt_out_not_broadcast(spark, sf):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
 
 
+def test_a_line_graph_is_cut_down_before_its_components_are_sought(spark, sf, monkeypatch):
+    from roadspark.operators import graph, strong
+    from roadspark.plans import turns
+
+    sought, real = [], strong.strong_components
+    counted = lambda arcs: sought.append(arcs.count()) or real(arcs)
+    monkeypatch.setattr(strong, "strong_components", counted)
+    monkeypatch.setattr(graph, "strong_components", counted)
+    t = Tables(spark, sf)
+    turns.largest_line(t).count()
+    assert len(sought) == 1 and sought[0] < 0.9 * network.allowed(t).count()
+
+
+def test_restrictions_are_laid_beside_segments_and_not_beside_manoeuvres(spark, sf, monkeypatch):
+    plan = network.allowed(Tables(spark, sf))._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" not in plan
+    roads = [(10 * k, k, 0, 1, "residential", 20.0, 1.0, 0.0) for k in range(3)] + [(10 * k, k, 1, 2, "residential", 20.0, 1.0, 90.0) for k in (5, 6, 7)]
+    rules = [(1, "no_left_turn", 0, 1, 5), (2, "no_left_turn", 0, 1, None), (3, "only_straight_on", 1, 1, 6), (4, "only_straight_on", 1, 1, None), (5, "only_straight_on", 2, 1, 5), (6, "only_left", 2, 1, 7)]
+    monkeypatch.setattr(network, "segments", lambda t: spark.createDataFrame(roads, "seg long, edge_id long, entry long, exit long, highway string, speed double, secs double, az double"))
+    monkeypatch.setattr(network, "restriction_members", lambda t: None)
+    monkeypatch.setattr(network, "restriction_triples", lambda r: spark.createDataFrame(rules, "rel_id long, restriction string, from_edge long, via_node long, to_edge long"))
+    assert {(r.f_edge, r.t_edge) for r in network.allowed(None).collect()} == {(0, 6), (0, 7), (1, 6)}
+
+
 def test_streets_get_their_ends_dealt_out_not_broadcast(spark, sf):
     from roadspark.plans import roads
 
