@@ -238,3 +238,22 @@ def test_long_paths_take_few_rounds(spark):
     tree = spark.createDataFrame([(0, k, k, k - 1 if k else None) for k in range(n)], "src long, node long, g long, parent long")
     got = graph.walk_back(tree, spark.createDataFrame([(1, 0, n - 1), (2, 0, 7), (3, 0, 999), (4, None, 3)], "request_id long, src long, dst long")).collect()
     assert sorted((r.request_id, r.hop, r.node, r.g) for r in got) == [(1, h, n - 1 - h, n - 1 - h) for h in range(n)] + [(2, h, 7 - h, 7 - h) for h in range(8)]
+
+
+def test_a_goal_without_a_way_ends_its_search_and_many_sources_share_cells(spark, monkeypatch):
+    """Node 900 only leads into the ring and 901 only out of it: no search for 900 walks around, in one part of sources or in many."""
+    ring = [(k, (k + 1) % 300, 1) for k in range(300)] + [((k + 1) % 300, k, 2) for k in range(300)]
+    arcs = spark.createDataFrame([*ring, (900, 5, 1), (7, 901, 1)], "s long, t long, w long")
+    asked = [(1, 40, 900), (2, 40, 901), (3, 900, 901), (4, 901, 3), (5, 10, 30), (6, 30, 10), (7, 12, 12)]
+    q = spark.createDataFrame(asked, "request_id long, src long, dst long")
+    want = {1: None, 2: 67, 3: 4, 4: None, 5: 20, 6: 40, 7: 0}
+    marks = graph.landmark_table(arcs, [0, 100, 200], one_way=True)
+    assert {r.node for r in marks.filter("d_to IS NULL").collect()} == {901} and {r.node for r in marks.filter("d_from IS NULL").collect()} == {900}
+    both_ways = marks.filter("d_from IS NOT NULL AND d_to IS NOT NULL")
+    for sources, table, one_way in ((4096, both_ways, False), (2, marks, True)):
+        monkeypatch.setattr(search, "SOURCES", sources)
+        got = graph.routes(search.prepare(arcs, table, cell_nodes=50, one_way=one_way), q).collect()
+        assert {r.request_id: r.cost for r in got} == want
+    seen = []
+    graph.routes(search.prepare(arcs, marks, cell_nodes=50, one_way=True), q.filter("request_id IN (1, 4)"), seen=seen).collect()
+    assert sum(seen) <= 2
