@@ -202,6 +202,19 @@ def test_a_coded_block_costs_its_entropy_and_its_statistics():
     assert token_blocks.unpack_blocks(packed[3:4])[0].tolist() == blocks[3].tolist()  # any block alone
 
 
+def test_every_block_is_coded():
+    """Blocks whose own statistics do not pay are coded with equal shares, none is stored as it is."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.permutation(49408)[:n] for n in (1, 2, 3, 40, 2048, 5000)] + [rng.integers(0, high, n) for high in (1, 2, 3, 49408, 65535, 65536) for n in (1, 2, 7, 900)]
+    blocks += [np.full(3000, 7), np.zeros(1), np.array([65535]), np.array([65535, 65535, 0]), np.arange(65536)]
+    packed = coder.encode_blocks(blocks)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, coder.decode_blocks(packed, [len(b) for b in blocks])))
+    assert {p[:1] for p in packed} == {coder.CODED, coder.EQUAL}
+    for block, payload in zip(blocks, packed):
+        assert len(payload) <= 7 + 2 * np.ceil(len(block) * np.log2(block.max() + 1) / 16) and len(payload) <= 3 + 2 * len(block)
+    assert len(packed[4]) < 2 * len(blocks[4])  # distinct ids: once longer than the ids as they are
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
