@@ -257,3 +257,14 @@ def test_a_goal_without_a_way_ends_its_search_and_many_sources_share_cells(spark
     seen = []
     graph.routes(search.prepare(arcs, marks, cell_nodes=50, one_way=True), q.filter("request_id IN (1, 4)"), seen=seen).collect()
     assert sum(seen) <= 2
+
+
+def test_routes_with_dearer_streets_are_the_same_in_parts_of_sources(spark, monkeypatch):
+    arcs = spark.createDataFrame(random_arcs(5, 12, 40), "s long, t long, w long")
+    r = spark.createDataFrame([(k, k % 12, (5 * k + 3) % 12) for k in range(9)], "request_id long, src long, dst long")
+    found = []
+    for sources in (4096, 2):
+        monkeypatch.setattr(search, "SOURCES", sources)
+        monkeypatch.setattr(alternatives, "CELL_NODES", 4)
+        found.append(sorted(map(tuple, alternatives.k_routes(arcs, r, 2).collect())))
+    assert found[0] == found[1] and len({x[0] for x in found[0]}) > 3
